@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import clean, labels, text
-from ..operators import audits, corpus, joins, neighbors, review, summaries, validate, vectors
+from ..operators import audits, corpus, joins, neighbors, ranking, review, summaries, validate, vectors
 from .registry import query
 
 GROUP = ["model_condition", "lexicality_condition"]
@@ -612,8 +612,8 @@ def people_pool(t):
     nouns = t.quartets().select(
         F.explode(F.array(*[text.parse_active(c)[r] for c in ("pa", "ta") for r in ("agent", "patient")])).alias("word")
     ).distinct()
-    ordered = nouns.agg(F.array_sort(F.collect_list("word")).alias("w"))
-    return ordered.select(F.posexplode("w").alias("position", "word"))
+    block = F.ascii("word") * 256 + F.ascii(F.substring("word", 2, 1))
+    return ranking.position_in_group(nouns, [], ["word"], block)
 
 
 @query(
