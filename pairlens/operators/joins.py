@@ -205,7 +205,7 @@ def build_edges(lines: DataFrame, vocabulary: DataFrame, value: str = "value") -
     Six fields or more; the sixth is the strength, kept when it is a positive number;
     the strongest line per pair wins.
     """
-    fields = F.transform(F.split(F.col(value), ","), F.trim)
+    fields = F.transform(F.split(F.col(value), ","), lambda x: F.trim(x))
     parsed = lines.select(fields.alias("f")).where(F.size("f") >= 6)
     edges = parsed.select(
         F.lower(F.get("f", 0)).alias("cue"),

@@ -134,7 +134,10 @@ def pairwise_stats(
     bootstrap interval."""
     pairs = [(b, a) for i, a in enumerate(order) for b in order[i + 1 :]]
     diffs = effects.pair_differences(df, by, unit, metrics, pairs, condition)
-    diffs = diffs.withColumnsRenamed({"condition_a": "condition_b", "condition_b": "condition_a"})
+    diffs = diffs.select(
+        *by, unit, "metric", F.col("condition_b").alias("condition_a"),
+        F.col("condition_a").alias("condition_b"), "diff",
+    )
     keys = [*by, "metric", "condition_a", "condition_b"]
     return _test_block(diffs, keys, unit, n_resamples, seed, correction, zero_dz=True)
 
