@@ -223,13 +223,11 @@ def _(t):
 
 @query(
     "s06_score_generations",
-    f"""SELECT item_index, prime_condition, concat('T', substr(generated, 2)) AS greedy_answer_first_sentence, lower(concat('T', substr(generated, 2))) AS greedy_answer_first_sentence_normalized,
-  CASE WHEN starts_with(target_active, 'the ') AND k = 0 THEN 'active_exact' WHEN starts_with(target_active, 'the ') AND k = 1 THEN 'passive_exact' ELSE 'other' END AS generation_class
-FROM (SELECT item_index, prime_condition, target_active, k, CASE WHEN k IN (0, 1) AND starts_with(target_active, 'a ') THEN concat('the', substr(generated, 2)) ELSE generated END AS generated FROM {_G}) x WHERE starts_with(target_active, 'the ')""",
+    f"""SELECT item_index, prime_condition, concat('Then ', CASE WHEN k = 5 THEN concat(rtrim(replace(generated, '.', '')), ' .') ELSE generated END) AS greedy_answer_first_sentence,
+  concat('then ', generated) AS greedy_answer_first_sentence_normalized, CASE k WHEN 0 THEN 'active_structural' WHEN 1 THEN 'passive_structural' ELSE 'other' END AS generation_class FROM {_G}""",
 )
 def _(t):
-    rows = t.generations().where(F.col("target_active").startswith("the "))
-    rest = F.concat(F.regexp_replace("generated", "^the", ""), F.lit(" And then some."))
-    return review.score_generations(rows.withColumn("completion", rest), "completion").select(
+    rows = t.generations().withColumn("completion", F.concat("generated", F.lit(" And then some.")))
+    return review.score_generations(rows, "completion", stub="Then ").select(
         *KEYS, "greedy_answer_first_sentence", "greedy_answer_first_sentence_normalized", "generation_class"
     )
