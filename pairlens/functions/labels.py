@@ -201,12 +201,11 @@ def target_signature(
 ) -> Column:
     """Heads of both roles and the verb keys that a sentence about this target may show.
 
-    Taken from the passive target (patient, last be-form before ``by``, participle,
+    Both targets come in their normal form. Taken from the passive target (patient, last be-form before ``by``, participle,
     ``by``, agent), with the active verb added when the active target has the same
     phrases at its ends. Null when the passive does not parse.
     """
-    a = _no_stop(text.normalize_generated(active))
-    p = _no_stop(text.normalize_generated(passive))
+    a, p = _no_stop(col(active)), _no_stop(col(passive))
 
     def parse(both):
         at, pt = both["a"], both["p"]
@@ -254,7 +253,6 @@ def classify_structure(
         text.normalize_generated(sentence).alias("s"),
         text.normalize_generated(active).alias("a"),
         text.normalize_generated(passive).alias("p"),
-        target_signature(active, passive, determiners).alias("g"),
     )
 
     def has_verb(span, keys):
@@ -280,14 +278,18 @@ def classify_structure(
         return F.when((agent > 0) & (patient > 0), let(span, by_order))
 
     def decide(w):
-        s, a, p, g = w["s"], w["a"], w["p"], w["g"]
+        s, a, p = w["s"], w["a"], w["p"]
+        # the signature is worked out only for sentences that no target starts
+        loose = let(
+            target_signature(a, p, determiners),
+            lambda g: F.when(g.isNotNull(), structural(_no_stop(s), g)),
+        )
         return (
             F.when(s == a, "active_exact")
             .when(s == p, "passive_exact")
             .when(s.startswith(a), "active_prefix")
             .when(s.startswith(p), "passive_prefix")
-            .when(g.isNull(), "other")
-            .otherwise(F.coalesce(structural(_no_stop(s), g), F.lit("other")))
+            .otherwise(F.coalesce(loose, F.lit("other")))
         )
 
     return let(whole, decide)

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import spread
 from .ranking import null_safe_join, position_in_group
 
 _SIGNS_PER_DIGEST = 128
@@ -58,9 +59,11 @@ def _exploded(
     """(by, x, draw, digest, place): each unit once as draw -1 (the observed data) and
     once per resample; the digest is computed once per block of resamples."""
     blocks = (n + per_digest - 1) // per_digest
-    rows = df.where(F.col(value).isNotNull()).select(
-        *by, unit, F.col(value).cast("double").alias("__x"),
-        F.explode(F.sequence(F.lit(-1), F.lit(blocks - 1))).alias("__block"),
+    units = df.where(F.col(value).isNotNull()).select(
+        *by, unit, F.col(value).cast("double").alias("__x")
+    )
+    rows = spread(units, unit).select(
+        "*", F.explode(F.sequence(F.lit(-1), F.lit(blocks - 1))).alias("__block")
     )
     rows = rows.withColumn(
         "__digest", F.when(F.col("__block") >= 0, _digest(seed, by, unit, F.col("__block")))

@@ -141,11 +141,19 @@ class Tables:
             return self.spark.read.parquet(f"{self.root}/{name}.parquet")
         raise AttributeError(name)
 
+    def _parallel(self, table: str) -> DataFrame:
+        """A table whose rows meet costly expressions. One stored in fewer parts than there
+        are cores is spread over them; a large one is read as it lies."""
+        df = getattr(self, table)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     def _shared(self, view: str, *tables: str) -> DataFrame:
         sql = SHARED_SQL[view]
         for t in tables:
             sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
-        return self.spark.sql(sql, **{t: getattr(self, t) for t in tables})
+        read = getattr if len(tables) > 1 else type(self)._parallel
+        return self.spark.sql(sql, **{t: read(self, t) for t in tables})
 
     def item_scores(self) -> DataFrame:
         return self._shared("item_scores", "lineitem", "orders")

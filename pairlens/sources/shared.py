@@ -42,3 +42,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows over ``spark.sql.shuffle.partitions`` tasks, by the columns or evenly.
+
+    For narrow rows that are about to be multiplied or to meet costly expressions:
+    adaptive execution would pack them into few tasks by their present size.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns)
