@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, clean, fixed, text
 from ..operators import summaries, tokens
+from ..sources.shared import materialize
 from .registry import query
 
 SIDE = ["condition", "target_structure"]
@@ -342,7 +343,8 @@ def _(t):
 )
 def _(t):
     docs = t.doc_tokens()
-    scored = tokens.ngram_score(docs, "doc_id", "tokens", tokens.ngram_model(docs, "tokens"))
+    model = materialize(tokens.ngram_model(docs, "tokens"), "ngrams")
+    scored = tokens.ngram_score(docs, "doc_id", "tokens", model, all_seen=True)
     return tokens.sequence_scores(scored, ["doc_id"])
 
 
@@ -352,7 +354,7 @@ def _(t):
 SELECT conv_id * 100 + turn AS turn_id, R6(sum(coalesce(md.logprob, ln(1 / (coalesce(cx.context_n, 0) + vv.v))))) AS total_logprob, count(*) AS token_count FROM b2 LEFT JOIN md USING (prev, word) LEFT JOIN cx ON cx.prev = b2.prev CROSS JOIN vv GROUP BY 1""",
 )
 def _(t):
-    model = tokens.ngram_model(t.doc_tokens(), "tokens")
+    model = materialize(tokens.ngram_model(t.doc_tokens(), "tokens"), "ngrams")
     turns = t.conversations.select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), text.words("text").alias("tokens")
     )
@@ -382,8 +384,9 @@ SELECT a.item_index, R6(a.s) AS candidate_a_total_logprob, R6(b.s) AS candidate_
 )
 def _(t):
     rows = _sentences(t)
-    model = tokens.ngram_model(rows, "tokens")
-    scored = tokens.sequence_scores(tokens.ngram_score(rows, "key", "tokens", model), ["key"])
+    model = materialize(tokens.ngram_model(rows, "tokens"), "ngrams")
+    scored = tokens.ngram_score(rows, "key", "tokens", model, all_seen=True)
+    scored = tokens.sequence_scores(scored, ["key"])
     scored = scored.withColumns(
         {"item_index": F.split_part("key", F.lit("|"), F.lit(1)).cast("bigint"), "slot": F.split_part("key", F.lit("|"), F.lit(2))}
     )
@@ -480,7 +483,9 @@ def regions(t):
 
 
 def predictability(t):
-    return tokens.category_predictability(regions(t), probabilities(t), vocab(t))
+    return tokens.category_predictability(
+        regions(t), materialize(probabilities(t), "probabilities"), materialize(vocab(t), "vocab")
+    )
 
 
 @query(

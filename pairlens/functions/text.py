@@ -452,23 +452,31 @@ def normalize_answer(
     """``the X``: correct head, else foil head, else the word after was, else the first content word."""
     correct, foil = col(correct_head), col(foil_head)
 
-    def pick(text):
-        tokens = words(text, apostrophe=True)
+    def pick(both):
+        body, tokens = both["body"], both["tokens"]
         was = F.lower(
-            F.regexp_extract(text, r"(?i)\bwas\s+(?:the|a|an)?\s*([A-Za-z]+)\b", 1)
+            F.regexp_extract(body, r"(?i)\bwas\s+(?:the|a|an)?\s*([A-Za-z]+)\b", 1)
         )
-        first = F.get(content_answer_words(text), 0)
+        first = F.get(F.filter(tokens, lambda t: ~t.isin(*fixed.SIMPLE_DETERMINERS)), 0)
         the = F.lit("the ")
+        other = let(
+            was,
+            lambda w: F.when(w != "", F.concat(the, w)).otherwise(
+                F.coalesce(F.concat(the, first), F.lit(""))
+            ),
+        )
         return (
             F.when((correct != "") & F.array_contains(tokens, correct), F.concat(the, correct))
             .when((foil != "") & F.array_contains(tokens, foil), F.concat(the, foil))
-            .when(was != "", F.concat(the, was))
-            .when(first.isNotNull(), F.concat(the, first))
-            .otherwise("")
+            .otherwise(other)
         )
 
     body = F.trim(F.regexp_replace(first_clause(raw), r"(?i)^answer\s*:\s*", ""))
-    return let(body, pick)
+    whole = let(
+        body,
+        lambda t: F.struct(t.alias("body"), words(t, apostrophe=True).alias("tokens")),
+    )
+    return let(whole, pick)
 
 
 def evaluate_answer(

@@ -400,6 +400,8 @@ def export_prompts_long(
         rows = joins.lookup(
             rows, lemmas, "target_verb", "lemma", "__lemma", F.lit(None).cast("string"), "form"
         )
+    reference = prompts.event_reference("target_verb", F.col("__lemma"), F.lit(nonce))
+    rows = rows.withColumn("__reference", reference)  # once per item, before the expansion
     rows = joins.expand_conditions(
         rows,
         {
@@ -413,7 +415,6 @@ def export_prompts_long(
     doer = F.col("question_type") == "doer"
     agent, patient = F.col("target_agent"), F.col("target_patient")
     lead = F.when(doer, "The doer was the ").otherwise("The one acted on was the ")
-    reference = prompts.event_reference("target_verb", F.col("__lemma"), F.lit(nonce))
     rows = rows.withColumns(
         {
             "prompt_id": F.concat_ws("_", "item_id", "prime_condition", "target_voice", "question_type"),
@@ -421,7 +422,7 @@ def export_prompts_long(
             "target_sentence": F.when(
                 F.col("target_voice") == "active", F.col("target_active_complex")
             ).otherwise(F.col("target_passive_complex")),
-            "question_text": prompts.role_question("question_type", reference),
+            "question_text": prompts.role_question("question_type", F.col("__reference")),
             "answer_prefix": prompts.answer_prefix("question_type"),
             "correct_answer": F.concat(lead, F.when(doer, agent).otherwise(patient), F.lit(".")),
             "foil_answer": F.concat(lead, F.when(doer, patient).otherwise(agent), F.lit(".")),
@@ -436,7 +437,7 @@ def export_prompts_long(
         F.trim("prime_text"), F.trim("target_sentence"),
         prompts.lines(F.col("question_text"), F.col("answer_prefix")),
     )
-    return rows.withColumn("prompt", prompt).drop("__lemma")
+    return rows.withColumn("prompt", prompt).drop("__lemma", "__reference")
 
 
 def free_answer_prompts(items: DataFrame, template: str = prompts.DOER_QUESTION) -> DataFrame:

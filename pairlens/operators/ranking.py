@@ -177,23 +177,33 @@ def rotating_pick(
     pool: DataFrame,
     max_used: int,
     max_count: int,
+    array_limit: int = 10_000,
 ) -> DataFrame:
     """``count`` pool words per row: from ``offset`` on, wrapping, used words skipped.
 
     ``pool(position, word)`` numbers its words 0..n-1. At most ``max_used`` words can be
-    skipped, so the picks lie in the first ``max_used + max_count`` positions: each row
-    asks for those positions only and an equi join answers, whatever the pool's size.
-    Adds ``picks`` (array, in order).
+    skipped, so the picks lie in the first ``max_used + max_count`` positions. A pool of
+    at most ``array_limit`` words (counted first) is read as one array; from a larger
+    one each row asks for just those positions by an equi join. Adds ``picks`` (array).
     """
-    n = pool.agg(F.count("*")).scalar()
     reach = max_used + max_count
-    asked = (
-        df.withColumns({"__used": used, "__offset": offset, "__count": count, "__n": n})
-        .withColumn(
-            "__step",
-            F.explode(F.sequence(F.lit(0), F.least(F.lit(reach), F.col("__n")).cast("int") - 1)),
+    n = pool.count()
+    steps = F.sequence(F.lit(0), F.lit(min(reach, n) - 1))
+    work = df.withColumns({"__used": used, "__offset": offset, "__count": count})
+    if n <= array_limit:
+        ordered = F.array_sort(F.collect_list(F.struct("position", "word")))
+        words = pool.agg(F.transform(ordered, lambda s: s["word"]).alias("w")).scalar()
+        reached = F.transform(
+            steps,
+            lambda i: F.get(F.col("__pool"), F.pmod(F.col("__offset") + i, F.lit(n)).cast("int")),
         )
-        .withColumn("position", F.pmod(F.col("__offset") + F.col("__step"), F.col("__n")))
+        free = F.filter(reached, lambda w: ~F.array_contains(F.col("__used"), w))
+        picked = work.withColumn("__pool", words).withColumn(
+            "picks", F.slice(free, F.lit(1), F.col("__count"))
+        )
+        return picked.drop("__used", "__offset", "__count", "__pool")
+    asked = work.withColumn("__step", F.explode(steps)).withColumn(
+        "position", F.pmod(F.col("__offset") + F.col("__step"), F.lit(n))
     )
     found = asked.join(pool.select("position", "word"), "position").where(
         ~F.array_contains("__used", F.col("word"))

@@ -179,11 +179,24 @@ def frequent_first_lookup(
 
 
 def ngram_score(
-    df: DataFrame, key: str, tokens: str, model: DataFrame, k: float = 1.0
+    df: DataFrame,
+    key: str,
+    tokens: str,
+    model: DataFrame,
+    k: float = 1.0,
+    all_seen: bool = False,
 ) -> DataFrame:
     """(key, position, prev, word, logprob) of every token under a model; unseen pairs and
-    unseen contexts are smoothed."""
+    unseen contexts are smoothed.
+
+    The model is read several times, so a large one should be a written table.
+    ``all_seen`` skips the smoothing join when the text is the one the model counted.
+    """
     rows = bigram_rows(df, [key], tokens)
+    if all_seen:
+        return frequent_first_lookup(
+            rows, model, ["prev", "word"], ["logprob"], "n", F.col(key)
+        )
     contexts = model.groupBy("prev").agg(
         F.first("context_n").alias("context_n"), F.first("vocab").alias("vocab")
     )
