@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,9 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_CONF} to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="pairlens-")
-    spark.conf.set(_CONF, made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="pairlens-")
+    return _LOCAL[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

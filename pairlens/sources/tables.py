@@ -67,23 +67,22 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def malformed_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The bad lines of a JSON-lines file with their line number inside the file.
+    """The bad lines of one JSON-lines file with their line numbers.
 
-    Only a diagnostic: line numbers need file order, so the file is read whole per
-    task (``wholetext``) and split there.
+    A diagnostic for a file that :func:`read_jsonl` refused. DataFrame scans keep no
+    line order; the numbering counts lines per split and adds up the counts.
     """
     full = T.StructType(schema.fields + [T.StructField(_CORRUPT, T.StringType())])
-    text = spark.read.option("wholetext", True).text(path)
-    lines = text.select(
-        F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n", -1))
-    ).where(F.trim("col") != "")
+    numbered = spark.sparkContext.textFile(path).zipWithIndex()
+    lines = spark.createDataFrame(numbered, "line string, index bigint")
     row = F.from_json(
-        "col", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+        "line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     )
     return (
-        lines.withColumn("row", row)
-        .where(F.col(f"row.{_CORRUPT}").isNotNull() | ~F.trim("col").startswith("{"))
-        .select("path", (F.col("pos") + 1).alias("line_number"), F.col("col").alias("line"))
+        lines.where(F.trim("line") != "")
+        .withColumn("row", row)
+        .where(F.col(f"row.{_CORRUPT}").isNotNull() | ~F.trim("line").startswith("{"))
+        .select((F.col("index") + 1).alias("line_number"), "line")
     )
 
 
