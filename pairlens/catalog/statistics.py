@@ -186,13 +186,14 @@ def _(t):
 
 
 def _choices(t):
-    a, p = F.avg("active_choice_logprob"), F.avg("passive_choice_logprob")
+    # equal means must stay ties whatever the order of summation
+    a, p = (F.round(F.avg(f"{v}_choice_logprob"), 9) for v in ("active", "passive"))
     return t.item_scores().groupBy("lexicality_condition", "item_id", "prime_condition").agg(
         clean.choose_structure(a, p).alias("chosen_structure")
     )
 
 
-_MC = """WITH c AS (SELECT lexicality_condition, item_id, prime_condition, CASE WHEN avg(passive_choice_logprob) > avg(active_choice_logprob) THEN 'passive' ELSE 'active' END AS ch FROM item_scores GROUP BY 1, 2, 3),
+_MC = """WITH c AS (SELECT lexicality_condition, item_id, prime_condition, CASE WHEN round(avg(passive_choice_logprob), 9) > round(avg(active_choice_logprob), 9) THEN 'passive' ELSE 'active' END AS ch FROM item_scores GROUP BY 1, 2, 3),
 w AS (SELECT a.lexicality_condition, CAST(count_if(a.ch = 'active' AND b.ch = 'passive') AS BIGINT) AS b, CAST(count_if(a.ch = 'passive' AND b.ch = 'active') AS BIGINT) AS c
   FROM c a JOIN c b ON a.lexicality_condition = b.lexicality_condition AND a.item_id = b.item_id AND a.prime_condition = 'active' AND b.prime_condition = 'passive' GROUP BY 1)"""
 
