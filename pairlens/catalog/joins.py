@@ -197,13 +197,13 @@ def _(t):
 
 @query(
     "j15_filter_edges",
-    f"""WITH e AS ({_EDGE} UNION SELECT 'baker', 'baker' UNION SELECT 'baker', 'x1'), v AS (SELECT DISTINCT split_part(pa, ' ', 2) AS word FROM quartets WHERE item_index % 2 = 0)
+    f"""WITH e AS ({_EDGE} UNION SELECT 'baker', 'baker' UNION SELECT 'baker', 'x1'), v AS (SELECT DISTINCT split_part(pa, ' ', 2) AS word FROM quartets WHERE length(split_part(pa, ' ', 2)) <= 6)
 SELECT cue, target FROM e WHERE cue IN (SELECT word FROM v) AND target IN (SELECT word FROM v) AND cue <> target""",
 )
 def _(t):
     extra = t.spark.createDataFrame([("baker", "baker"), ("baker", "x1")], "cue string, target string")
-    even = F.when(F.col("item_index") % 2 == 0, text.parse_active("pa")["agent"])
-    words = t.quartets().select(even.alias("word"))
+    words = t.quartets().select(text.parse_active("pa")["agent"].alias("word"))
+    words = words.where(F.length("word") <= 6)
     return joins.filter_edges(edges_of(t).unionByName(extra), words)
 
 
