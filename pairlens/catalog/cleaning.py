@@ -361,7 +361,7 @@ def _(t):
 
 @query(
     "pf26_rank_filter",
-    """SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 5 AND 20""",
+    """SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part WHERE p_size BETWEEN 5 AND 20""",
 )
 def _(t):
     rank = (
@@ -375,7 +375,7 @@ def _(t):
 
 @query(
     "pf27_select_nouns",
-    """SELECT lower(trim(split_part(p_name, ' ', 1))) AS noun, min(p_size) AS best_rank FROM part
+    """SELECT lower(trim(split_part(p_name, ' ', 1))) AS noun, CAST(min(p_size) AS BIGINT) AS best_rank FROM part
 WHERE p_size BETWEEN 5 AND 40 GROUP BY 1""",
 )
 def _(t):
@@ -407,7 +407,7 @@ def _(t):
 
 @query(
     "pf30_condition_order",
-    """SELECT o.o_orderkey, c.prime_condition, c.place FROM orders o
+    """SELECT o.o_orderkey, c.prime_condition, CAST(c.place AS BIGINT) AS place FROM orders o
 CROSS JOIN (SELECT 'passive' AS prime_condition, 0 AS place UNION ALL SELECT 'no_prime', 1 UNION ALL SELECT 'active', 2) c""",
 )
 def _(t):

@@ -39,7 +39,7 @@ def _(t):
 
 @query(
     "j03_join_many_to_one",
-    """SELECT l_orderkey, l_linenumber, o_orderpriority, o_totalprice FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey""",
+    """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, o_orderpriority, o_totalprice FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey""",
 )
 def _(t):
     right = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", "o_totalprice")
@@ -72,7 +72,7 @@ def _(t):
 
 @query(
     "j06_share_of_total",
-    """SELECT n_regionkey, n_name, c, R6(c / sum(c) OVER (PARTITION BY n_regionkey)) AS share FROM (SELECT n_regionkey, n_name, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) x""",
+    """SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, n_name, c, R6(c / sum(c) OVER (PARTITION BY n_regionkey)) AS share FROM (SELECT n_regionkey, n_name, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) x""",
 )
 def _(t):
     rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))

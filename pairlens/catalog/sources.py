@@ -113,7 +113,7 @@ def _(t):
     return tables.add_source_columns(_paths(t), "path").select("doc_id", "source_model_run", "dataset")
 
 
-@query("io09_read_optional", "SELECT doc_id, quality, toxic FROM labels")
+@query("io09_read_optional", "SELECT doc_id, CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic FROM labels")
 def _(t):
     here = tables.read_optional(t.spark, f"{t.root}/labels.parquet", t.labels.schema)
     gone = tables.read_optional(t.spark, f"{t.root}/no_such_table.parquet", t.labels.schema)

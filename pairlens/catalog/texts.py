@@ -449,7 +449,7 @@ def _(t):
 
 @query(
     "tx39_build_complex",
-    f"""WITH {_COMPLEX} SELECT iid AS item_id, item_index, ci AS complexity_index, cc AS complexity_condition, tac AS target_active_complex, tpc AS target_passive_complex, coalesce(am, '') AS agent_modifier_noun, coalesce(pm, '') AS patient_modifier_noun,
+    f"""WITH {_COMPLEX} SELECT iid AS item_id, item_index, CAST(ci AS BIGINT) AS complexity_index, cc AS complexity_condition, tac AS target_active_complex, tpc AS target_passive_complex, coalesce(am, '') AS agent_modifier_noun, coalesce(pm, '') AS patient_modifier_noun,
   coalesce(ap, '') AS agent_modifier_prep, coalesce(ppr, '') AS patient_modifier_prep, split_part(ta, ' ', 2) AS target_agent, split_part(tp, ' ', 3) AS target_passive_aux FROM g""",
 )
 def _(t):

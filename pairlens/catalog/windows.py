@@ -180,7 +180,7 @@ def _(t):
 
 @query(
     "sl02_order_by_levels",
-    """SELECT prime_condition_raw, n, CASE prime_condition_raw WHEN 'active' THEN 0 WHEN 'filler' THEN 1 ELSE 4 END AS place
+    """SELECT prime_condition_raw, n, CAST(CASE prime_condition_raw WHEN 'active' THEN 0 WHEN 'filler' THEN 1 ELSE 4 END AS BIGINT) AS place
 FROM (SELECT prime_condition_raw, count(*) AS n FROM item_scores GROUP BY 1) c ORDER BY place, prime_condition_raw""",
 )
 def _(t):
@@ -237,7 +237,7 @@ def _(t):
 @query(
     "ar18_mean_pool",
     """WITH e AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
-SELECT label, i, R6(avg(x)) AS x FROM e GROUP BY 1, 2""",
+SELECT CAST(label AS BIGINT) AS label, i, R6(avg(x)) AS x FROM e GROUP BY 1, 2""",
 )
 def _(t):
     rows = vectors.mean_pool(t.embeddings, ["label"], "embedding")

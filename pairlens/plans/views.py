@@ -18,7 +18,7 @@ _VERBS_ED = "asked followed helped joined pushed visited greeted called"
 
 SHARED_SQL = {
     "item_scores": """
-SELECT l.l_orderkey AS item_id, l.l_linenumber AS line_no, l.l_shipdate AS ts,
+SELECT l.l_orderkey AS item_id, CAST(l.l_linenumber AS BIGINT) AS line_no, l.l_shipdate AS ts,
   l.l_orderkey * 10 + l.l_linenumber AS row_id,
   o.o_orderpriority AS model_condition,
   CASE o.o_orderstatus WHEN 'O' THEN 'core' WHEN 'F' THEN 'jabberwocky' ELSE 'mixed' END AS lexicality_condition,
