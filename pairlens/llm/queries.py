@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort
+from . import content_sort, rans
 from .common import documents
+from .tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -39,3 +40,10 @@ SELECT doc_id, keep_id, group_size, n = 1 AS kept, sha256(norm) AS text_sha256 F
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted content groups of all documents."""
     return content_sort.exact_groups(documents(spark, sf_dir))
+
+
+@_query("op7_token_files")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coded token files of all documents, read back."""
+    files, table = rans.token_files(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return rans.read_files(files, table).drop("ids")
