@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort, rans
+from . import content_sort, packing, rans
 from .common import documents
 from .tokens import tokenizer_path
 
@@ -47,3 +47,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coded token files of all documents, read back."""
     files, table = rans.token_files(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=2)
     return rans.read_files(files, table).drop("ids")
+
+
+@_query("op3_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces with their places in windows of 2048 ids."""
+    path = tokenizer_path("word_bpe_49k.json")
+    return packing.pack(documents(spark, sf_dir), path, end_id=1, window=2048, with_ids=False).drop("ids")
