@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import content_sort, packing, rans
+from . import content_sort, lexicon, packing, rans
 from .common import documents
 from .tokens import tokenizer_path
 
@@ -54,3 +55,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' pieces with their places in windows of 2048 ids."""
     path = tokenizer_path("word_bpe_49k.json")
     return packing.pack(documents(spark, sf_dir), path, end_id=1, window=2048, with_ids=False).drop("ids")
+
+
+@_query("op6_bpe_lexicon")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded with the corpus's own lexicon, and decoded."""
+    docs, path = documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")
+    coded = lexicon.encode(docs, path, lexicon.build_lexicon(docs, path))
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),
+    )
