@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, lexicon, packing, rans
+from . import content_sort, lexicon, matroska, packing, rans
 from .common import documents
 from .tokens import tokenizer_path
 
@@ -68,3 +68,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),
     )
+
+
+@_query("op9_matroska")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as Matroska values, read back packet by packet."""
+    return matroska.describe(matroska.to_media(documents(spark, sf_dir)))
