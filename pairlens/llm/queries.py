@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, lexicon, matroska, packing, rans
+from . import content_sort, lexicon, matroska, minhash, packing, rans
 from .common import documents
 from .tokens import tokenizer_path
 
@@ -74,3 +74,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as Matroska values, read back packet by packet."""
     return matroska.describe(matroska.to_media(documents(spark, sf_dir)))
+
+
+@_query("op1_minhash_components")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return minhash.near_duplicates(documents(spark, sf_dir))
