@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, lexicon, matroska, minhash, packing, rans
+from . import content_sort, lexicon, matroska, minhash, packing, rans, repeats
 from .common import documents
 from .tokens import tokenizer_path
 
@@ -80,3 +80,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return minhash.near_duplicates(documents(spark, sf_dir))
+
+
+@_query("op4_suffix_repeats")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each document is left without its repeated bytes."""
+    return repeats.without_repeats(documents(spark, sf_dir)).drop("kept")
