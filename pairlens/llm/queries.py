@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, lexicon, matroska, minhash, packing, rans, repeats
+from . import content_sort, lexicon, licenses, matroska, minhash, packing, rans, repeats
 from .common import documents
 from .tokens import tokenizer_path
 
@@ -86,3 +86,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of each document is left without its repeated bytes."""
     return repeats.without_repeats(documents(spark, sf_dir)).drop("kept")
+
+
+@_query("op8_license_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of all documents."""
+    return licenses.scan(documents(spark, sf_dir)).drop("detections")
