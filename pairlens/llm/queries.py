@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, lexicon, licenses, matroska, minhash, packing, rans, repeats
+from . import content_sort, lexicon, licenses, matroska, minhash, packing, quality, rans, repeats
 from .common import documents
 from .tokens import tokenizer_path
 
@@ -92,3 +92,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and labels of all documents."""
     return licenses.scan(documents(spark, sf_dir)).drop("detections")
+
+
+@_query("op5_quality_qda")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from the labels that are not held out."""
+    return quality.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
