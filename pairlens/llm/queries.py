@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, lexicon, licenses, matroska, minhash, packing, quality, rans, repeats
+from . import content_sort, lexicon, licenses, matroska, minhash, packing, quality, rans, repeats, toxicity
 from .common import documents
 from .tokens import tokenizer_path
 
@@ -98,3 +98,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learned from the labels that are not held out."""
     return quality.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@_query("op2_toxicity_ordinal")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance and expected severity of toxic language in all documents."""
+    return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
