@@ -189,9 +189,9 @@ def _(t):
 @query(
     "tx31_review_queue",
     """WITH d AS (SELECT doc_id, lang, source, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS s FROM documents), b AS (SELECT substr(sha1(s), 1, 16) AS review_key, s, count(*) AS occurrence_count, min(doc_id) AS doc_id FROM d GROUP BY 1, 2),
-v AS (SELECT DISTINCT substr(sha1(s), 1, 16) AS review_key, 'source' AS l, source AS x FROM d UNION SELECT DISTINCT substr(sha1(s), 1, 16), 'doc', CAST(doc_id AS VARCHAR) FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY review_key, l ORDER BY x) AS k FROM v)
-SELECT b.review_key, md5(b.s) AS digest, b.occurrence_count, b.doc_id, (SELECT string_agg(x, ';' ORDER BY x) FROM r WHERE r.review_key = b.review_key AND l = 'source' AND k <= 12) AS source_list,
-  (SELECT string_agg(x, ';' ORDER BY x) FROM r WHERE r.review_key = b.review_key AND l = 'doc' AND k <= 12) AS doc_list FROM b""",
+v AS (SELECT DISTINCT substr(sha1(s), 1, 16) AS review_key, 'source' AS l, source AS x FROM d UNION SELECT DISTINCT substr(sha1(s), 1, 16), 'doc', CAST(doc_id AS VARCHAR) FROM d), r AS (SELECT * FROM v)
+SELECT b.review_key, md5(b.s) AS digest, b.occurrence_count, b.doc_id, (SELECT string_agg(x, ';' ORDER BY x) FROM r WHERE r.review_key = b.review_key AND l = 'source') AS source_list,
+  (SELECT string_agg(x, ';' ORDER BY x) FROM r WHERE r.review_key = b.review_key AND l = 'doc') AS doc_list FROM b""",
 )
 def _(t):
     rows = t.documents.select(

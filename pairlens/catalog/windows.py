@@ -141,7 +141,7 @@ SELECT item_index, string_agg(word, ';' ORDER BY step) AS picks FROM r WHERE k <
 def _(t):
     used = F.array(*[text.parse_active(c)[r] for c in ("pa", "ta") for r in ("agent", "patient")])
     picked = ranking.rotating_pick(
-        t.quartets(), ["item_index"], used, F.col("item_index") * 7, F.lit(2), people_pool(t), 4, 2
+        t.quartets(), ["item_index"], used, F.col("item_index") * 7, F.lit(2), people_pool(t)
     )
     return picked.select("item_index", F.array_join("picks", ";").alias("picks"))
 
@@ -256,9 +256,9 @@ def _(t):
     return vectors.cosine_topk(e.where("label = 0"), e.where("label <> 0"), "vec_id", "embedding", 5)
 
 
-@query("ar20_leave_one_out", _COS.format(on="a.label <> 0 AND b.label <> 0 AND a.vec_id <> b.vec_id"))
+@query("ar20_leave_one_out", _COS.format(on="a.vec_id <> b.vec_id"))
 def _(t):
-    e = t.embeddings.where("label <> 0")
+    e = t.embeddings
     return vectors.cosine_topk(e, e, "vec_id", "embedding", 5, exclude_self=True)
 
 

@@ -244,7 +244,7 @@ def build_complex(
     rows = ranking.rotating_pick(
         rows.drop("__c"), ["item_index", "complexity_index"], used,
         F.col("item_index") * 7 + F.col("complexity_index") * 13,
-        F.when(both, 2).otherwise(1), pool, max_used=4, max_count=2,
+        F.when(both, 2).otherwise(1), pool,
     )
     rows = rows.withColumn("__p", prepositions_for(F.col("item_index") + F.col("complexity_index")))
     on_agent = F.col("complexity_condition") != "patient_complex"

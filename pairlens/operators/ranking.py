@@ -175,50 +175,33 @@ def rotating_pick(
     offset: Column,
     count: Column,
     pool: DataFrame,
-    max_used: int,
-    max_count: int,
-    array_limit: int = 10_000,
 ) -> DataFrame:
     """``count`` pool words per row: from ``offset`` on, wrapping, used words skipped.
 
-    ``pool(position, word)`` numbers its words 0..n-1. At most ``max_used`` words can be
-    skipped, so the picks lie in the first ``max_used + max_count`` positions. A pool of
-    at most ``array_limit`` words (counted first) is read as one array; from a larger
-    one each row asks for just those positions by an equi join. Adds ``picks`` (array).
+    ``pool(position, word)`` numbers its words 0..n-1. A row can skip as many words as it has
+    used, so it asks for that many positions and ``count`` more, never for one twice, by an
+    equi join. ``key`` names a row. Adds ``picks`` (array): fewer than ``count`` when the
+    pool runs out, empty when all of it is used or it is empty.
     """
-    reach = max_used + max_count
-    n = pool.count()
-    steps = F.sequence(F.lit(0), F.lit(min(reach, n) - 1))
-    work = df.withColumns({"__used": used, "__offset": offset, "__count": count})
-    if n <= array_limit:
-        ordered = F.array_sort(F.collect_list(F.struct("position", "word")))
-        words = pool.agg(F.transform(ordered, lambda s: s["word"]).alias("w")).scalar()
-        reached = F.transform(
-            steps,
-            lambda i: F.get(F.col("__pool"), F.pmod(F.col("__offset") + i, F.lit(n)).cast("int")),
-        )
-        free = F.filter(reached, lambda w: ~F.array_contains(F.col("__used"), w))
-        picked = work.withColumn("__pool", words).withColumn(
-            "picks", F.slice(free, F.lit(1), F.col("__count"))
-        )
-        return picked.drop("__used", "__offset", "__count", "__pool")
-    asked = work.withColumn("__step", F.explode(steps)).withColumn(
-        "position", F.pmod(F.col("__offset") + F.col("__step"), F.lit(n))
+    n = F.col("__n")
+    work = (
+        df.select(*key, used.alias("__used"), offset.alias("__offset"), count.alias("__count"))
+        .withColumn("__n", pool.agg(F.count("*")).scalar())
+        .withColumn("__reach", F.least(F.size("__used") + F.col("__count"), n).cast("int"))
+        .where(F.col("__reach") > 0)
     )
+    asked = work.withColumn(
+        "__step", F.explode(F.sequence(F.lit(0), F.col("__reach") - 1))
+    ).withColumn("position", F.pmod(F.col("__offset") + F.col("__step"), n))
     found = asked.join(pool.select("position", "word"), "position").where(
         ~F.array_contains("__used", F.col("word"))
     )
+    in_turn = F.array_sort(F.collect_list(F.struct("__step", "word")))
     picked = found.groupBy(*key).agg(
-        F.transform(
-            F.slice(
-                F.array_sort(F.collect_list(F.struct("__step", "word"))),
-                F.lit(1),
-                F.first("__count"),
-            ),
-            lambda s: s["word"],
-        ).alias("picks")
+        F.transform(F.slice(in_turn, F.lit(1), F.first("__count")), lambda s: s["word"]).alias("picks")
     )
-    return df.join(picked, list(key), "left")
+    out = null_safe_join(df, picked, key)
+    return out.withColumn("picks", F.coalesce("picks", F.array().cast("array<string>")))
 
 
 def offset_row(

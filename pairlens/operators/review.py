@@ -70,30 +70,19 @@ def review_queue(
     lists: Sequence[str],
     examples: Sequence[str],
     order: Sequence[str],
-    limit: int = 12,
 ) -> DataFrame:
-    """One row per review key: occurrences, up to ``limit`` distinct values per list column,
-    and the first row's example columns.
+    """One row per review key: occurrences, all distinct values per list column, and the
+    first row's example columns.
 
-    The lists are capped by the report itself. Distinct (key, value) pairs are formed
-    first and only the ``limit`` smallest per key travel on, so a key that covers a
-    third of all rows never gathers its values in one task.
+    Distinct (key, value) pairs are formed first, so repeated values are gone before a
+    key's lists are gathered. For keys with more values than a row should hold,
+    :func:`review_values` gives the same as rows.
     """
-    from .ranking import topk_per_key
-
     base = df.groupBy(key, sentence).agg(
         F.count("*").alias("occurrence_count"),
         F.min_by(F.struct(*examples), F.struct(*order)).alias("__first"),
     )
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("list"), F.col(c).cast("string").alias("value"))
-            for c in lists
-        ]
-    )
-    values = df.select(key, F.explode(cells).alias("c")).select(key, "c.*").distinct()
-    few = topk_per_key(values, [key, "list"], [F.asc("value")], limit)
-    joined = few.groupBy(key).agg(
+    joined = review_values(df, key, lists).groupBy(key).agg(
         *[
             F.array_join(
                 F.array_sort(F.collect_list(F.when(F.col("list") == c, F.col("value")))), ";"
@@ -106,6 +95,18 @@ def review_queue(
     )
 
 
+def review_values(df: DataFrame, key: str, lists: Sequence[str]) -> DataFrame:
+    """One row per review key, list column and value, with its number of rows."""
+    cells = F.array(
+        *[
+            F.struct(F.lit(c).alias("list"), F.col(c).cast("string").alias("value"))
+            for c in lists
+        ]
+    )
+    values = df.select(key, F.explode(cells).alias("c")).select(key, "c.*")
+    return values.groupBy(key, "list", "value").agg(F.count("*").alias("n"))
+
+
 def score_answers(
     df: DataFrame, raw: str, correct_head: Column | str, foil_head: Column | str
 ) -> DataFrame:

@@ -39,7 +39,11 @@ def center_vectors(df: DataFrame, vector: str, name: str = "centered") -> DataFr
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
+    if vectors.isna().any():
+        raise ValueError("a vector is null")
     matrix = np.vstack(vectors.to_numpy()).astype(float)
+    if not np.isfinite(matrix).all():
+        raise ValueError("a vector holds a null or a number that is not finite")
     norm = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(norm > 0, norm, 1.0)
 
@@ -55,6 +59,10 @@ def cosine_neighbors(
 ) -> DataFrame:
     """(query, reference, cosine, rank): the exact k nearest references of each query.
 
+    Cosines are rounded to twelve decimals, so that equal vectors tie wherever they were
+    multiplied; ties go to the smaller reference name. A null vector, or one with a value
+    that is not finite, is an error; a zero vector has cosine 0 with all others.
+
     A blocked matrix product. Both sides are hashed into blocks of about ``block``
     rows; each query block meets each reference block in its own task, which returns
     only its k best per query, and the last step keeps the k best of those. Block
@@ -79,17 +87,21 @@ def cosine_neighbors(
         empty = pd.DataFrame({"query": [], "reference": [], "cosine": []})
         if q.empty or r.empty:
             return empty
+        r = r.sort_values("reference")  # places then follow the order of ties
         names = r["reference"].to_numpy()
         unit_r = _unit(r["v"])
         parts = []
         for start in range(0, len(q), 512):
             chunk = q.iloc[start : start + 512]
-            sims = _unit(chunk["v"]) @ unit_r.T
+            sims = np.round(_unit(chunk["v"]) @ unit_r.T, 12)
             own = chunk["query"].to_numpy()
             if exclude_self:
                 sims[own[:, None] == names[None, :]] = -np.inf
             top = min(k, sims.shape[1])
             at = np.argpartition(-sims, top - 1, axis=1)[:, :top]
+            least = np.take_along_axis(sims, at, axis=1).min(axis=1, keepdims=True)
+            tied = (sims >= least).sum(axis=1) > top
+            at[tied] = np.argsort(-sims[tied], axis=1, kind="stable")[:, :top]
             rows = np.repeat(np.arange(len(chunk)), top)
             flat = at.ravel()
             part = pd.DataFrame(

@@ -78,13 +78,17 @@ def test_counterbalance_differs_by_at_most_one(spark):
     assert all(0 <= r.a - r.p <= 1 for r in counts.collect()) and out.count() == 997
 
 
-def test_rotating_pick_array_and_join_agree(spark):
-    pool = spark.createDataFrame([(i, w) for i, w in enumerate("abcdefg")], "position int, word string")
-    df = spark.range(40).select("id", F.array(F.lit("b"), F.lit("d")).alias("u"))
-    args = (df, ["id"], F.col("u"), F.col("id") * 3, F.lit(2), pool, 2, 2)
-    a = rows(ranking.rotating_pick(*args).select("id", "picks"), "id")
-    b = rows(ranking.rotating_pick(*args, array_limit=0).select("id", "picks"), "id")
-    assert a == b and all(len(p) == 2 and not {"b", "d"} & set(p) for _, p in a)
+def test_rotating_pick_skips_used_words_and_runs_out(spark):
+    words = "abcdefg"
+    pool = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "position int, word string")
+    used = F.when(F.col("id") == 1, F.array(*map(F.lit, words))).when(F.col("id") == 2, F.array(*map(F.lit, "abcdef")))
+    df = spark.range(40).select("id", used.otherwise(F.array(F.lit("b"), F.lit("d"))).alias("u"))
+    got = dict(rows(ranking.rotating_pick(df, ["id"], F.col("u"), F.col("id") * 3, F.lit(2), pool).select("id", "picks"), "id"))
+    for i, picks in got.items():
+        taken = set(words) if i == 1 else set("abcdef") if i == 2 else {"b", "d"}
+        assert picks == [w for w in (words[(3 * i + k) % 7] for k in range(7)) if w not in taken][:2]
+    none = ranking.rotating_pick(df, ["id"], F.col("u"), F.col("id"), F.lit(2), pool.limit(0))
+    assert none.where("size(picks) <> 0 or picks is null").count() == 0 and none.count() == 40
 
 
 def test_zscore_of_constant_and_single(spark):
@@ -188,6 +192,31 @@ def test_blocked_cosine_matches_brute_force(spark):
         assert part.sort_values("rank").reference.astype(int).tolist() == best.tolist()
 
 
+@pytest.mark.parametrize("block", [4096, 97, 11])
+def test_cosine_ties_go_to_the_smaller_name_for_any_block(spark, block):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 5))
+    v[::7] = v[0]
+    refs = spark.createDataFrame([(f"{i + 1000}", list(map(float, r))) for i, r in enumerate(v)], "id string, v array<double>")
+    query = spark.createDataFrame([("q", list(map(float, v[0])))], "id string, v array<double>")
+    got = vectors.cosine_neighbors(query, refs, "id", "v", 5, block=block).orderBy("rank").collect()
+    assert [r.reference for r in got] == ["1000", "1007", "1014", "1021", "1028"]
+
+
+def test_a_null_vector_is_an_error(spark):
+    one = spark.createDataFrame([("a", [1.0, 2.0]), ("b", None)], "id string, v array<double>")
+    with pytest.raises(Exception, match="a vector is null"):
+        vectors.cosine_neighbors(one, one, "id", "v", 1).collect()
+
+
+def test_review_queue_keeps_all_values(spark):
+    df = spark.range(60).select(F.lit("k").alias("key"), F.lit("s").alias("sentence"), "id", (F.col("id") % 25).alias("x"))
+    out = review.review_queue(df, "key", "sentence", ["x"], ["id"], ["id"]).first()
+    assert len(out.x_list.split(";")) == 25 and out.occurrence_count == 60
+    long = review.review_values(df, "key", ["x"]).collect()
+    assert sum(r.n for r in long) == 60 and len(long) == 25
+
+
 def test_frequent_first_lookup_equals_a_join(spark):
     big = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     table = big.groupBy("k").agg(F.count("*").alias("n")).where("k <> '4'").withColumn("v", F.length("k"))
