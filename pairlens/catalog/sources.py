@@ -23,7 +23,8 @@ def _write_csv(df, label, sep=","):
 @query("io01_read_csv", "SELECT doc_id, lang, md5(text) AS digest, CAST(length(text) AS BIGINT) AS n FROM documents")
 def _(t):
     path = _write_csv(t.documents.select("doc_id", "lang", "text"), "csv")
-    rows = tables.read_table(t.spark, path, "doc_id bigint, lang string, text string")
+    schema = "doc_id bigint, lang string, text string"
+    rows = tables.read_table(t.spark, path, schema, multi_line=True)
     return rows.select("doc_id", "lang", F.md5("text").alias("digest"), F.length("text").alias("n"))
 
 
@@ -56,17 +57,22 @@ def _(t):
 
 @query(
     "io05_scan_runs",
-    """SELECT concat('lang=', lang) AS run, source, count(*) AS n FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1, 2""",
+    """SELECT concat('lang=', lang) AS run, source, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1, 2""",
 )
 def _(t):
     root = scratch_path(t.spark, "runs")
     rows = t.documents.select("doc_id", F.col("source").alias("src"), "lang", "source")
-    rows.write.option("header", True).partitionBy("lang", "source").csv(root)
+    # Runs whose files have their columns in different orders, one with a column more.
+    rows.where("lang <> 'fr'").write.option("header", True).partitionBy("lang", "source").csv(root)
+    other = rows.where("lang = 'fr'").select("src", F.lit("x").alias("more"), "doc_id", "lang", "source")
+    other.write.mode("append").option("header", True).partitionBy("lang", "source").csv(root)
     found = tables.scan_runs(
         t.spark, root, "part-*.csv", "doc_id bigint, src string", contains=["/lang=en/", "/lang=fr/"]
     )
     run = tables.model_run(F.col("source_path"), "lang=")
-    return found.groupBy(run.alias("run"), F.col("src").alias("source")).agg(F.count("*").alias("n"))
+    return found.groupBy(run.alias("run"), F.col("src").alias("source")).agg(
+        F.count("*").alias("n"), F.sum("doc_id").alias("ids")
+    )
 
 
 _PATHS = """(SELECT doc_id, lang, concat('/data/colab_', lang, '/', CASE doc_id % 4 WHEN 0 THEN 'old' WHEN 1 THEN 'lexically_controlled' WHEN 2 THEN 'experiment-2/core' ELSE 'misc' END, '/', CASE doc_id % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'x_jabberwocky_y' ELSE 'core_targets_jabberwocky_primes' END, '/', doc_id, '.csv') AS path FROM documents) d"""

@@ -476,9 +476,11 @@ def label_arguments(
         theme = theme | head.isin(*themes)
     work = work.withColumns({"__recipient": recipient, "__stem": stem, "__theme": theme})
     heads = human_heads(df, active).select(
-        F.col("head").alias("__stem"), F.lit(True).alias("__is_head")
+        F.col("head").alias("__ask"), F.lit(True).alias("__is_head")
     )
-    work = work.join(heads, "__stem", "left")
+    # Most rows have no stem to look up: they are spread by a key that no head can equal.
+    nothing = F.concat(F.lit("\0"), F.pmod(F.xxhash64("__tokens", "__verb"), F.lit(4096)).cast("string"))
+    work = work.withColumn("__ask", F.coalesce("__stem", nothing)).join(heads, "__ask", "left").drop("__ask")
     human = F.col("__is_head").isNotNull() | F.col("__stem").isin(*fixed.PRONOUNS)
 
     def out(structure, frame, note, strict=False, lax=False):

@@ -19,7 +19,7 @@ def explode_tokens(
     """One row per item, candidate and token.
 
     ``slots`` maps a column prefix to the voice its candidate has when its label names
-    none. Lists are cut to the shorter of tokens and log-probs; candidates without
+    none. Tokens and log-probs that differ in number are an error; candidates without
     either give no rows.
     """
     cells = []
@@ -36,7 +36,10 @@ def explode_tokens(
             )
         )
     rows = df.select(*keep, F.explode(F.array(*cells)).alias("c")).select(*keep, "c.*")
-    n = F.least(F.size("tokens"), F.size("logprobs"))
+    unequal = F.raise_error(F.lit("a candidate's tokens and scores differ in number"))
+    n = F.when(F.size("tokens") != F.size("logprobs"), unequal.cast("int")).otherwise(
+        F.least(F.size("tokens"), F.size("logprobs"))
+    )
     rows = rows.withColumn("token_count", n).where("token_count > 0")
     cut = F.slice("tokens", F.lit(1), F.col("token_count"))
     rows = rows.withColumn("indexes", arrays.align_tokens(cut, "words"))

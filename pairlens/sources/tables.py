@@ -3,41 +3,92 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _CORRUPT = "_corrupt_line"
 
 
+def _csv(spark: SparkSession, sep: str = ",", multi_line: bool = False) -> DataFrameReader:
+    return (
+        spark.read.option("header", True)
+        .option("sep", sep)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multi_line)
+        .option("enforceSchema", False)
+    )
+
+
+def _plain_name(name: str) -> str:
+    return name.lstrip("\ufeff").strip()
+
+
+def _by_header(
+    spark: SparkSession,
+    reader: Callable[[], DataFrameReader],
+    paths: Sequence[str],
+    schema: T.StructType | str,
+    required: Sequence[str],
+) -> DataFrame:
+    """The schema's columns by name, from paths whose files share a header per path.
+
+    One look at each path's header; paths with equal headers are scanned together. A file
+    whose header differs from its path's is an error. A column that a header lacks is
+    null there, unless it is required.
+    """
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    types = {f.name: f.dataType for f in wanted.fields}
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        groups.setdefault(tuple(reader().csv(path).columns), []).append(path)
+    frames = []
+    for header, members in groups.items():
+        names = [_plain_name(c) for c in header]
+        missing = [c for c in required if c not in names]
+        if missing:
+            raise ValueError(f"columns {missing} are missing in {members[:3]}")
+        own = T.StructType(
+            [T.StructField(c, types.get(n, T.StringType())) for c, n in zip(header, names)]
+        )
+        given = dict(zip(names, header))
+        rows = reader().schema(own).csv(members).withColumn("__path", F.input_file_name())
+        columns = [
+            (F.col(f"`{given[f.name]}`") if f.name in given else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in wanted.fields
+        ]
+        frames.append(rows.select(*columns, "__path"))
+    if not frames:
+        return spark.createDataFrame([], T.StructType([*wanted.fields, T.StructField("__path", T.StringType())]))
+    return union_all(frames)
+
+
 def read_table(
     spark: SparkSession,
     path: str | Sequence[str],
     schema: T.StructType | str | None = None,
     sep: str = ",",
     tidy_header: bool = False,
+    multi_line: bool = False,
+    required: Sequence[str] = (),
 ) -> DataFrame:
-    """CSV scan with a header. Quoted fields may hold newlines and doubled quotes.
+    """CSV scan with a header; columns are taken by name. Quotes are doubled inside quoted fields.
 
-    ``tidy_header`` strips a byte-order mark and blanks from the column names and
-    lower-cases them; all columns are then read as strings.
+    Extra columns of a file are left out and missing ones are null, or an error if they are
+    ``required``. Files are split over tasks unless ``multi_line`` says that quoted
+    fields may hold newlines. ``tidy_header`` strips a byte-order mark and blanks from the
+    column names and lower-cases them; all columns are then read as strings.
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", True)
-    )
-    if schema is not None:
-        reader = reader.schema(schema)
     paths = [path] if isinstance(path, str) else list(path)
-    df = reader.csv(paths)
+    if schema is not None:
+        return _by_header(spark, lambda: _csv(spark, sep, multi_line), paths, schema, required).drop("__path")
+    df = _csv(spark, sep, multi_line).csv(paths)
     if tidy_header:
-        df = df.toDF(*[c.lstrip("﻿").strip().lower() for c in df.columns])
+        df = df.toDF(*[_plain_name(c).lower() for c in df.columns])
     return df
 
 
@@ -126,24 +177,32 @@ def scan_runs(
     file_name: str,
     schema: T.StructType | str,
     contains: Sequence[str] = (),
+    multi_line: bool = False,
+    required: Sequence[str] = (),
 ) -> DataFrame:
-    """One file name found at any depth below ``root``, with its ``source_path``."""
-    reader = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", True)
+    """Files of one name (a glob) at any depth below the roots, with their ``source_path``.
+
+    Paths are listed once, sorted and distinct; only folders with a path that contains one of
+    the tokens are read. Columns are taken by name from each folder's own header.
+    """
+    roots = [root] if isinstance(root, str) else list(root)
+    listed = (
+        spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", file_name)
-        .schema(schema)
+        .load(roots)
+        .select("path")
+        .distinct()
     )
-    roots = [root] if isinstance(root, str) else list(root)
-    df = reader.csv(roots).withColumn("source_path", F.input_file_name())
-    if contains:
-        hit = F.lit(False)
-        for token in contains:
-            hit = hit | F.col("source_path").contains(token)
-        df = df.where(hit)
-    return df
+    found = sorted(r.path for r in listed.collect())
+    chosen = [p for p in found if not contains or any(token in p for token in contains)]
+    folders = sorted({p.rsplit("/", 1)[0] for p in chosen})
+    rows = _by_header(
+        spark,
+        lambda: _csv(spark, multi_line=multi_line).option("pathGlobFilter", file_name),
+        folders, schema, required,
+    )
+    return rows.withColumnRenamed("__path", "source_path")
 
 
 def read_optional(
@@ -248,27 +307,32 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def run_partitioned(df: DataFrame, by: str, values: Sequence[str], root: str) -> list[str]:
     """Write one partition per value of ``by`` and mark it done; finished ones are skipped.
 
-    Each value is its own dynamic-partition overwrite, so a rerun after a failure
-    redoes only what is missing. Returns the values written now.
+    All unfinished values are one dynamic-partition overwrite; markers with the rows
+    read back follow in one more job, so a rerun after a failure redoes only what is missing.
+    Returns the values written now.
     """
     spark = df.sparkSession
-    written = []
-    for value in values:
-        marker = _done_marker(root, by, value)
-        if _exists(spark, marker):
-            continue
-        part = df.where(F.col(by) == value)
-        (
-            part.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(by)
-            .parquet(f"{root}/data")
-        )
-        rows = spark.read.parquet(f"{root}/data").where(F.col(by) == value)
-        done = rows.agg(F.count("*").cast("string").alias("value"))
-        done.coalesce(1).write.mode("overwrite").text(marker)
-        written.append(value)
-    return written
+    unfinished = [v for v in dict.fromkeys(values) if not _exists(spark, _done_marker(root, by, v))]
+    if not unfinished:
+        return []
+    (
+        df.where(F.col(by).isin(unfinished))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(by)
+        .parquet(f"{root}/data")
+    )
+    rows = spark.read.schema(df.schema).parquet(f"{root}/data")
+    counts = rows.where(F.col(by).isin(unfinished)).groupBy(F.col(by).cast("string").alias(by)).count()
+    asked = spark.createDataFrame([(str(v),) for v in unfinished], f"`{by}` string")
+    done = asked.join(counts, by, "left").select(by, F.coalesce("count", F.lit(0)).cast("string").alias("value"))
+    (
+        done.coalesce(1).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(by)
+        .text(f"{root}/_done")
+    )
+    return unfinished
 
 
 def read_partitioned(

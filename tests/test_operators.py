@@ -217,6 +217,15 @@ def test_review_queue_keeps_all_values(spark):
     assert sum(r.n for r in long) == 60 and len(long) == 25
 
 
+def test_lists_of_unequal_length_are_an_error(spark):
+    columns = "id int, x_text string, x_label string, x_tokens array<string>, x_token_logprobs array<double>"
+    even = spark.createDataFrame([(1, "a b", "active", ["a", " b"], [-1.0, -2.0]), (2, "", "active", [], [])], columns)
+    assert tokens.explode_tokens(even, ["id"], {"x": "active"}).count() == 2
+    odd = spark.createDataFrame([(1, "a", "active", ["a"], [-1.0, -2.0])], columns)
+    with pytest.raises(Exception, match="differ in number"):
+        tokens.explode_tokens(odd, ["id"], {"x": "active"}).collect()
+
+
 def test_frequent_first_lookup_equals_a_join(spark):
     big = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     table = big.groupBy("k").agg(F.count("*").alias("n")).where("k <> '4'").withColumn("v", F.length("k"))

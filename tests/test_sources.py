@@ -9,11 +9,30 @@ from pairlens.sources import shared, tables
 def test_csv_header_with_mark_and_multiline(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text('﻿Nouns ;F_Rank\n"x\ny";3\n"say ""hi""";4\n', encoding="utf-8")
-    got = tables.read_table(spark, str(path), sep=";", tidy_header=True)
+    got = tables.read_table(spark, str(path), sep=";", tidy_header=True, multi_line=True)
     assert got.columns == ["nouns", "f_rank"]
     assert [tuple(r) for r in got.collect()] == [("x\ny", "3"), ('say "hi"', "4")]
 
 
+def test_csv_columns_by_name(spark, tmp_path):
+    for name, text in (("a", "score,item_id\n0.7,x\n"), ("b", "item_id,extra,score\ny,9,0.5\n"), ("c", "item_id\nz\n")):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "items.csv").write_text(text)
+    schema = "item_id string, score double"
+    want = [("x", 0.7), ("y", 0.5), ("z", None)]
+    found = tables.scan_runs(spark, str(tmp_path), "items.csv", schema)
+    assert sorted((r.item_id, r.score) for r in found.collect()) == want
+    paths = [str(tmp_path / n / "items.csv") for n in "abc"]
+    assert sorted(tuple(r) for r in tables.read_table(spark, paths, schema).collect()) == want
+    with pytest.raises(ValueError, match="score"):
+        tables.read_table(spark, paths, schema, required=["score"])
+    assert tables.scan_runs(spark, str(tmp_path), "items.csv", schema, contains=["none"]).collect() == []
+    (tmp_path / "a" / "more.csv").write_text("item_id,score\nq,0.1\n")
+    with pytest.raises(Exception, match="header"):
+        tables.read_table(spark, str(tmp_path / "a"), schema).collect()
+
+
 def test_jsonl_rejects_bad_lines(spark, tmp_path):
     schema = T.StructType.fromDDL("a int")
     good, bad = tmp_path / "g.jsonl", tmp_path / "b.jsonl"
@@ -52,6 +71,8 @@ def test_partitions_resume(spark, tmp_path):
     assert tables.run_partitioned(df, "c", ["x", "y"], root) == []
     got = tables.read_partitioned(spark, "c", ["x", "y"], root).agg(F.sum("v")).first()[0]
     assert got == 6
+    assert tables.run_partitioned(df, "c", ["z"], root) == ["z"]
+    assert tables.read_partitioned(spark, "c", ["x", "z"], root).count() == 1
 
 
 def test_scan_runs_and_path_columns(spark, tmp_path):
