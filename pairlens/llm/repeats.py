@@ -24,7 +24,8 @@ reported in overlapping pieces; their union is the same.
 Nulls: a null text is the empty text; a row with a null ``doc_id`` is searched neither for
 repeats nor as their other place, and keeps its text. Rows that share a ``doc_id`` but not
 the text: the spans found for the id are applied to both, within their length; give unique ids. An empty table gives an
-empty result. Other columns pass through ``remove_repeats``.
+empty result. Other columns pass through
+``remove_repeats``.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, Spans, chunks, mix, texts
@@ -283,17 +284,18 @@ def _context_bytes(wanted: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             expand = zstandard.ZstdDecompressor()
-            for doc_id, packed, asked in zip(*(c.to_pylist() for c in batch.columns)):
-                text = expand.decompress(packed)
-                _, first, end = _span(np.array([w["at"] for w in asked], np.int64))
-                for w, a, b in zip(asked, first.tolist(), end.tolist()):
-                    if w["crowded"]:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1), _lists(batch.column(2), "gram", "at", "crowded"))
+            for doc_id, packed, (grams, ats, crowded) in rows:
+                text = expand.decompress(packed.as_buffer())
+                _, first, end = _span(ats)
+                for gram, at, many, a, b in zip(grams.tolist(), ats.tolist(), crowded.tolist(), first.tolist(), end.tolist()):
+                    if many:
                         windows = Spans(np.frombuffer(text[a:b], np.uint8))
                         starts = np.arange(b - a - LEAST + 1)
                         hashes = windows.hash(starts, starts + LEAST).view(np.int64).tolist()
-                        out.append((w["gram"], doc_id, w["at"], None, hashes))
+                        out.append((gram, doc_id, at, None, hashes))
                     else:
-                        out.append((w["gram"], doc_id, w["at"], text[a:b], None))
+                        out.append((gram, doc_id, at, text[a:b], None))
                 if len(out) > 20_000:
                     yield _context_rows(out)
                     out = []
@@ -309,39 +311,58 @@ def _context_rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["gram", "doc_id", "at", "own", "windows"])
 
 
+def _spans(places: Column) -> Column:
+    """Places as ranges of whole contexts, with the context's hash as the repeat's number."""
+
+    def one(x: Column) -> Column:
+        first = F.shiftright(x, 16) - F.shiftright(x, 8).bitwiseAND(255)
+        return F.struct(first.alias("first"), (first + x.bitwiseAND(255) + LEAST).alias("end"), F.col("context").alias("repeat"))
+
+    return F.transform(places, one).alias("spans")
+
+
 def repeats(docs: DataFrame, scratch: Scratch, groups: bool = False) -> DataFrame:
-    """doc_id, first, end, repeat: byte ranges that are covered by repeats.
+    """doc_id, spans (first, end, repeat): byte ranges that are covered by repeats.
 
-    With ``groups`` the rows of the sorted buckets are maximal repeats, one row for each
+    With ``groups`` the spans of the sorted buckets are maximal repeats, one for each
     occurrence, with a number that all occurrences of a string share.
     """
     found = scratch.keep(_anchor_table(docs), "anchors")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("same"))
-    shared = scratch.keep(found.join(grams.where("n > 1"), "gram").select("doc_id", "gram", "context", "at", "n", "same"), "shared")
+    # Written first: between two plain tables Spark can split the partition of a frequent gram.
+    grams = scratch.keep(grams.where("n > 1"), "grams")
+    shared = scratch.keep(found.join(grams, "gram").select("doc_id", "gram", "context", "at", "n", "same"), "shared")
     scratch.drop("anchors")
 
-    place, before, more = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
-    whole = [
-        "doc_id", (place - before).alias("first"), (place - before + more + LEAST).alias("end"), F.col("context").alias("repeat"),
-    ]
-    resolved = shared.where("same").select(*whole)
+    resolved = shared.where("same").select("doc_id", _spans(F.array("at")))
     sorted_rows = shared.where((~F.col("same")) & (F.col("n") <= BUCKET))
-    crowded = shared.where((~F.col("same")) & (F.col("n") > BUCKET))
-    # Crowded buckets: equal contexts are resolved, one of them stands for them all.
-    alike = crowded.groupBy("gram", "context").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "at")).alias("one"))
-    resolved_too = crowded.join(alike.where("k > 1").select("gram", "context"), ["gram", "context"], "left_semi").select(*whole)
+    # Crowded buckets: equal contexts, first those of one document, are put together. They
+    # are resolved, and one of them stands for them all.
+    crowded = (
+        shared.where((~F.col("same")) & (F.col("n") > BUCKET))
+        .groupBy("gram", "context", "doc_id")
+        .agg(F.collect_list("at").alias("ats"))
+    )
+    alike = crowded.groupBy("gram", "context").agg(
+        F.sum(F.size("ats")).alias("k"), F.min(F.struct("doc_id", F.array_min("ats").alias("at"))).alias("one")
+    )
+    resolved_too = crowded.join(alike.where("k > 1").select("gram", "context"), ["gram", "context"], "left_semi")
+    resolved_too = resolved_too.select("doc_id", _spans(F.col("ats")))
     stand_ins = alike.select(F.col("one.doc_id").alias("doc_id"), F.col("one.at").alias("at"), "gram", F.lit(True).alias("crowded"))
     wanted = sorted_rows.select("doc_id", "at", "gram", F.lit(False).alias("crowded")).union(stand_ins)
     contexts = scratch.keep(_context_bytes(wanted, docs), "contexts")
 
+    place, before = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255)
     windows = contexts.where("windows is not null").select(
         "doc_id", (place - before).alias("lo"), F.posexplode("windows").alias("k", "window")
     )
     again = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1")
+    start = F.col("lo") + F.col("k")
     counted = windows.join(again, "window").select(
-        "doc_id", (F.col("lo") + F.col("k")).alias("first"), (F.col("lo") + F.col("k") + LEAST).alias("end"), F.col("window").alias("repeat")
+        "doc_id", F.array(F.struct(start.alias("first"), (start + LEAST).alias("end"), F.col("window").alias("repeat"))).alias("spans")
     )
     buckets = _scan_buckets(contexts.where("own is not null"), groups)
+    buckets = buckets.select("doc_id", F.array(F.struct("first", "end", "repeat")).alias("spans"))
     return resolved.union(resolved_too).union(counted).union(buckets)
 
 
@@ -354,25 +375,27 @@ def merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[new], end[last]
 
 
+def _per_doc(spans: DataFrame, doc: str, name: str) -> DataFrame:
+    """The ranges of each document; they are no more than its anchors and windows."""
+    ranges = F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["end"].alias("end")))
+    return spans.select(F.col("doc_id").alias(doc), ranges.alias("r")).groupBy(doc).agg(F.flatten(F.collect_list("r")).alias(name))
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay)."""
     scratch = Scratch(docs.sparkSession, "repeats")
     spans = repeats(docs, scratch)
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    per_doc = _per_doc(spans, "doc_id", "spans")
 
     def run(batches):
         for batch in batches:
             expand = zstandard.ZstdDecompressor()
             out = []
-            for doc_id, packed, found in zip(*(c.to_pylist() for c in batch.columns)):
-                text = expand.decompress(packed)
-                kept, removed, n = text, 0, 0
-                if found:
-                    first, end = merged(*(np.array([s[k] for s in found], np.int64) for k in ("first", "end")))
-                    end = np.minimum(end, len(text))
-                    edges = [0, *np.column_stack([first, end]).reshape(-1).tolist(), len(text)]
-                    kept = b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2])])
-                    removed, n = len(text) - len(kept), len(first)
+            rows = zip(batch.column(0).to_pylist(), batch.column(1), _lists(batch.column(2), "first", "end"))
+            for doc_id, packed, (first, end) in rows:
+                text = expand.decompress(packed.as_buffer())
+                kept, n = _kept(text, first, end)
+                removed = len(text) - len(kept)
                 out.append((doc_id, len(text), removed, n, hashlib.sha256(kept).hexdigest(), kept))
             types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
             columns = list(zip(*out)) if out else [()] * 6
@@ -384,6 +407,50 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
+def _lists(column: pa.ListArray, *fields: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """The fields of each row's structs as arrays; a null row has none."""
+    offsets = column.offsets.to_numpy()
+    values = [column.values.field(f).to_numpy(zero_copy_only=False) for f in fields]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        yield tuple(v[a:b] for v in values)
+
+
+def _kept(text: bytes, first: np.ndarray, end: np.ndarray) -> tuple[bytes, int]:
+    """What stays of a text, and the number of runs that go."""
+    if not len(first):
+        return text, 0
+    first, end = merged(first, end)
+    edges = [0, *np.column_stack([first, end]).reshape(-1).tolist(), len(text)]
+    return b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2])]), len(first)
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated bytes cut from the texts; all rows and columns stay.
+
+    Bytes of a character that a cut has split go too. A column ``n_chars`` is brought up to date.
+    """
+    columns, place = docs.columns, docs.columns.index("text")
+    spans = repeats(docs, Scratch(docs.sparkSession, "repeats"))
+    per_doc = _per_doc(spans, "_doc", "_spans")
+    joined = docs.join(per_doc, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+
+    def run(batches):
+        for batch in batches:
+            own = []
+            for text, (first, end) in zip(batch.column(place).to_pylist(), _lists(batch.column(len(columns)), "first", "end")):
+                if len(first) and text is not None:
+                    text = _kept(text.encode("utf-8", "surrogatepass"), first, end)[0].decode("utf-8", "ignore")
+                own.append(text)
+            arrays = [pa.array(own, pa.string()) if i == place else batch.column(i) for i in range(len(columns))]
+            yield pa.RecordBatch.from_arrays(arrays, columns)
+
+    out = joined.mapInArrow(run, docs.schema)
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
 def maximal_repeats(docs: DataFrame) -> DataFrame:
     """repeat, doc_id, first, end: each maximal repeat with all its occurrences."""
-    return repeats(docs, Scratch(docs.sparkSession, "repeats"), groups=True).select("repeat", "doc_id", "first", "end").distinct()
+    found = repeats(docs, Scratch(docs.sparkSession, "repeats"), groups=True)
+    return found.select("doc_id", F.inline("spans")).select("repeat", "doc_id", "first", "end").distinct()
