@@ -64,6 +64,21 @@ def position_in_group(
     )
 
 
+def index_block(df: DataFrame, index: str, width: int) -> Column:
+    """Blocks of an integer index for :func:`position_in_group`: about one for each ``width`` rows.
+
+    The index's span is cut evenly into as many blocks as the rows need, so widely spaced or
+    hash-like indexes make no more blocks than dense ones.
+    """
+    def half(x: Column) -> Column:  # so that differences of far bigints stay bigints
+        return F.shiftright(x.cast("bigint"), 1)
+
+    low, high = (half(df.agg(f(index)).scalar()) for f in (F.min, F.max))
+    blocks = F.greatest(F.lit(1), F.ceil(df.agg(F.count("*")).scalar() / width))
+    step = F.greatest(F.lit(1), F.ceil((high - low) / blocks))
+    return F.floor((half(F.col(index)) - low) / step)
+
+
 def counterbalance(
     df: DataFrame,
     cell: Sequence[str],
@@ -72,7 +87,7 @@ def counterbalance(
     name: str = "role_order",
 ) -> DataFrame:
     """agent_first / patient_first in turn inside each cell, in index order."""
-    block = F.floor(F.col(index) / width)
+    block = index_block(df, index, width)
     placed = position_in_group(df, cell, [index], block, "__turn")
     turn = F.when(F.col("__turn") % 2 == 0, "agent_first").otherwise("patient_first")
     return placed.withColumn(name, turn).drop("__turn")

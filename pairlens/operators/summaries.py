@@ -88,30 +88,22 @@ def standard_summaries(
     spread = fine.select(
         F.explode(grids).alias("g"), *[c for c in fine.columns if c.startswith("__")]
     ).select("g.*", *[c for c in fine.columns if c.startswith("__")])
-    group = W.partitionBy("summary", *keys)
-    centred = spread.withColumns(
-        {
-            f"__g{i}": F.try_divide(
-                F.sum(F.col(f"__n{i}") * F.coalesce(F.col(f"__m{i}"), F.lit(0.0))).over(group),
-                F.sum(f"__n{i}").over(group),
-            )
-            for i in range(len(values))
-        }
-    )
+    # Squares about one common point per value, close to all means, so that the groups'
+    # sums form in partial aggregations and little is lost in the last difference.
     aggs = [F.sum("__rows").alias("n_rows")]
     for i, v in enumerate(values):
-        n = F.sum(f"__n{i}")
-        squares = F.sum(
-            F.col(f"__n{i}")
-            * (F.col(f"__v{i}") + F.pow(F.col(f"__m{i}") - F.col(f"__g{i}"), F.lit(2)))
-        )
-        sd = F.when(n > 1, F.sqrt(squares / (n - 1)))
+        shift = df.agg(F.coalesce(F.avg(v), F.lit(0.0))).scalar()
+        rows, mean, own = F.col(f"__n{i}"), F.col(f"__m{i}"), F.col(f"__v{i}")
+        n = F.sum(rows)
+        off = F.try_divide(F.sum(rows * (mean - shift)), n)
+        squares = F.sum(rows * (own + F.pow(mean - shift, F.lit(2)))) - n * off * off
+        sd = F.when(n > 1, F.sqrt(F.greatest(squares, F.lit(0.0)) / (n - 1)))
         aggs += [
-            F.first(f"__g{i}").alias(f"{v}_mean"),
+            (off + shift).alias(f"{v}_mean"),
             sd.alias(f"{v}_std"),
             (sd / F.sqrt(F.sum("__rows"))).alias(f"{v}_se"),
         ]
-    return centred.groupBy("summary", *keys).agg(*aggs)
+    return spread.groupBy("summary", *keys).agg(*aggs)
 
 
 def conditional_mean(value: Column | str, condition: Column) -> Column:

@@ -69,6 +69,15 @@ def test_position_in_group_equals_row_number(spark):
         assert out.withColumn("w", want).where("w <> position").count() == 0
 
 
+def test_blocks_of_sparse_and_huge_indexes_stay_few(spark):
+    df = spark.range(2000).select(F.xxhash64("id").alias("i"))
+    blocks = df.withColumn("b", ranking.index_block(df, "i", 100))
+    n = blocks.groupBy("b").count()
+    assert 15 <= n.count() <= 22 and n.agg(F.max("count")).first()[0] < 200
+    out = ranking.position_in_group(df.withColumn("g", F.lit(1)), ["g"], ["i"], ranking.index_block(df, "i", 100))
+    assert [r.position for r in out.orderBy("i").collect()] == list(range(2000))
+
+
 def test_counterbalance_differs_by_at_most_one(spark):
     df = spark.range(997).select("id", F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 2).alias("cell"))
     out = ranking.counterbalance(df, ["cell"], "id", width=50)
