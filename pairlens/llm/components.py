@@ -1,12 +1,41 @@
-"""Connected components of a table of links, by alternating large and small stars."""
+"""Connected components of a table of links.
+
+Links are contracted in blocks: a task joins the nodes of its block and gives back one
+link from each node to the smallest of its group. If there are several blocks, large and
+small stars alternate over what is left until nothing changes.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: Links that one task contracts.
+BLOCK_LINKS = 500_000
+
+
+def _contract(links: DataFrame) -> DataFrame:
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while (up := parent.setdefault(i, i)) != i:
+                parent[i] = i = parent[up]
+            return i
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+        stars = [(i, top) for i in list(parent) if (top := root(i)) != i]
+        columns = list(zip(*stars)) if stars else [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    return links.mapInArrow(run, "a long, b long")
+
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest of them all."""
@@ -28,10 +57,11 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     Each round is written to the shared folder, so lineage stays short; what travels to
     the driver is a count and a checksum. Links of a node with itself are ignored.
     """
-    larger = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    current = scratch.keep(larger, f"{name}-0")
+    named = links.select("a", "b").where("a <> b")
+    blocks = -(-named.count() // BLOCK_LINKS)
+    current = scratch.keep(_contract(named.repartition(max(1, blocks))), f"{name}-0")
     before = None
-    for n in range(1, 100):
+    for n in range(1, 100 if blocks > 1 else 1):
         current = scratch.keep(_small_star(_large_star(current)), f"{name}-{n}")
         scratch.drop(f"{name}-{n - 1}")
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -17,7 +17,9 @@ Links are found in rounds, so that a group of near copies is never expanded into
 3. On keys that hold several components, documents of small keys (``SMALL`` rows) are
    compared with all of other components, those of large keys with their nearest one.
 4. On large keys that still hold several components, all remaining pairs of different
-   components within the radius are compared. Rows of the key's main component are
+   components within the radius are compared, by their sets' ``SKETCH`` least hashes (whole sets,
+   if they are no larger; else an estimate that falls below ``SKETCH_LEAST`` at a similarity of 0.75 with a
+   chance of 3e-6), and those that may be links in full. Rows of the key's main component are
    never compared with one another, and keys are cut into blocks of ``BLOCK`` rows.
 
 After round 4 every pair within the radius was compared or lies in one component.
@@ -43,6 +45,7 @@ from .components import components
 SHINGLE, PERCENT = 5, 75
 SYMBOLS, CHUNKS, RADIUS = 64, 15, 29
 FINE, FINE_LEAST = 256, 161
+SKETCH, SKETCH_LEAST = 512, 0.664
 SMALL, BLOCK = 16, 2048
 BATCH_BYTES = 1 << 20
 
@@ -79,12 +82,12 @@ def shingle_sets(some: list[bytes]) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def minima(own: np.ndarray) -> np.ndarray:
-    """``FINE`` MinHash minima of 32 bits, two from each multiplication."""
-    least = np.full(FINE, 0xFFFFFFFF, np.uint32)
+def minima(own: np.ndarray, n: int = FINE) -> np.ndarray:
+    """``n`` MinHash minima of 32 bits, two from each multiplication."""
+    least = np.full(n, 0xFFFFFFFF, np.uint32)
     with np.errstate(over="ignore"):
         for k in range(0, len(own), 1024):
-            part = (own[k : k + 1024, None] * _MULTIPLIERS).view(np.uint32)
+            part = (own[k : k + 1024, None] * _MULTIPLIERS[: n // 2]).view(np.uint32)
             np.minimum(least, part.min(axis=0), out=least)
     return least
 
@@ -110,39 +113,49 @@ def key_table(coarse: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def coarse_of(least: np.ndarray) -> bytes:
+    return (least[:SYMBOLS] * np.uint32(0x9E3779B1) >> np.uint32(16)).astype("<u2").tobytes()
+
+
+def fine_of(least: np.ndarray) -> bytes:
+    return (least * np.uint32(0x85EBCA6B) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
+def _each_set(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    some = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+    for a, b in chunks(some, list(map(len, some)), BATCH_BYTES):
+        yield from shingle_sets(some[a:b])
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (of the whole set), coarse and fine signatures."""
+    """doc_id, n_shingles, set_key (of the whole set), coarse signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            sizes, keys, coarse, fine = [], [], [], []
-            for a, b in chunks(some, list(map(len, some)), BATCH_BYTES):
-                for own in shingle_sets(some[a:b]):
-                    sizes.append(len(own))
-                    if not len(own):
-                        keys.append(None)
-                        coarse.append(None)
-                        fine.append(None)
-                        continue
-                    least = minima(own)
-                    keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                    coarse.append((least[:SYMBOLS] * np.uint32(0x9E3779B1) >> np.uint32(16)).astype("<u2").tobytes())
-                    fine.append((least * np.uint32(0x85EBCA6B) >> np.uint32(24)).astype(np.uint8).tobytes())
-            arrays = [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, coarse, fine))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_key", "coarse", "fine"])
-
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, coarse binary, fine binary")
+            sizes, keys, coarse = [], [], []
+            for own in _each_set(batch):
+                sizes.append(len(own))
+                keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                coarse.append(coarse_of(minima(own, SYMBOLS)) if len(own) else None)
+            arrays = [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, coarse))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_key", "coarse"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, coarse binary")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
+    """node, own (the whole set), coarse and fine signatures, sketch (least hashes, upper halves)."""
+
     def run(batches):
         for batch in batches:
-            some = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            own = [s.tobytes() for a, b in chunks(some, list(map(len, some)), BATCH_BYTES) for s in shingle_sets(some[a:b])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["node", "own"])
+            rows = []
+            for own in _each_set(batch):
+                least = minima(own)
+                rows.append((own.tobytes(), coarse_of(least), fine_of(least), (own[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()))
+            columns = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in columns)], ["node", "own", "coarse", "fine", "sketch"])
 
-    return docs.mapInArrow(run, "node long, own binary")
+    return docs.mapInArrow(run, "node long, own binary, coarse binary, fine binary, sketch binary")
 
 
 def _keys(signed: DataFrame) -> DataFrame:
@@ -180,6 +193,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(near).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def may_link(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether sets with these sketches may be similar enough."""
+    both = len(np.intersect1d(x, y))
+    if len(x) < SKETCH and len(y) < SKETCH:
+        return 100 * (both + 1) >= PERCENT * (len(x) + len(y) - both - 1)
+    least = np.union1d(x, y)[:SKETCH]
+    shared = np.count_nonzero(np.isin(least, x, assume_unique=True) & np.isin(least, y, assume_unique=True))
+    return shared >= SKETCH_LEAST * len(least)
+
+
 def _compare(left: dict, right: dict, nearest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of different components within the radius: places left and right, agreeing bytes."""
     found = []
@@ -201,12 +224,12 @@ def _compare(left: dict, right: dict, nearest: bool) -> tuple[np.ndarray, np.nda
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _block_pairs(rows: DataFrame, signed: DataFrame, nearest: bool) -> DataFrame:
+def _block_pairs(rows: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
     """a, b, same: pairs of different components on the large keys ``rows`` (key, node, component).
 
     A key's rows outside its main component stand on the right, in blocks, and meet all
     rows of the key, in blocks. ``nearest``: for each right row its nearest partner only.
-    A pair is given by the first key it shares, so once.
+    A pair is given by the first key it shares, so once, and only if its sketches allow a link.
     """
     by_component = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     about = by_component.groupBy("key").agg(
@@ -221,7 +244,7 @@ def _block_pairs(rows: DataFrame, signed: DataFrame, nearest: bool) -> DataFrame
     h = F.xxhash64("node")
     block = F.when(F.col("is_main"), F.pmod(h, F.col("main_blocks"))).otherwise(F.pmod(h, F.col("rest_blocks")))
     placed = placed.withColumn("block", block.cast("int")).join(
-        signed.select("node", "coarse", "fine"), "node"
+        sets.select("node", "coarse", "fine", "sketch"), "node"
     )
     # A main row meets each block of the rest; a row of the rest stands left in its own
     # block against blocks up to it, and right against all main blocks and blocks from it on.
@@ -240,7 +263,7 @@ def _block_pairs(rows: DataFrame, signed: DataFrame, nearest: bool) -> DataFrame
         "*", F.lit(False).alias("left"), F.lit(False).alias("against_main"),
         F.explode(F.sequence(F.col("block"), last_rest)).alias("i"), F.col("block").alias("j"),
     )
-    columns = ["key", "against_main", "i", "j", "left", "node", "component", "coarse", "fine"]
+    columns = ["key", "against_main", "i", "j", "left", "node", "component", "coarse", "fine", "sketch"]
     tasks = on_left.select(columns).union(versus_main.select(columns)).union(versus_rest.select(columns))
 
     def run(table: pa.Table) -> pa.Table:
@@ -248,7 +271,9 @@ def _block_pairs(rows: DataFrame, signed: DataFrame, nearest: bool) -> DataFrame
         node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
         coarse = np.frombuffer(b"".join(table.column("coarse").to_pylist()), "<u2").reshape(-1, SYMBOLS)
         fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
-        all_rows = {"node": node, "component": component, "coarse": coarse, "fine": fine}
+        sketch = np.empty(len(node), object)
+        sketch[:] = [np.frombuffer(s, "<u4") for s in table.column("sketch").to_pylist()]
+        all_rows = {"node": node, "component": component, "coarse": coarse, "fine": fine, "sketch": sketch}
         left = {k: v[is_left] for k, v in all_rows.items()}
         right = {k: v[~is_left] for k, v in all_rows.items()}
         x, y, same = _compare(left, right, nearest)
@@ -258,6 +283,8 @@ def _block_pairs(rows: DataFrame, signed: DataFrame, nearest: bool) -> DataFrame
             for k in range(number, -1, -1):
                 first[(left["coarse"][x][:, SUBSETS[k]] == right["coarse"][y][:, SUBSETS[k]]).all(axis=1)] = k
             x, y, same = x[first == number], y[first == number], same[first == number]
+        good = np.array([may_link(left["sketch"][i], right["sketch"][j]) for i, j in zip(x, y)], bool)
+        x, y, same = x[good], y[good], same[good]
         return pa.table({"a": right["node"][y], "b": left["node"][x], "same": pa.array(same, pa.int64())})
 
     return tasks.groupBy("key", "against_main", "i", "j").applyInArrow(run, "a long, b long, same long")
@@ -270,7 +297,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = signed_all.where("doc_id is not null and n_shingles > 0")
     classes = scratch.keep(named.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
     signed = scratch.keep(
-        named.join(classes.select("set_key", "node"), "set_key").where("doc_id = node").select("node", "coarse", "fine").dropDuplicates(["node", "coarse", "fine"]),
+        named.join(classes.select("set_key", "node"), "set_key").where("doc_id = node").select("node", "coarse").distinct(),
         "signed",
     )
     keys = _keys(signed)
@@ -314,17 +341,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small_pairs = one.select("x", F.explode("m").alias("y")).where("x.component < y.component")
     small_pairs = small_pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     large = open_rows.where(F.col("n") > SMALL)
-    close = _block_pairs(large.select("key", "node", "component"), signed, nearest=True)
+    close = _block_pairs(large.select("key", "node", "component"), sets, nearest=True)
     nearest = close.groupBy("a").agg(F.max(F.struct("same", (-F.col("b")).alias("least"))).alias("top"))
     nearest = nearest.select("a", (-F.col("top.least")).alias("b"))
     second = scratch.keep(untested(small_pairs.union(nearest), tested), "pairs-2")
-    links_2 = scratch.keep(confirmed(even(_similar(second, signed)), sets), "links-2")
+    links_2 = scratch.keep(confirmed(even(_similar(second, sets)), sets), "links-2")
     links, tested = links.union(links_2), tested.union(second)
     labels = scratch.keep(components(links, scratch, "stars-2"), "labels-2")
 
     # Round 3: what is left on large keys.
     open_rows = scratch.keep(mixed(large.select("key", "node", "n"), labels), "open-3")
-    rest = _block_pairs(open_rows.select("key", "node", "component"), signed, nearest=False)
+    rest = _block_pairs(open_rows.select("key", "node", "component"), sets, nearest=False)
     third = scratch.keep(untested(rest.select("a", "b"), tested), "pairs-3")
     links = links.union(scratch.keep(confirmed(third, sets), "links-3"))
     labels = scratch.keep(components(links, scratch, "stars-3"), "labels-3")
@@ -344,7 +371,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _similar(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose fine signatures agree enough to be compared in full."""
 
     def run(batches):
@@ -352,6 +379,6 @@ def _similar(pairs: DataFrame, signed: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FINE) for c in (2, 3))
             yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= FINE_LEAST))
 
-    left = signed.select(F.col("node").alias("a"), F.col("fine").alias("x"))
-    right = signed.select(F.col("node").alias("b"), F.col("fine").alias("y"))
+    left = sets.select(F.col("node").alias("a"), F.col("fine").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("fine").alias("y"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
