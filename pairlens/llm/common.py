@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,21 @@ _CONF = "spark.checkpoint.dir"
 _LOCAL: dict[str, str] = {}
 
 
+#: Lists that note the folders made while they are open.
+_LISTS: list[list[Scratch]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[Scratch]]:
+    """A list of the folders that are made within the block."""
+    made: list[Scratch] = []
+    _LISTS.append(made)
+    try:
+        yield made
+    finally:
+        _LISTS.remove(made)
+
+
 class Scratch:
     """Intermediate tables of one run, below the folder that all executors share.
 
@@ -32,6 +49,8 @@ class Scratch:
                 _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="pairlens-")
             root = _LOCAL[app]
         self.path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        for made in _LISTS:
+            made.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written as Parquet and read back: lineage is cut, executors may go."""

@@ -371,6 +371,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without the near duplicates of a smaller doc_id, with all columns."""
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose fine signatures agree enough to be compared in full."""
 

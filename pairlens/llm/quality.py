@@ -179,9 +179,9 @@ def logistic(d: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted; learned from the labels of rows not held out."""
-    table = Scratch(docs.sparkSession, "quality").keep(features(docs), "features")
+def trained(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[DataFrame, Discriminant | float]:
+    """The features of all texts, and what is learned from the labelled ones not held out."""
+    table = scratch.keep(features(docs), "features")
     known = (
         labels.where("doc_id is not null and quality is not null")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -189,16 +189,38 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .where("label = other and label in (0, 1)")
         .select("doc_id", F.col("label").cast("long").alias("label"))
     )
-    model = fit(table.where(~held_out(F.col("doc_id"))).join(known, "doc_id"))
+    return table, fit(table.where(~held_out(F.col("doc_id"))).join(known, "doc_id"))
+
+
+def _scores(model: Discriminant | float, rows: list[list[float]]) -> np.ndarray:
+    if not isinstance(model, Discriminant):
+        return np.full(len(rows), model)
+    return model.score(np.array(rows, float).reshape(-1, N_FEATURES))
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted; learned from the labels of rows not held out."""
+    table, model = trained(docs, labels, Scratch(docs.sparkSession, "quality"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model = shared.value
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), float).reshape(-1, N_FEATURES)
-            score = model.score(x) if isinstance(model, Discriminant) else np.full(len(x), model)
+            score = _scores(shared.value, batch.column(1).to_pylist())
             predicted = (score >= THRESHOLD).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(predicted)], ["doc_id", "score", "predicted"])
 
     given = table.select("doc_id", "x").mapInArrow(run, "doc_id long, score double, predicted int")
     return given.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with all their columns."""
+    _, model = trained(docs, labels, Scratch(docs.sparkSession, "quality"))
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            rows = [statistics(t or "") for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(_scores(shared.value, rows) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
