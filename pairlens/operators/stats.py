@@ -254,8 +254,52 @@ def _symmetric(flat: np.ndarray, p: int) -> np.ndarray:
     return full + np.triu(full, 1).T
 
 
+def _inverse(xx: np.ndarray) -> tuple[np.ndarray, int]:
+    """Generalised inverse of a cross-product matrix and its rank.
+
+    Terms are first brought to one scale, so that a small column is not taken for a
+    redundant one.
+    """
+    scale = np.sqrt(np.diag(xx))
+    scale = np.where(scale > 0, scale, 1.0)
+    scaled = xx / np.outer(scale, scale)
+    values = np.linalg.eigvalsh(scaled)
+    rank = int((values > 1e-10 * max(values.max(), 1e-300)).sum())
+    inverse = np.linalg.inv(scaled) if rank == len(xx) else np.linalg.pinv(scaled, rcond=1e-10, hermitian=True)
+    return inverse / np.outer(scale, scale), rank
+
+
+def design(
+    df: DataFrame,
+    factors: Sequence[str] = (),
+    numeric: Sequence[str] = (),
+    interactions: Sequence[tuple[str, str]] = (),
+    most_levels: int = 100,
+) -> dict[str, Column]:
+    """Terms for :func:`ols` and :func:`ols_hc3`: an intercept, a column per factor level but the
+    first, the numbers, and products for each interaction of two of them.
+
+    The levels of each factor come from one aggregation; more than ``most_levels`` are an error.
+    """
+    parts: dict[str, dict[str, Column]] = {c: {c: F.col(c).cast("double")} for c in numeric}
+    for c in factors:
+        found = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v")).distinct()
+        levels = sorted(r.v for r in found.limit(most_levels + 1).collect())
+        if len(levels) > most_levels:
+            raise ValueError(f"{c} has more than {most_levels} levels")
+        parts[c] = {f"{c}[{v}]": (F.col(c).cast("string") == v).cast("double") for v in levels[1:]}
+    terms: dict[str, Column] = {"Intercept": F.lit(1.0)}
+    for c in (*factors, *numeric):
+        terms |= parts[c]
+    for a, b in interactions:
+        terms |= {f"{m}:{n}": x * z for m, x in parts[a].items() for n, z in parts[b].items()}
+    return terms
+
+
 def _fit(df: DataFrame, y: str, terms: Sequence[str]) -> DataFrame:
-    """One row: coefficients, inverse cross-product matrix, rows, residual sum of squares.
+    """One row: coefficients, inverse cross-product matrix, rows, rank, residual sum of squares.
+
+    Redundant terms share their effect by the generalised inverse; the rank tells of them.
 
     Everything the fit needs from the data is the p x p cross-product table, summed in
     one aggregation; only that row is solved.
@@ -272,19 +316,20 @@ def _fit(df: DataFrame, y: str, terms: Sequence[str]) -> DataFrame:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 xy = np.asarray(row.xy, dtype=float)
-                inverse = np.linalg.inv(_symmetric(np.asarray(row.xx, dtype=float), p))
+                inverse, rank = _inverse(_symmetric(np.asarray(row.xx, dtype=float), p))
                 beta = inverse @ xy
                 yield pd.DataFrame(
                     {
                         "beta": [beta.tolist()],
                         "inverse": [inverse.ravel().tolist()],
                         "n": [int(row.n)],
+                        "rank": [rank],
                         "rss": [float(row.yy - beta @ xy)],
                     }
                 )
 
     return sums.mapInPandas(
-        solve, "beta array<double>, inverse array<double>, n bigint, rss double"
+        solve, "beta array<double>, inverse array<double>, n bigint, rank bigint, rss double"
     )
 
 
@@ -304,7 +349,7 @@ def ols(df: DataFrame, y: str, terms: Mapping[str, Column]) -> DataFrame:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 inverse = np.asarray(row.inverse, dtype=float).reshape(p, p)
-                free = max(int(row.n) - p, 1)
+                free = max(int(row.n) - int(row.rank), 1)
                 se = np.sqrt(np.maximum(np.diag(inverse) * max(row.rss, 0.0) / free, 0.0))
                 beta = np.asarray(row.beta, dtype=float)
                 yield pd.DataFrame(
@@ -319,8 +364,12 @@ def ols(df: DataFrame, y: str, terms: Mapping[str, Column]) -> DataFrame:
 
 
 def ols_hc3(df: DataFrame, y: str, terms: Mapping[str, Column]) -> DataFrame:
-    """Least squares with HC3 errors: leverage and the weighted cross products come from a
-    second aggregation that reads the solved p x p matrix as a scalar subquery."""
+    """Least squares with HC3 errors: term, coefficient, error, 95% interval, z, p.
+
+    Leverage and the weighted cross products come from a second aggregation that reads the
+    solved p x p matrix as a scalar subquery. A row with leverage 1 is fitted exactly and
+    adds nothing to the errors.
+    """
     rows, names = _design(df, y, terms)
     p, labels = len(names), list(terms)
     fit = _fit(rows, "y", names)
@@ -337,7 +386,8 @@ def ols_hc3(df: DataFrame, y: str, terms: Mapping[str, Column]) -> DataFrame:
     )
     leverage = dot(F.col("__x"), products)
     residual = F.col("y") - dot(F.col("__x"), F.col("__s.beta"))
-    weighted = work.withColumn("__w", F.pow(residual / (1 - leverage), F.lit(2)))
+    own = F.greatest(1 - leverage, F.lit(0.0))
+    weighted = work.withColumn("__w", F.when(own > 1e-10, F.pow(residual / own, F.lit(2))).otherwise(0.0))
     meat = weighted.agg(
         F.array(*_cross_sums(names, F.col("__w"))).alias("meat"), F.first("__s").alias("s")
     ).select("meat", "s.beta", "s.inverse")
@@ -357,6 +407,8 @@ def ols_hc3(df: DataFrame, y: str, terms: Mapping[str, Column]) -> DataFrame:
                 )
 
     out = meat.mapInPandas(report, "term string, coef double, std_err double")
+    reach = F.lit(1.959963984540054) * F.col("std_err")
+    out = out.withColumns({"ci95_low": F.col("coef") - reach, "ci95_high": F.col("coef") + reach})
     out = out.withColumn("z_stat", F.when(F.col("std_err") > 0, F.col("coef") / F.col("std_err")))
     return out.withColumn("p_value", pvalues.normal_two_sided("z_stat"))
 

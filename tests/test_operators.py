@@ -182,6 +182,22 @@ def test_regressions_match_numpy(spark):
     assert np.allclose(plain.std_err, np.sqrt(np.diag(inv) * (e @ e) / 197))
 
 
+def test_regression_with_redundant_and_single_row_levels(spark):
+    rng = np.random.default_rng(9)
+    rows_ = [(float(x), "abc"[i % 3] if i else "d", float(2 * x + (i % 3) + rng.normal())) for i, x in enumerate(rng.normal(size=60))]
+    df = spark.createDataFrame(rows_, "x double, g string, y double")
+    terms = stats.design(df, ["g"], ["x"], [("g", "x")])
+    assert list(terms)[:5] == ["Intercept", "g[b]", "g[c]", "g[d]", "x"] and "g[b]:x" in terms
+    twice = {**stats.design(df, ["g"], ["x"]), "again": F.col("x") * 3}
+    got = {r.term: r for r in stats.ols_hc3(df, "y", twice).collect()}
+    one = {r.term: r for r in stats.ols_hc3(df, "y", stats.design(df, ["g"], ["x"])).collect()}
+    assert got["x"].coef + 3 * got["again"].coef == pytest.approx(one["x"].coef)
+    assert got["g[b]"].std_err == pytest.approx(one["g[b]"].std_err) and one["g[d]"].std_err >= 0
+    assert one["x"].ci95_low < one["x"].coef < one["x"].ci95_high
+    classical = {r.term: r.df_resid for r in stats.ols(df, "y", twice).collect()}
+    assert classical["x"] == 60 - 5
+
+
 def test_holm(spark):
     df = spark.createDataFrame([(0.01,), (0.04,), (0.03,), (0.5,)], "p double").withColumn("f", F.lit(1))
     got = {r.p: round(r.p_holm, 4) for r in stats.holm(df, ["f"], "p").collect()}
