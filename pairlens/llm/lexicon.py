@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, ragged, texts
+from .common import Scratch, chunks, ragged, texts
 from .tokens import Words
 
 #: Words in the lexicon, and the bytes of its longest word.
@@ -329,10 +329,31 @@ def count_words(docs: DataFrame) -> DataFrame:
     return texts(docs).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(docs: DataFrame, size: int, scratch: Scratch) -> list[bytes]:
+    """The most frequent words, ``size`` at most: all that are frequent enough to fit together.
+
+    The least frequency comes from a histogram of frequencies (32 steps for each doubling),
+    so only words of the lexicon travel to the driver.
+    """
+    counted = scratch.keep(count_words(docs), "words")
+    step = F.floor(F.log2("n") * 32).alias("step")
+    total, least = 0, None
+    for r in counted.where("n > 1").groupBy(step).count().orderBy(F.desc("step")).collect():
+        total += r["count"]
+        if total > size:
+            break
+        least = r.step
+    if least is None:
+        return []
+    chosen = counted.where("n > 1").where(step >= least).select("word").collect()
+    return [w for r in chosen if len(w := r.word.encode()) <= LONGEST]
+
+
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON) -> str:
-    """Compile the ``size`` most frequent words and give the file to all executors."""
-    frequent = count_words(docs).orderBy(F.desc("n"), "word").limit(size).collect()
-    words = [w for r in frequent if len(w := r.word.encode()) <= LONGEST]
+    """Compile up to ``size`` frequent words and give the file to all executors."""
+    scratch = Scratch(docs.sparkSession, "lexicon")
+    words = frequent_words(docs, size, scratch)
+    scratch.drop()
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     place = os.path.join(tempfile.mkdtemp(prefix="pairlens-lexicon-"), name)
     write_lexicon(place, words, Merges(path))
