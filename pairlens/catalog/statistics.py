@@ -10,7 +10,9 @@ from .effects import PE, WIDE, effect_columns, item_effects, long_scores
 from .registry import query
 
 GROUP = ["model_condition", "lexicality_condition"]
-DRAWS = 100
+DRAWS, FLIPS = 5_000, 10_000
+# For queries that test many metrics and pairs at once.
+MANY = 1_000
 _IMBALANCE = "pe_logprob_imbalance_passive_minus_active"
 
 # ---- draws in SQL -----------------------------------------------------------
@@ -36,7 +38,7 @@ q AS (SELECT {keys}, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS h
 SELECT o.*, q.lo, q.hi FROM o JOIN q USING ({keys})"""
 
 
-def sign_sql(units, by, unit, value, n=DRAWS, seed=42, correction=True, side="two"):
+def sign_sql(units, by, unit, value, n=FLIPS, seed=42, correction=True, side="two"):
     keys = ", ".join(by)
     digest = f"md5(concat_ws('|', '{seed}', {keys}, {unit}, b // 128))"
     bit = "((instr('0123456789abcdef', substr(h, CAST((b % 128) // 4 + 1 AS INT), 1)) - 1) // CAST(pow(2, 3 - (b % 128) % 4) AS BIGINT)) % 2"
@@ -106,12 +108,12 @@ def _(t):
 @query(
     "st08_bootstrap_summary",
     "SELECT model_condition, lexicality_condition, n_rows, R6(mean) AS diff_mean, R6(lo) AS diff_ci_low, R6(hi) AS diff_ci_high FROM ("
-    + bootstrap_sql(_UNITS, GROUP, "item_id", "d", 40, 7)
+    + bootstrap_sql(_UNITS, GROUP, "item_id", "d", DRAWS, 7)
     + ") z",
 )
 def _(t):
     units = item_effects(t).withColumnRenamed(_IMBALANCE, "diff")
-    return resample.bootstrap_summary(units, GROUP, "item_id", "diff", n_resamples=40, seed=7)
+    return resample.bootstrap_summary(units, GROUP, "item_id", "diff", n_resamples=DRAWS, seed=7)
 
 
 @query(
@@ -133,13 +135,13 @@ def _(t):
 
 @query("st09_sign_flip", sign_sql(_UNITS, GROUP, "item_id", "d"))
 def _(t):
-    return resample.sign_flip_p(item_effects(t), GROUP, "item_id", _IMBALANCE, DRAWS, 42)
+    return resample.sign_flip_p(item_effects(t), GROUP, "item_id", _IMBALANCE, FLIPS, 42)
 
 
-@query("st09_sign_flip_one_sided", sign_sql(_UNITS, GROUP, "item_id", "d", 200, 5, False, "greater"))
+@query("st09_sign_flip_one_sided", sign_sql(_UNITS, GROUP, "item_id", "d", FLIPS, 5, False, "greater"))
 def _(t):
     return resample.sign_flip_p(
-        item_effects(t), GROUP, "item_id", _IMBALANCE, 200, 5, correction=False, side="greater"
+        item_effects(t), GROUP, "item_id", _IMBALANCE, FLIPS, 5, correction=False, side="greater"
     )
 
 
@@ -169,7 +171,7 @@ FROM (WITH w AS (SELECT lexicality_condition, item_id, {cells} FROM {_SCORES} GR
 def _(t):
     out = stats.pairwise_stats(
         _scores(t), ["lexicality_condition"], "item_id",
-        {"passive_minus_active_logprob": "logprob_delta"}, _ORDER, n_resamples=40,
+        {"passive_minus_active_logprob": "logprob_delta"}, _ORDER, n_resamples=MANY,
     )
     return out.select(
         "lexicality_condition", "metric", "condition_a", "condition_b", "n_items", "mean", "sd",
@@ -181,7 +183,7 @@ def _(t):
 def _(t):
     return stats.pairwise_stats(
         _scores(t), ["lexicality_condition"], "item_id",
-        {"passive_minus_active_logprob": "logprob_delta"}, _ORDER, n_resamples=40,
+        {"passive_minus_active_logprob": "logprob_delta"}, _ORDER, n_resamples=MANY,
     )
 
 
@@ -265,7 +267,7 @@ FROM (SELECT condition, item_index, max(CASE WHEN target_structure = 'passive' T
 )
 def _(t):
     out = stats.paired_metric_tests(
-        _sides(t), ["condition"], "item_index", ["sentence_pe_mean", "sentence_pe"], n_resamples=40
+        _sides(t), ["condition"], "item_index", ["sentence_pe_mean", "sentence_pe"], n_resamples=MANY
     )
     return out.select(
         "condition", "metric", "n_items", "mean", "sd", "effect_size_dz", "t_stat"
@@ -275,7 +277,7 @@ def _(t):
 @query("st14_paired_metric_tests_p")
 def _(t):
     return stats.paired_metric_tests(
-        _sides(t), ["condition"], "item_index", ["sentence_pe_mean"], n_resamples=40
+        _sides(t), ["condition"], "item_index", ["sentence_pe_mean"], n_resamples=MANY
     )
 
 
@@ -409,7 +411,7 @@ def _(t):
     items = effects.paired_effect_long(long_scores(t), ["item_id", "lexicality_condition"])
     out = stats.summarize_effects(
         items, {"overall": [], "by_lexicality": ["lexicality_condition"]}, "item_id", _METRICS,
-        n_resamples=16,
+        n_resamples=MANY,
     )
     return out.select(
         "summary_group", "lexicality_condition", "metric", "n_items", "mean", "sd", "t_stat"
@@ -420,7 +422,7 @@ def _(t):
 def _(t):
     items = effects.paired_effect_long(long_scores(t), ["item_id", "lexicality_condition"])
     return stats.summarize_effects(
-        items, {"by_lexicality": ["lexicality_condition"]}, "item_id", _METRICS[:3], n_resamples=16
+        items, {"by_lexicality": ["lexicality_condition"]}, "item_id", _METRICS[:3], n_resamples=MANY
     )
 
 

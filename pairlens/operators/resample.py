@@ -2,18 +2,22 @@
 
 A draw depends only on the seed, the group, the unit and the resample number, so
 results do not change with partitioning or after a lost task. One md5 gives several
-draws: four 32-bit uniforms, or 128 signs. Every unit meets its resamples inside its
-own row (an explode), partial sums per (group, resample) are formed before the
-shuffle, and one reducer row per resample is all that travels.
+draws: four 32-bit uniforms, or 128 signs. Tasks form the sums of all resamples from
+blocks of units by array operations; one number per (group, resample) and task travels.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.shared import spread
 from .ranking import null_safe_join, position_in_group
@@ -38,46 +42,99 @@ def uniform(digest: Column, slot: Column) -> Column:
     return F.conv(part, 16, 10).cast("double") / F.lit(float(2**32))
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) count by inversion of a uniform."""
-    weight = F.lit(len(_POISSON_CDF))
-    for k in reversed(range(len(_POISSON_CDF))):
-        weight = F.when(u < _POISSON_CDF[k], k).otherwise(weight)
-    return weight
-
-
-def sign(digest: Column, place: Column) -> Column:
-    """+1 or -1 from bit ``place`` (0..127) of a hex digest."""
-    digit = F.instr(F.lit("0123456789abcdef"), F.substring(digest, F.floor(place / 4).cast("int") + 1, F.lit(1))) - 1
-    power = F.pow(F.lit(2), 3 - place % 4).cast("int")
-    return F.when(F.floor(digit / power) % 2 == 1, 1.0).otherwise(-1.0)
-
-
 def _exploded(
     df: DataFrame, by: Sequence[str], unit: str, value: str, n: int, per_digest: int, seed: int
 ) -> DataFrame:
-    """(by, x, draw, digest, place): each unit once as draw -1 (the observed data) and
-    once per resample; the digest is computed once per block of resamples."""
+    """(by, x, draw, digest, place): each unit once per resample; the digest is computed once
+    per block of resamples."""
     blocks = (n + per_digest - 1) // per_digest
     units = df.where(F.col(value).isNotNull()).select(
         *by, unit, F.col(value).cast("double").alias("__x")
     )
     rows = spread(units, unit).select(
-        "*", F.explode(F.sequence(F.lit(-1), F.lit(blocks - 1))).alias("__block")
-    )
-    rows = rows.withColumn(
-        "__digest", F.when(F.col("__block") >= 0, _digest(seed, by, unit, F.col("__block")))
-    )
-    last = F.when(F.col("__block") < 0, 0).otherwise(
-        F.least(F.lit(per_digest), F.lit(n) - F.col("__block") * per_digest) - 1
+        "*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block")
     )
+    rows = rows.withColumn("__digest", _digest(seed, by, unit, F.col("__block")))
+    last = F.least(F.lit(per_digest), F.lit(n) - F.col("__block") * per_digest) - 1
     rows = rows.select(
         *by, "__x", "__block", "__digest", F.explode(F.sequence(F.lit(0), last)).alias("__place")
     )
-    draw = F.when(F.col("__block") < 0, -1).otherwise(
-        F.col("__block") * per_digest + F.col("__place")
+    return rows.withColumn("__draw", F.col("__block") * per_digest + F.col("__place"))
+
+
+def _drawn_sums(
+    df: DataFrame, by: Sequence[str], unit: str, value: str, n: int, seed: int, signs: bool
+) -> DataFrame:
+    """(by, __draw, __sum, __weight): sums of weight times value and of weights per resample.
+
+    A task keeps one row of sums per group and multiplies blocks of units with their
+    weights, Poisson counts or signs read from the digests, so what leaves a task is
+    ``n`` numbers per group, however many units it has met.
+    """
+    names = [f"__b{i}" for i in range(len(by))]
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*by, unit)]
+    units = df.where(F.col(value).isNotNull()).select(
+        *[F.col(c).alias(m) for c, m in zip(by, names)],
+        F.concat_ws("|", F.lit(str(seed)), *parts).alias("__key"),
+        F.col(value).cast("double").alias("__x"),
     )
-    return rows.withColumn("__draw", draw)
+    per_digest = _SIGNS_PER_DIGEST if signs else _UNIFORMS_PER_DIGEST
+    blocks = range((n + per_digest - 1) // per_digest)
+    k = len(by)
+
+    def weights(keys: list[str]) -> np.ndarray:
+        digests = b"".join([hashlib.md5(f"{key}|{b}".encode()).digest() for key in keys for b in blocks])
+        if signs:
+            bits = np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(len(keys), -1)
+            return bits[:, :n] * 2.0 - 1.0
+        uniform = np.frombuffer(digests, ">u4").reshape(len(keys), -1)[:, :n] / 2.0**32
+        return np.searchsorted(_POISSON_CDF, uniform, side="right").astype(float)
+
+    def run(batches):
+        groups: dict[tuple, int] = {}
+        sums: list[np.ndarray] = []
+        for batch in batches:
+            named = list(zip(*(batch.column(i).to_pylist() for i in range(k)))) if k else [()] * batch.num_rows
+            at = np.array([groups.setdefault(g, len(groups)) for g in named], int)
+            sums += [np.zeros((2, n)) for _ in range(len(groups) - len(sums))]
+            keys, x = batch.column(k).to_pylist(), batch.column(k + 1).to_numpy()
+            for start in range(0, len(keys), 128):
+                w = weights(keys[start : start + 128])
+                own, values = at[start : start + 128], x[start : start + 128]
+                for g in np.unique(own):
+                    here = own == g
+                    sums[g][0] += values[here] @ w[here]
+                    sums[g][1] += w[here].sum(axis=0)
+        columns = [pa.array([g[i] for g in groups], types[i]) for i in range(k)]
+        columns += [pa.array([v[j] for v in sums], pa.list_(pa.float64())) for j in (0, 1)]
+        yield pa.RecordBatch.from_arrays(columns, [*names, "s", "w"])
+
+    fields = [T.StructField(m, units.schema[m].dataType) for m in names]
+    types = [to_arrow_type(f.dataType) for f in fields]
+    doubles = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*fields, T.StructField("s", doubles), T.StructField("w", doubles)])
+    rows = spread(units, "__key").mapInArrow(run, schema)
+    each = rows.select(*names, F.posexplode(F.arrays_zip("s", "w")).alias("__draw", "z"))
+    return (
+        each.groupBy(*names, "__draw")
+        .agg(F.sum("z.s").alias("__sum"), F.sum("z.w").alias("__weight"))
+        .select(*[F.col(m).alias(c) for c, m in zip(by, names)], "__draw", "__sum", "__weight")
+    )
+
+
+def _observed(df: DataFrame, by: Sequence[str], value: str, count: str) -> DataFrame:
+    x = F.col(value).cast("double")
+    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(
+        F.count("*").alias(count), F.avg(x).alias("mean")
+    )
+
+
+def _joined(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Two tables with one row per group; without groups both have one row."""
+    if by:
+        return null_safe_join(left, right, list(by))
+    one = F.lit(1).alias("__one")
+    return left.select("*", one).join(right.select("*", one), "__one").drop("__one")
 
 
 def bootstrap_ci(
@@ -98,30 +155,17 @@ def bootstrap_ci(
     """
     alpha = (100.0 - ci) / 200.0
     if method == "poisson":
-        rows = _exploded(df, by, unit, value, n_resamples, _UNIFORMS_PER_DIGEST, seed)
-        weight = F.when(F.col("__draw") < 0, 1).otherwise(
-            poisson_weight(uniform(F.col("__digest"), F.col("__place")))
-        )
-        means = (
-            rows.withColumn("__w", weight)
-            .groupBy(*by, "__draw")
-            .agg(
-                F.try_divide(F.sum(F.col("__w") * F.col("__x")), F.sum("__w")).alias("__mean"),
-                F.sum("__w").alias("__n"),
-            )
-        )
+        sums = _drawn_sums(df, by, unit, value, n_resamples, seed, signs=False)
+        means = sums.withColumn("__mean", F.try_divide("__sum", "__weight"))
     elif method == "exact":
         means = _exact_means(df, by, unit, value, n_resamples, seed)
     else:
         raise ValueError(f"unknown method {method!r}")
-    observed, resampled = F.col("__draw") < 0, F.col("__draw") >= 0
-    drawn = F.when(resampled, F.col("__mean"))
-    return means.groupBy(*by).agg(
-        F.max(F.when(observed, F.col("__n"))).cast("bigint").alias("n_rows"),
-        F.max(F.when(observed, F.col("__mean"))).alias("mean"),
-        F.percentile(drawn, F.lit(alpha)).alias("ci_low"),
-        F.percentile(drawn, F.lit(1.0 - alpha)).alias("ci_high"),
+    limits = means.groupBy(*by).agg(
+        F.percentile("__mean", F.lit(alpha)).alias("ci_low"),
+        F.percentile("__mean", F.lit(1.0 - alpha)).alias("ci_high"),
     )
+    return _joined(_observed(df, by, value, "n_rows"), limits, by)
 
 
 def _exact_means(
@@ -143,7 +187,7 @@ def _exact_means(
     asked = _exploded(
         null_safe_join(placed, sizes, list(by)) if by else placed.withColumn("__size", sizes.scalar()),
         [*by, "__size"], unit, "__x", n_resamples, _UNIFORMS_PER_DIGEST, seed,
-    ).where("__draw >= 0")
+    )
     u = uniform(F.col("__digest"), F.col("__place"))
     draws = (
         asked.withColumn("__at", F.floor(u * F.col("__size")))
@@ -152,12 +196,9 @@ def _exact_means(
     )
     values = placed.select(*by, F.col("__at"), "__x")
     met = null_safe_join(draws, values, [*by, "__at"], "inner")
-    resampled = met.groupBy(*by, "__draw").agg(
-        (F.sum(F.col("__times") * F.col("__x")) / F.sum("__times")).alias("__mean"),
-        F.sum("__times").alias("__n"),
+    return met.groupBy(*by, "__draw").agg(
+        (F.sum(F.col("__times") * F.col("__x")) / F.sum("__times")).alias("__mean")
     )
-    observed = rows.groupBy(*by).agg(F.avg("__x").alias("__mean"), F.count("*").alias("__n"))
-    return resampled.unionByName(observed.withColumn("__draw", F.lit(-1)))
 
 
 def bootstrap_summary(
@@ -184,30 +225,17 @@ def sign_flip_p(
     is one-sided. Ties within 1e-12 count as reached, so that summation order does not
     decide them.
     """
-    rows = _exploded(df, by, unit, value, n_permutations, _SIGNS_PER_DIGEST, seed)
-    signed = F.when(F.col("__draw") < 0, F.col("__x")).otherwise(
-        sign(F.col("__digest"), F.col("__place")) * F.col("__x")
-    )
-    means = (
-        rows.withColumn("__s", signed)
-        .groupBy(*by, "__draw")
-        .agg(F.avg("__s").alias("__mean"), F.count("*").alias("__n"))
-    )
-    observed = F.col("__draw") < 0
-    per_group = means.groupBy(*by).agg(
-        F.max(F.when(observed, F.col("__n"))).alias("n_items"),
-        F.max(F.when(observed, F.col("__mean"))).alias("mean"),
-        F.collect_list(F.when(~observed, F.col("__mean"))).alias("__drawn"),
-    )
-    reached = (
-        (lambda m: m >= F.col("mean") - _TIE)
-        if side == "greater"
-        else (lambda m: F.abs(m) >= F.abs(F.col("mean")) - _TIE)
-    )
-    exceed = F.size(F.filter("__drawn", reached))
+    sums = _drawn_sums(df, by, unit, value, n_permutations, seed, signs=True)
+    observed = _observed(df, by, value, "n_items")
+    met = _joined(sums, observed, by).withColumn("__mean", F.col("__sum") / F.col("n_items"))
+    if side == "greater":
+        reached = F.col("__mean") >= F.col("mean") - _TIE
+    else:
+        reached = F.abs("__mean") >= F.abs("mean") - _TIE
+    exceed = F.count_if(reached)
     p = (
         (exceed + 1) / F.lit(n_permutations + 1)
         if correction
         else exceed / F.lit(n_permutations)
     )
-    return per_group.withColumn("p_value", p).drop("__drawn")
+    return met.groupBy(*by, "n_items", "mean").agg(p.alias("p_value"))
