@@ -83,6 +83,16 @@ def even(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def about(rows: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """About ``n`` of ``total`` rows, chosen by a hash of ``key``; all of them if they are no more.
+
+    Nothing is sorted or gathered for it. The number varies by a few square roots of ``n``.
+    """
+    if total <= n:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * n / total))
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -5,7 +5,7 @@ ratios, so that classes are nearer to normal. Class means and covariances come f
 pass over all labelled rows; covariances are shrunk towards the pooled one, and that
 towards a multiple of the identity. A score is the difference of the classes' log densities,
 from Mahalanobis distances by the cached inverse Cholesky factors, mapped to a probability by
-a slope and an offset fitted on at most ``SAMPLE`` labelled rows.
+a slope and an offset fitted on about ``SAMPLE`` labelled rows, chosen by a hash of the id.
 
 Nulls: a null text is the empty text and is scored like any other; a null or repeated
 ``doc_id`` is handed through, row by row. Labelled ids with a null or contradictory label are not
@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, texts
+from .common import Scratch, about, texts
 
 THRESHOLD = 0.3
-#: Labelled rows that the slope and offset are fitted on, at most.
+#: Labelled rows that the slope and offset are fitted on, about (all, if there are fewer).
 SAMPLE = 20_000
 #: Weight of the pooled covariance in a class's, counted as rows, and of the identity.
 POOLED_ROWS, IDENTITY = 50.0, 0.02
@@ -153,7 +153,7 @@ def fit(rows: DataFrame) -> Discriminant | float:
     factors = np.array([np.linalg.solve(c, np.eye(p)) for c in lower])
     constants = np.log(count / count.sum()) - np.log(np.diagonal(lower, axis1=1, axis2=2)).sum(axis=1)
     model = Discriminant(means, factors, constants, 1.0, 0.0)
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("label", "x").collect()
+    sample = about(rows, "doc_id", SAMPLE, int(count.sum())).select("label", "x").collect()
     d = squeeze(model.difference(np.array([r.x for r in sample], float)))
     slope, offset = logistic(d, np.array([r.label for r in sample], float))
     return model._replace(slope=slope, offset=offset)

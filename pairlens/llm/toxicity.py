@@ -7,7 +7,7 @@ documents that its amount of telling words falls into. Features are the logs of
 classes. One weight vector serves all thresholds: P(grade > k) = logistic(x w - t_k) with
 t_0 < t_1 < t_2. The expected severity is the sum of the three probabilities.
 
-The model is fitted on at most ``SAMPLE`` labelled rows, chosen by a hash of the id; all
+The model is fitted on about ``SAMPLE`` labelled rows, chosen by a hash of the id; all
 documents are scored, each on its whole text.
 
 Nulls: a null text is the empty text, which scores as a text without telling words; a null or
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import about, texts
 
 SAMPLE, FEATURES, LEAST_DOCUMENTS, GRADES = 50_000, 512, 3, 3
 PENALTY = 0.1
@@ -101,8 +101,9 @@ def _hits(some: list[str], index: dict[bytes, int]) -> tuple[list[list[int]], li
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Ordinal:
-    # At most SAMPLE ids and labels: small enough to be sent to all tasks.
-    chosen = known_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    # About SAMPLE ids and labels: small enough to be sent to all tasks.
+    known = known_labels(labels)
+    chosen = about(known, "doc_id", SAMPLE, known.count())
     rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("label", "text")
     words = telling_words(rows)
     index = {w: i for i, w in enumerate(words)}
