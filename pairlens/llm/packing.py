@@ -26,8 +26,8 @@ from pyspark.sql.window import Window
 from .common import Scratch, crc, texts
 from .tokens import encoder
 
-#: Rows that one task numbers at a time.
-BLOCK_ROWS = 20_000
+#: Pieces of one length that are numbered together.
+BLOCK_ROWS = 500
 
 
 class CapacityTree:
