@@ -209,12 +209,24 @@ SELECT 'summaries' AS output, m.n + mp.n + g.n + 1 + mr.n AS n_rows FROM m, mp,
 UNION ALL SELECT 'paired_condition_tests_all_measures', 10 * n FROM g UNION ALL SELECT 'pe_item_level', n FROM u UNION ALL SELECT 'pe_summary', 3 * n FROM g""",
 )
 def _(t):
+    return tables.manifest(_run_analysis(t)).select("output", "n_rows")
+
+
+def _run_analysis(t):
+    """The bundle's outputs, written in full and read back."""
     a, p = F.col("active_choice_logprob"), F.col("passive_choice_logprob")
     rows = t.item_scores().withColumns({"preference_total": a - p, "passive_minus_active_logprob": p - a}).withColumn(
         "prime_condition", F.col("prime_condition_raw")
     )
-    out = bundle.run_analysis(rows, n_bootstrap=16)
-    return tables.manifest(out).select("output", "n_rows")
+    out = bundle.run_analysis(rows)
+    root = scratch_path(t.spark, "run_analysis")
+    tables.write_outputs(out, root)
+    return tables.read_outputs(t.spark, list(out), root)
+
+
+@query("st26_run_analysis_values")
+def _(t):
+    return tables.long_values(_run_analysis(t), ["item_id"])
 
 
 @query(
@@ -249,5 +261,4 @@ def _(t):
     rows = t.item_scores().withColumns(
         {"passive_minus_active_logprob": p - a, "chosen_structure": clean.choose_structure(a, p)}
     )
-    out = bundle.choice_analysis(rows, ["lexicality_condition"], "item_id", n_resamples=16)
-    return tables.manifest(out).select("output", "n_rows")
+    return tables.long_values(bundle.choice_analysis(rows, ["lexicality_condition"], "item_id"))

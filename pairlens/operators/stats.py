@@ -100,8 +100,10 @@ def _test_block(
     seed: int,
     correction: bool,
     zero_dz: bool,
+    n_bootstrap: int | None = None,
 ) -> DataFrame:
-    """Moments, t, sign-flip p and bootstrap interval of ``diff`` per group."""
+    """Moments, t, sign-flip p and bootstrap interval of ``diff`` per group; the interval has
+    ``n_bootstrap`` draws, or as many as the test."""
     base = one_sample(diffs, by, "diff", single_sd=0.0 if zero_dz else None)
     dz = F.when(F.col("sd") > 0, F.col("mean") / F.col("sd"))
     if zero_dz:
@@ -110,7 +112,7 @@ def _test_block(
     perm = resample.sign_flip_p(
         diffs, by, unit, "diff", n_resamples, seed, correction=correction
     ).select(*by, F.col("p_value").alias("perm_p_two_sided"))
-    boot = resample.bootstrap_ci(diffs, by, unit, "diff", n_resamples, 95.0, seed).select(
+    boot = resample.bootstrap_ci(diffs, by, unit, "diff", n_bootstrap or n_resamples, 95.0, seed).select(
         *by,
         F.col("ci_low").alias("bootstrap_ci95_low"),
         F.col("ci_high").alias("bootstrap_ci95_high"),
@@ -204,6 +206,7 @@ def summarize_effects(
     metrics: Sequence[str],
     n_resamples: int = 10_000,
     seed: int = 13,
+    n_bootstrap: int | None = None,
 ) -> DataFrame:
     """n, mean, sd, interval and p-values per metric for several groupings.
 
@@ -233,7 +236,9 @@ def summarize_effects(
         .withColumn("diff", clean.finite("diff"))
     )
     by = ["summary_group", *keys, "metric"]
-    return _test_block(rows, by, "__u", n_resamples, seed, correction=False, zero_dz=True)
+    return _test_block(
+        rows, by, "__u", n_resamples, seed, correction=False, zero_dz=True, n_bootstrap=n_bootstrap
+    )
 
 
 # ---- regression -------------------------------------------------------------

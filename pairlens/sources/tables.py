@@ -286,6 +286,31 @@ def manifest(outputs: Mapping[str, DataFrame]) -> DataFrame:
     return union_all(counts)
 
 
+def read_outputs(spark: SparkSession, names: Sequence[str], root: str) -> dict[str, DataFrame]:
+    """The outputs of :func:`write_outputs` in parquet, read back."""
+    return {name: spark.read.parquet(f"{root}/{name}") for name in names}
+
+
+def long_values(outputs: Mapping[str, DataFrame], keys: Sequence[str] = ()) -> DataFrame:
+    """output, key, metric, value: every number of every output as a row.
+
+    ``key`` is JSON of the row's strings and of the columns named in ``keys``. Missing numbers
+    stay as rows with a null value.
+    """
+    frames = []
+    for name, df in outputs.items():
+        told = [f.name for f in df.schema if f.name in keys or isinstance(f.dataType, T.StringType)]
+        cells = [
+            F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+            for c in df.columns
+            if c not in told
+        ]
+        key = F.to_json(F.struct(*told), {"ignoreNullFields": "false"}) if told else F.lit("{}")
+        rows = df.select(F.lit(name).alias("output"), key.alias("key"), F.explode(F.array(*cells)).alias("c"))
+        frames.append(rows.select("output", "key", "c.*"))
+    return union_all(frames)
+
+
 def write_manifest(outputs: Mapping[str, DataFrame], root: str) -> None:
     """The manifest as JSON lines (one line per output)."""
     manifest(outputs).coalesce(1).write.mode("overwrite").json(f"{root}/manifest")

@@ -123,3 +123,29 @@ def test_bundle_outputs_write(spark, tmp_path):
     tables.write_manifest(out, str(tmp_path / "o"))
     assert spark.read.parquet(str(tmp_path / "o" / "pe_item_level")).count() == 6
     assert spark.read.json(str(tmp_path / "o" / "manifest")).count() == len(out)
+
+
+def test_bundle_queries_return_values_at_full_draws(spark, monkeypatch):
+    from pairlens.catalog import QUERIES
+    from pairlens.operators import resample
+
+    asked, drawn = [], resample._drawn_sums
+
+    def noted(df, by, unit, value, n, seed, signs):
+        asked.append((signs, n))
+        return drawn(df, by, unit, value, n, seed, signs)
+
+    monkeypatch.setattr(resample, "_drawn_sums", noted)
+    run = QUERIES["st26_run_analysis_values"](spark, "/root/testdata/sf0.001").collect()
+    assert set(asked) == {(False, 5_000), (True, 10_000)}
+    asked.clear()
+    choice = QUERIES["st26_choice_analysis"](spark, "/root/testdata/sf0.001").collect()
+    assert set(asked) == {(False, 10_000), (True, 10_000)}
+    assert {r.output for r in choice} == {"summary", "contrasts", "pairwise", "mcnemar"}
+    p = [r.value for r in run + choice if r.metric == "perm_p_two_sided"]
+    assert any(abs(v * 17 - round(v * 17)) > 0.01 and abs(v * 16 - round(v * 16)) > 0.01 for v in p)
+    low = {(r.output, r.key): r.value for r in run if r.metric == "bootstrap_ci95_low"}
+    mean = {(r.output, r.key): r.value for r in run if r.metric == "mean" and r.output == "pe_summary"}
+    assert low.keys() == mean.keys() and all(low[k] <= mean[k] for k in low)
+    for row in (run[0], choice[0]):
+        assert row.asDict().keys() == {"output", "key", "metric", "value"}
