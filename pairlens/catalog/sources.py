@@ -259,6 +259,10 @@ def _(t):
 def _(t):
     a, p = F.col("active_choice_logprob"), F.col("passive_choice_logprob")
     rows = t.item_scores().withColumns(
-        {"passive_minus_active_logprob": p - a, "chosen_structure": clean.choose_structure(a, p)}
+        {
+            "passive_minus_active_logprob": p - a,
+            "chosen_structure": clean.choose_structure(a, p),
+            "passive_choice_indicator": (p > a).cast("double"),
+        }
     )
     return tables.long_values(bundle.choice_analysis(rows, ["lexicality_condition"], "item_id"))

@@ -8,11 +8,10 @@ from ..operators.resample import _POISSON_CDF
 from .aggregates import _SCORES, _VOICE, ANSWERS, _scores, _voices
 from .effects import PE, WIDE, effect_columns, item_effects, long_scores
 from .registry import query
+from .tokens import item_table
 
 GROUP = ["model_condition", "lexicality_condition"]
 DRAWS, FLIPS = 5_000, 10_000
-# For queries that test many metrics and pairs at once.
-MANY = 1_000
 _IMBALANCE = "pe_logprob_imbalance_passive_minus_active"
 
 # ---- draws in SQL -----------------------------------------------------------
@@ -171,7 +170,7 @@ FROM (WITH w AS (SELECT lexicality_condition, item_id, {cells} FROM {_SCORES} GR
 def _(t):
     out = stats.pairwise_stats(
         _scores(t), ["lexicality_condition"], "item_id",
-        {"passive_minus_active_logprob": "logprob_delta"}, _ORDER, n_resamples=MANY,
+        {"passive_minus_active_logprob": "logprob_delta"}, _ORDER, n_resamples=FLIPS,
     )
     return out.select(
         "lexicality_condition", "metric", "condition_a", "condition_b", "n_items", "mean", "sd",
@@ -179,11 +178,15 @@ def _(t):
     )
 
 
+# The metrics of the pairwise tests that item_scores has; it has no summed scores.
+PAIRWISE = {"passive_choice_indicator": "passive_choice_delta", "passive_minus_active_logprob": "logprob_delta"}
+
+
 @query("st10_pairwise_stats_p")
 def _(t):
+    rows = _scores(t).withColumn("passive_choice_indicator", (F.col("chosen_structure") == "passive").cast("double"))
     return stats.pairwise_stats(
-        _scores(t), ["lexicality_condition"], "item_id",
-        {"passive_minus_active_logprob": "logprob_delta"}, _ORDER, n_resamples=MANY,
+        rows, ["lexicality_condition"], "item_id", PAIRWISE, _ORDER, n_resamples=FLIPS
     )
 
 
@@ -267,17 +270,20 @@ FROM (SELECT condition, item_index, max(CASE WHEN target_structure = 'passive' T
 )
 def _(t):
     out = stats.paired_metric_tests(
-        _sides(t), ["condition"], "item_index", ["sentence_pe_mean", "sentence_pe"], n_resamples=MANY
+        _sides(t), ["condition"], "item_index", ["sentence_pe_mean", "sentence_pe"], n_resamples=FLIPS
     )
     return out.select(
         "condition", "metric", "n_items", "mean", "sd", "effect_size_dz", "t_stat"
     )
 
 
+PAIRED = ["sentence_pe_mean", "sentence_pe", "post_divergence_pe_mean", "critical_word_pe_mean"]
+
+
 @query("st14_paired_metric_tests_p")
 def _(t):
     return stats.paired_metric_tests(
-        _sides(t), ["condition"], "item_index", ["sentence_pe_mean"], n_resamples=MANY
+        item_table(t), ["condition"], "item_index", PAIRED, n_resamples=FLIPS
     )
 
 
@@ -411,7 +417,7 @@ def _(t):
     items = effects.paired_effect_long(long_scores(t), ["item_id", "lexicality_condition"])
     out = stats.summarize_effects(
         items, {"overall": [], "by_lexicality": ["lexicality_condition"]}, "item_id", _METRICS,
-        n_resamples=MANY,
+        n_resamples=FLIPS,
     )
     return out.select(
         "summary_group", "lexicality_condition", "metric", "n_items", "mean", "sd", "t_stat"
@@ -422,7 +428,8 @@ def _(t):
 def _(t):
     items = effects.paired_effect_long(long_scores(t), ["item_id", "lexicality_condition"])
     return stats.summarize_effects(
-        items, {"by_lexicality": ["lexicality_condition"]}, "item_id", _METRICS[:3], n_resamples=MANY
+        items, {"overall": [], "by_lexicality": ["lexicality_condition"]}, "item_id", fixed.EFFECT_METRICS,
+        n_resamples=FLIPS,
     )
 
 
