@@ -16,7 +16,9 @@ meet in the bucket of an anchor.
    whose left extensions agree for long enough are a repeat, members with different next
    bytes on both sides a maximal one, reported with all occurrences.
 4. Buckets of more than ``BUCKET`` rows go another exact way: the hashes of the windows
-   themselves are counted, after equal contexts have been put together.
+   themselves are counted, after equal contexts have been put together. Their maximal repeats
+   start at windows that follow different bytes and end at windows that different bytes follow;
+   the strings between two such windows are counted, and joined back to all their places.
 
 Contexts end with the windows of their anchor, so a repeat longer than a context is
 reported in overlapping pieces; their union is the same.
@@ -247,8 +249,7 @@ def _located(table: list[tuple], who: list[int], before: np.ndarray, length: int
     number = 0
     if groups:
         own, at = table[who[0]][3], table[who[0]][2] >> 8 & 255
-        digest = hashlib.blake2b(own[at - int(before[0]) : at + length], digest_size=8).digest()
-        number = int.from_bytes(digest, "big", signed=True)
+        number = _number(own[at - int(before[0]) : at + length])
     return [table[k][1] for k in who], place - before, place + length, np.full(len(who), number)
 
 
@@ -311,6 +312,95 @@ def _context_rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["gram", "doc_id", "at", "own", "windows"])
 
 
+def _number(string: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "big", signed=True)
+
+
+def _flushed(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    for row in rows:
+        out.append(row)
+        if len(out) == 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+
+def _several(byte: str) -> Column:
+    """Whether a string can't be extended: its neighbouring bytes differ, or one has none (-1)."""
+    return (F.min(byte) == -1) | (F.min(byte) != F.max(byte))
+
+
+def _around(own: bytes, first: int, end: int) -> tuple[int, int]:
+    return own[first - 1] if first else -1, own[end] if end < len(own) else -1
+
+
+def _crowded_groups(crowded: DataFrame, alike: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, spans: the maximal repeats of crowded buckets at all their places.
+
+    Only aggregations and joins, so that no task holds a bucket: ``crowded`` has the places of
+    each (gram, context, doc_id), ``alike`` one place for each (gram, context) and their number k.
+    """
+    alike = alike.select("gram", "context", "k", F.col("one.doc_id").alias("doc_id"), F.col("one.at").alias("at"))
+    fetched = _context_bytes(alike.select("doc_id", "at", "gram", F.lit(False).alias("crowded")), docs)
+    own = scratch.keep(
+        fetched.select("gram", "doc_id", "at", "own").join(alike, ["gram", "doc_id", "at"]).select("gram", "context", "k", "own"),
+        "crowded-own",
+    )
+    long = pa.int64()
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                for gram, context, _, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    starts = np.arange(len(text) - LEAST + 1)
+                    hashes = Spans(np.frombuffer(text, np.uint8)).hash(starts, starts + LEAST).view(np.int64)
+                    for k, window in enumerate(hashes.tolist()):
+                        yield (gram, context, k, window, *_around(text, k, k + LEAST))
+
+        yield from _flushed(rows(), pa.schema([(n, long) for n in ("gram", "context", "start", "window", "previous", "next")]))
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                for gram, context, k, text, marks in zip(*(c.to_pylist() for c in batch.columns)):
+                    if k > 1:  # equal contexts: all their windows are repeats
+                        yield (gram, context, 0, len(text), _number(text), -1, -1, True)
+                    firsts = [m["start"] for m in marks or [] if m["left"]]
+                    ends = [m["start"] + LEAST for m in marks or [] if m["right"]]
+                    for first in firsts:
+                        for end in ends:
+                            if end - first >= LEAST:
+                                yield (gram, context, first, end, _number(text[first:end]), *_around(text, first, end), False)
+
+        names = ("gram", "context", "first", "end", "repeat", "previous", "next")
+        yield from _flushed(rows(), pa.schema([*((n, long) for n in names), ("whole", pa.bool_())]))
+
+    each = own.mapInArrow(windows, "gram long, context long, start long, window long, previous long, next long")
+    each = scratch.keep(each, "crowded-windows")
+    edges = each.groupBy("window").agg(
+        F.count("*").alias("c"), _several("previous").alias("left"), _several("next").alias("right")
+    )
+    edges = scratch.keep(edges.where("c > 1 and (left or right)").drop("c"), "crowded-edges")
+    marks = each.join(edges, "window").groupBy("gram", "context").agg(F.collect_list(F.struct("start", "left", "right")).alias("marks"))
+    found = own.join(marks, ["gram", "context"], "left").select("gram", "context", "k", "own", "marks").mapInArrow(
+        strings, "gram long, context long, first long, end long, repeat long, previous long, next long, whole boolean"
+    )
+    found = scratch.keep(found, "crowded-strings")
+    good = found.where("not whole").groupBy("repeat").agg(
+        F.count("*").alias("c"), _several("previous").alias("left"), _several("next").alias("right")
+    )
+    good = scratch.keep(good.where("c > 1 and left and right").select("repeat"), "crowded-good")
+    columns = ["gram", "context", F.col("first").alias("a"), F.col("end").alias("b"), "repeat"]
+    kept = found.where("not whole").join(good, "repeat").select(*columns).union(found.where("whole").select(*columns))
+    kept = scratch.keep(kept.distinct(), "crowded-kept")
+    places = scratch.keep(crowded.select("gram", "context", "doc_id", F.explode("ats").alias("at")), "crowded-places")
+    begin = F.shiftright("at", 16) - F.shiftright("at", 8).bitwiseAND(255)
+    span = F.struct((begin + F.col("a")).alias("first"), (begin + F.col("b")).alias("end"), "repeat")
+    return places.join(kept, ["gram", "context"]).select("doc_id", F.array(span).alias("spans"))
+
+
 def _spans(places: Column) -> Column:
     """Places as ranges of whole contexts, with the context's hash as the repeat's number."""
 
@@ -324,8 +414,8 @@ def _spans(places: Column) -> Column:
 def repeats(docs: DataFrame, scratch: Scratch, groups: bool = False) -> DataFrame:
     """doc_id, spans (first, end, repeat): byte ranges that are covered by repeats.
 
-    With ``groups`` the spans of the sorted buckets are maximal repeats, one for each
-    occurrence, with a number that all occurrences of a string share.
+    With ``groups`` the spans are maximal repeats, one for each occurrence, with a number that
+    all occurrences of a string share, whatever the size of its bucket.
     """
     found = scratch.keep(_anchor_table(docs), "anchors")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("same"))
@@ -346,6 +436,11 @@ def repeats(docs: DataFrame, scratch: Scratch, groups: bool = False) -> DataFram
     alike = crowded.groupBy("gram", "context").agg(
         F.sum(F.size("ats")).alias("k"), F.min(F.struct("doc_id", F.array_min("ats").alias("at"))).alias("one")
     )
+    if groups:
+        contexts = scratch.keep(_context_bytes(sorted_rows.select("doc_id", "at", "gram", F.lit(False).alias("crowded")), docs), "contexts")
+        buckets = _scan_buckets(contexts, groups)
+        buckets = buckets.select("doc_id", F.array(F.struct("first", "end", "repeat")).alias("spans"))
+        return resolved.union(_crowded_groups(crowded, alike, docs, scratch)).union(buckets)
     resolved_too = crowded.join(alike.where("k > 1").select("gram", "context"), ["gram", "context"], "left_semi")
     resolved_too = resolved_too.select("doc_id", _spans(F.col("ats")))
     stand_ins = alike.select(F.col("one.doc_id").alias("doc_id"), F.col("one.at").alias("at"), "gram", F.lit(True).alias("crowded"))

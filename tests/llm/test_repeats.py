@@ -83,6 +83,22 @@ def test_maximal_groups_list_all_occurrences(docs_of):
     assert {0, 1, 2} in strings.values() and {0, 1, 2, 3} in strings.values()
 
 
+def test_maximal_groups_do_not_depend_on_the_bucket(docs_of, monkeypatch):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, extra = text(230), text(60)
+    # copies of one context, others that share a part of it, on either side or both
+    texts = [f"1{passage}2"] * 4 + [passage[:215] + "!" + extra, "?" + passage[12:] + extra, extra + passage[:215] + "?"]
+    texts += [f"{i}{passage[5:]}{extra}" for i in range(3)] + [f"{i}{passage[:222]}{i}" for i in range(3)]
+
+    def found():
+        return {tuple(r) for r in repeats.maximal_repeats(docs_of(texts)).collect()}
+
+    want = found()
+    monkeypatch.setattr(repeats, "BUCKET", 3)
+    assert found() == want and len({r[0] for r in want}) > 5
+
+
 def test_null_ids_and_no_rows(docs_of):
     got = {r.doc_id: r.n_removed for r in repeats.without_repeats(docs_of(["q" * 150 + "r" * 150] * 3, [None, 1, 2])).collect()}
     assert got == {None: 0, 1: 300, 2: 300}
