@@ -5,8 +5,9 @@ A document's set holds its distinct shingles of five words. Its signature has
 differ in at most ``RADIUS`` symbols have, by the pigeonhole rule, a chunk with one error
 at most; a key for each symbol left out of each chunk enumerates those errors, so every
 such pair meets on a key. At a similarity of 0.75 a pair's distance passes ``RADIUS`` with
-a chance of 7e-5. A finer signature of ``FINE`` bytes then drops pairs that agree in
-fewer than ``FINE_LEAST`` (chance 3e-6 at 0.75), and every link is confirmed on the full
+a chance of 1.23e-4 (binomial tail); pairs that met on a key are compared whatever their distance.
+A finer signature of ``FINE`` bytes then drops pairs that agree in
+fewer than ``FINE_LEAST`` (chance 5.5e-6 at 0.75), and every link is confirmed on the full
 sets.
 
 Links are found in rounds, so that a group of near copies is never expanded into pairs:
@@ -17,12 +18,12 @@ Links are found in rounds, so that a group of near copies is never expanded into
 3. On keys that hold several components, documents of small keys (``SMALL`` rows) are
    compared with all of other components, those of large keys with their nearest one.
 4. On large keys that still hold several components, all remaining pairs of different
-   components within the radius are compared, by their sets' ``SKETCH`` least hashes (whole sets,
+   components are compared, by their sets' ``SKETCH`` least hashes (whole sets,
    if they are no larger; else an estimate that falls below ``SKETCH_LEAST`` at a similarity of 0.75 with a
    chance of 3e-6), and those that may be links in full. Rows of the key's main component are
    never compared with one another, and keys are cut into blocks of ``BLOCK`` rows.
 
-After round 4 every pair within the radius was compared or lies in one component.
+After round 4 every pair that meets on a key, so every one within the radius, was compared or lies in one component.
 
 Nulls: a null text has no words, like the empty one: an empty set, linked with nothing. A
 row with a null ``doc_id`` is linked with nothing and has a null component_id; rows that
@@ -204,7 +205,7 @@ def may_link(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _compare(left: dict, right: dict, nearest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of different components within the radius: places left and right, agreeing bytes."""
+    """Rows of different components that may be alike: places left and right, agreeing bytes."""
     found = []
     for j in range(len(right["node"])):
         other = np.flatnonzero(left["component"] != right["component"][j])
@@ -213,8 +214,6 @@ def _compare(left: dict, right: dict, nearest: bool) -> tuple[np.ndarray, np.nda
         same = (left["fine"][other] == right["fine"][j]).sum(axis=1)
         close = same >= FINE_LEAST
         other, same = other[close], same[close]
-        close = (left["coarse"][other] != right["coarse"][j]).sum(axis=1) <= RADIUS
-        other, same = other[close], same[close]
         if nearest and len(other):
             best = int(np.argmax(same))
             other, same = other[best : best + 1], same[best : best + 1]

@@ -86,3 +86,13 @@ def test_null_and_repeated_ids_and_no_rows(docs_of):
     got = minhash.near_duplicates(docs_of(["a b c d e", "a b c d e", "a b c d e"], [None, 4, 4])).collect()
     assert sorted((r.component_id or -1, r.kept) for r in got) == [(-1, True), (4, True), (4, True)]
     assert minhash.near_duplicates(docs_of(["a"]).limit(0)).collect() == []
+
+
+def test_pairs_that_met_on_a_key_are_compared_beyond_the_radius():
+    def side(node, coarse):
+        return {"node": np.array([node]), "component": np.array([node]), "coarse": coarse, "fine": np.zeros((1, minhash.FINE), np.uint8)}
+
+    near, far = np.zeros((1, minhash.SYMBOLS), "<u2"), np.zeros((1, minhash.SYMBOLS), "<u2")
+    far[0, -minhash.RADIUS - 1 :] = 1
+    for nearest in (False, True):
+        assert [c.tolist() for c in minhash._compare(side(1, near), side(2, far), nearest)] == [[0], [0], [minhash.FINE]]
