@@ -202,6 +202,16 @@ def _(t):
     return out.withColumn("digest", F.md5("sentence")).drop("sentence")
 
 
+@query(
+    "tx31_review_values",
+    """WITH d AS (SELECT doc_id, source, substr(sha1(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))), 1, 16) AS review_key FROM documents)
+SELECT review_key, 'source' AS list, source AS value, count(*) AS n FROM d GROUP BY 1, 3 UNION ALL SELECT review_key, 'doc', CAST(doc_id AS VARCHAR), count(*) FROM d GROUP BY 1, 3""",
+)
+def _(t):
+    rows = t.documents.select(F.col("doc_id").alias("doc"), "source", text.review_key("text").alias("review_key"))
+    return review.review_values(rows, "review_key", ["source", "doc"])
+
+
 _ANSWER_KEYS = ["item_index", "prime_condition", "target_voice", "question_type"]
 
 

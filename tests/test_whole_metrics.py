@@ -63,3 +63,7 @@ def test_paired_metrics(spark, monkeypatch):
         for m in ("sentence_pe_mean", "sentence_pe", "post_divergence_pe_mean", "critical_word_pe_mean")
     )
     same_moments(rows, ["condition", "metric"], sql)
+
+
+def test_review_values_match_sql(spark):
+    assert check.compare(spark, check.duck(SF), SF, "tx31_review_values")[0].startswith("ok")
