@@ -106,6 +106,44 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_KEYS = np.random.default_rng(20250117).integers(0, 1 << 63, 2, dtype=np.uint64)
+
+
+def slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of disjoint slices, in ascending order, of an array of numbers below 2**24.
+
+    Each is a sum of scrambled (place in the slice, value) pairs, so no algebra of places or values
+    carries over to it: unlike a polynomial modulo 2**64 it has no texts that collide by their build.
+    """
+    n = len(values)
+    begin = np.zeros(n, np.int64)
+    begin[starts] = starts
+    np.maximum.accumulate(begin, out=begin)
+    pair = (np.arange(n) - begin).view(np.uint64)
+    pair <<= np.uint64(24)
+    pair |= values.astype(np.uint64)
+    sums = np.zeros(n + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        pair ^= _KEYS[0]
+        pair = mix(pair)
+        out = []
+        for key in (None, _KEYS[1]):
+            if key is not None:
+                pair *= pair ^ key
+            np.cumsum(pair, out=sums[1:])
+            out.append(mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64)))
+    return out[0], out[1]
+
+
+def distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One index of each distinct pair of hashes, each row's place among them, and their counts."""
+    _, one, back, n = np.unique(first, return_index=True, return_inverse=True, return_counts=True)
+    if (second[one][back] != second).any():
+        both = np.stack([first, second], axis=1)
+        _, one, back, n = np.unique(both, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    return one, back.reshape(-1), n
+
+
 class Spans:
     """64-bit hashes of many slices of one array of small numbers.
 

@@ -29,9 +29,10 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import Scratch, chunks, ragged, texts
-from .tokens import Words
+from .common import Scratch, chunks, distinct, ragged, texts
+from .tokens import Words, unsure
 
 #: Words in the lexicon, and the bytes of its longest word.
 LEXICON, LONGEST = 1 << 17, 48
@@ -233,6 +234,7 @@ class Codec:
     def __init__(self, path: str, lexicon: str):
         self.merges, self.lexicon = Merges(path), Lexicon(lexicon)
         self.split = re.compile("(" + "|".join(map(re.escape, self.merges.special)) + ")") if self.merges.special else None
+        self.splitter = ByteLevel(add_prefix_space=False)
         self.unseen: dict[bytes, list[int]] = {}
         size = np.fromiter(map(len, self.merges.bytes), np.int64, self.merges.size)
         self.token_size, self.token_start = size, np.cumsum(size) - size
@@ -253,7 +255,7 @@ class Codec:
         words = Words(parts, attach_space=True)
         if not len(words.starts):
             return np.zeros(0, np.int64), np.zeros(len(parts) + 1, np.int64)
-        _, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        first, back, _ = distinct(*words.hashes())
         own = [w.encode("utf-8", "surrogatepass") for w in words.strings(first)]
         place = self.lexicon.places(own)
         known, new = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
@@ -269,6 +271,19 @@ class Codec:
         bounds = np.append(0, np.cumsum(n))
         return source[ragged(begin[back], n)], bounds[words.first]
 
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_plain``; parts with code points unknown here are split into words by the library."""
+        odd = {i: self._split_by_library(parts[i]) for i in unsure(parts)}
+        ids, bounds = self._plain(["" if i in odd else t for i, t in enumerate(parts)])
+        if not odd:
+            return ids, bounds
+        each = [odd[i] if i in odd else ids[bounds[i] : bounds[i + 1]] for i in range(len(parts))]
+        return np.concatenate(each), np.append(0, np.cumsum([len(e) for e in each]))
+
+    def _split_by_library(self, text: str) -> np.ndarray:
+        words = self.splitter.pre_tokenize_str(text)
+        return np.array([i for _, (a, b) in words for i in self._merged(text[a:b].encode("utf-8"))], np.int64)
+
     def encode(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts: list[str] = []
         marks: list[int] = []  # before each part: a special id, -1 within a text, -2 for a new text
@@ -276,7 +291,7 @@ class Codec:
             pieces = self.split.split(text) if self.split and any(s in text for s in self.merges.special) else [text]
             parts += pieces[::2]
             marks += [-2, *(self.merges.special[s] for s in pieces[1::2])]
-        ids, bounds = self._plain(parts)
+        ids, bounds = self._parts(parts)
         out, ends, at = [], [], 0
         if len(parts) == len(some):
             return ids, bounds
@@ -317,7 +332,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 words = Words(some[a:b], attach_space=True)
                 if not len(words.starts):
                     continue
-                _, first, n = np.unique(words.hashes(), return_index=True, return_counts=True)
+                first, _, n = distinct(*words.hashes())
                 short = words.ends[first] - words.starts[first] <= LONGEST
                 for word, k in zip(words.strings(first[short]), n[short].tolist()):
                     seen[word] = seen.get(word, 0) + k

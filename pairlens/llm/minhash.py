@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Spans, chunks, even, mix, texts
+from .common import Scratch, chunks, even, mix, slice_hashes, texts
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -64,7 +64,7 @@ def shingle_sets(some: list[bytes]) -> Iterator[np.ndarray]:
     space = _SPACE[data]
     change = np.flatnonzero(np.diff(space, prepend=True))
     starts, ends = change[::2], change[1::2]
-    words = Spans(data).hash(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    words, _ = slice_hashes(data, starts, ends)
     first = np.searchsorted(starts, bounds)
     rolled = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
     with np.errstate(over="ignore"):

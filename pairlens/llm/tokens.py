@@ -3,7 +3,8 @@
 Both supported tokenizers split a text into words before they merge, and a word's ids
 do not depend on its neighbours. So a batch is split with array operations, each word
 that the worker's table does not hold yet goes through the library, and ids are gathered.
-Texts that hold a special token's string go through the library whole.
+Texts that hold a special token's string go through the library whole, and so do texts with
+code points that this Python's Unicode table does not know: the library's may.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .common import Spans, chunks, ragged
+from .common import chunks, distinct, ragged, slice_hashes
 
 #: Code points of white space (Unicode's White_Space), fixed.
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -29,6 +30,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=1)
+def _unknown() -> np.ndarray:
+    """The code points of which the library may know more than this Python does, or know it otherwise."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)], bool)
+
+
+def unsure(some: list[str]) -> list[int]:
+    """The texts that hold unknown code points."""
+    cp = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4")
+    if not len(cp) or cp.max() < 128:
+        return []
+    at = np.flatnonzero(_unknown()[cp])
+    if not len(at):
+        return []
+    ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))
+    return np.unique(np.searchsorted(ends, at, side="right")).tolist()
+
+
 @lru_cache(maxsize=1)
 def char_classes() -> np.ndarray:
     out = np.full(0x110000, OTHER, np.uint8)
@@ -98,8 +117,8 @@ class Words:
             self.starts, self.ends = self.starts[word], self.ends[word]
         self.first = np.searchsorted(self.starts, bounds)
 
-    def hashes(self) -> np.ndarray:
-        return Spans(self.points).hash(self.starts, self.ends)
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        return slice_hashes(self.points, self.starts, self.ends)
 
     def strings(self, which: np.ndarray) -> list[str]:
         text = self.text
@@ -131,7 +150,7 @@ class Encoder:
             self.newline = vocab["Ċ"]
         else:
             self.ends_word[[i for t, i in vocab.items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
-        self.keys = np.zeros(self.SLOTS, np.uint64)
+        self.keys, self.seconds = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64)
         self.counts = np.zeros(self.SLOTS, np.uint8)
         self.values = np.zeros((self.SLOTS, self.WIDE), np.uint16 if self.size <= 1 << 16 else np.uint32)
 
@@ -140,7 +159,7 @@ class Encoder:
         ids, sizes = [], []
         for a, b in chunks(texts, list(map(len, texts)), self.CHARS):
             part = texts[a:b]
-            odd = [i for i, t in enumerate(part) if any(s in t for s in self.special)]
+            odd = sorted({i for i, t in enumerate(part) if any(s in t for s in self.special)}.union(unsure(part)))
             whole = {i: np.array(self.library.encode(part[i], add_special_tokens=False).ids, np.uint32) for i in odd}
             for i in odd:
                 part[i] = ""
@@ -163,13 +182,13 @@ class Encoder:
             # Capital sigma has one lower form here, whatever follows it.
             texts = [unicodedata.normalize("NFC", t).replace("Σ", "σ").lower() for t in texts]
         words = Words(texts, self.byte_level)
-        h = words.hashes() if len(words.starts) else np.zeros(0, np.uint64)
+        h, second = words.hashes()
         slot = (h >> np.uint64(43)).astype(np.int64)
-        hit = self.keys[slot] == h
+        hit = (self.keys[slot] == h) & (self.seconds[slot] == second)
         sizes = self.counts[slot].astype(np.int64)
         missed = np.flatnonzero(~hit)
         if len(missed):
-            new, first, back = np.unique(h[missed], return_index=True, return_inverse=True)
+            first, back, _ = distinct(h[missed], second[missed])
             flat, n = self._library(words.strings(missed[first]))
             begin = np.cumsum(n) - n
             sizes[missed] = n[back]
@@ -185,16 +204,16 @@ class Encoder:
             out[to + j] = self.values[of, j]
         if len(missed):
             out[ragged(bounds[missed], sizes[missed])] = flat[ragged(begin[back], n[back])]
-            self._remember(new, flat, begin, n)
+            self._remember(h[missed[first]], second[missed[first]], flat, begin, n)
         return out, bounds[words.first]
 
-    def _remember(self, new: np.ndarray, flat: np.ndarray, begin: np.ndarray, n: np.ndarray) -> None:
+    def _remember(self, new: np.ndarray, second: np.ndarray, flat: np.ndarray, begin: np.ndarray, n: np.ndarray) -> None:
         """First come, first kept: frequent words come early."""
         slot = (new >> np.uint64(43)).astype(np.int64)
         fits = np.flatnonzero((n <= self.WIDE) & (self.keys[slot] == 0))
         slot, one = np.unique(slot[fits], return_index=True)
         fits = fits[one]
-        self.keys[slot], self.counts[slot] = new[fits], n[fits]
+        self.keys[slot], self.seconds[slot], self.counts[slot] = new[fits], second[fits], n[fits]
         padded = np.append(flat, np.zeros(self.WIDE, np.uint32))
         self.values[slot] = padded[begin[fits][:, None] + np.arange(self.WIDE)]
 

@@ -96,3 +96,14 @@ def test_pairs_that_met_on_a_key_are_compared_beyond_the_radius():
     far[0, -minhash.RADIUS - 1 :] = 1
     for nearest in (False, True):
         assert [c.tolist() for c in minhash._compare(side(1, near), side(2, far), nearest)] == [[0], [0], [minhash.FINE]]
+
+
+def test_words_that_collide_in_a_polynomial_are_not_linked(docs_of):
+    a, b = "a", "b"
+    while len(a) < 65_536:
+        a, b = a + b, b + a
+        if len(a) in (1024, 65_536):
+            x, y = minhash.shingle_sets([f"one two three four {w}".encode() for w in (a, b)])
+            assert len(x) == len(y) == 1 and x[0] != y[0]
+    got = minhash.near_duplicates(docs_of([f"one two three four {w[:1024]}" for w in (a, b, a)])).collect()
+    assert {r.doc_id: (r.component_id, r.kept) for r in got} == {0: (0, True), 1: (1, True), 2: (0, False)}
