@@ -61,13 +61,15 @@ def with_views(sql: str) -> str:
     return f"WITH {head}\n{body}"
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles at six decimals, whole numbers as bigint."""
+def rounded(df: DataFrame, places: int | None = 6) -> DataFrame:
+    """Doubles at so many decimals (None: as they are), whole numbers as bigint."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double") + F.lit(OFF_TIE), 6)
+            c = c.cast("double")
+            if places is not None:
+                c = F.round(c + F.lit(OFF_TIE), places)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         out.append(c.alias(f.name))
@@ -75,12 +77,16 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def query(name: str, sql: str | None = None):
-    """Register a query over the tables; ``sql`` is its check on the same tables."""
+    """Register a query over the tables; ``sql`` is its check on the same tables.
+
+    Only results that are compared with SQL are rounded; the others, p-values among them,
+    are returned as they are.
+    """
 
     def wrap(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(Tables(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: rounded(fn(Tables(spark, sf_dir)), None if sql is None else 6)
         if sql is not None:
             CHECKS[name] = with_views(expand_r6(sql))
         return fn

@@ -8,7 +8,7 @@ from ..operators.resample import _POISSON_CDF
 from .aggregates import _SCORES, _VOICE, ANSWERS, _scores, _voices
 from .effects import PE, WIDE, effect_columns, item_effects, long_scores
 from .registry import query
-from .tokens import item_table
+from .tokens import ITEM_PE, item_table
 
 GROUP = ["model_condition", "lexicality_condition"]
 DRAWS, FLIPS = 5_000, 10_000
@@ -163,31 +163,34 @@ def _pairwise_sql(measure, label):
 FROM (WITH w AS (SELECT lexicality_condition, item_id, {cells} FROM {_SCORES} GROUP BY 1, 2) {' UNION ALL '.join(parts)}) q GROUP BY 1, 2, 3, 4"""
 
 
+# The metrics of the pairwise tests that item_scores has; it has no summed scores.
+PAIRWISE = {"passive_choice_indicator": "passive_choice_delta", "passive_minus_active_logprob": "logprob_delta"}
+
+
+def _pairwise(t):
+    rows = _scores(t).withColumn("passive_choice_indicator", (F.col("chosen_structure") == "passive").cast("double"))
+    return stats.pairwise_stats(
+        rows, ["lexicality_condition"], "item_id", PAIRWISE, _ORDER, n_resamples=FLIPS
+    )
+
+
+_PASSIVE = "CASE WHEN chosen_structure = 'passive' THEN 1.0 ELSE 0.0 END"
+
+
 @query(
     "st10_pairwise_stats",
-    _pairwise_sql("passive_minus_active_logprob", "logprob_delta"),
+    _pairwise_sql("passive_minus_active_logprob", "logprob_delta") + "\nUNION ALL " + _pairwise_sql(_PASSIVE, "passive_choice_delta"),
 )
 def _(t):
-    out = stats.pairwise_stats(
-        _scores(t), ["lexicality_condition"], "item_id",
-        {"passive_minus_active_logprob": "logprob_delta"}, _ORDER, n_resamples=FLIPS,
-    )
-    return out.select(
+    return _pairwise(t).select(
         "lexicality_condition", "metric", "condition_a", "condition_b", "n_items", "mean", "sd",
         "effect_size_dz", "t_stat",
     )
 
 
-# The metrics of the pairwise tests that item_scores has; it has no summed scores.
-PAIRWISE = {"passive_choice_indicator": "passive_choice_delta", "passive_minus_active_logprob": "logprob_delta"}
-
-
 @query("st10_pairwise_stats_p")
 def _(t):
-    rows = _scores(t).withColumn("passive_choice_indicator", (F.col("chosen_structure") == "passive").cast("double"))
-    return stats.pairwise_stats(
-        rows, ["lexicality_condition"], "item_id", PAIRWISE, _ORDER, n_resamples=FLIPS
-    )
+    return _pairwise(t)
 
 
 def _choices(t):
@@ -259,27 +262,25 @@ def _sides(t):
     )
 
 
+PAIRED = ["sentence_pe_mean", "sentence_pe", "post_divergence_pe_mean", "critical_word_pe_mean"]
+
+
 @query(
     "st14_paired_metric_tests",
     "\nUNION ALL ".join(
         f"""SELECT condition, '{m}' AS metric, count(*) AS n_items, R6(avg(d)) AS mean, R6(stddev_samp(d)) AS sd, R6(avg(d) / stddev_samp(d)) AS effect_size_dz,
   R6(avg(d) / (stddev_samp(d) / sqrt(count(*)))) AS t_stat
-FROM (SELECT condition, item_index, max(CASE WHEN target_structure = 'passive' THEN {m} END) - max(CASE WHEN target_structure = 'active' THEN {m} END) AS d FROM {_SIDES} GROUP BY 1, 2) q GROUP BY 1"""
-        for m in ("sentence_pe_mean", "sentence_pe")
+FROM (SELECT condition, item_index, max(CASE WHEN target_structure = 'passive' THEN {m} END) - max(CASE WHEN target_structure = 'active' THEN {m} END) AS d FROM ({ITEM_PE}) i GROUP BY 1, 2) q WHERE d IS NOT NULL GROUP BY 1"""
+        for m in PAIRED
     ),
 )
 def _(t):
-    out = stats.paired_metric_tests(
-        _sides(t), ["condition"], "item_index", ["sentence_pe_mean", "sentence_pe"], n_resamples=FLIPS
-    )
+    out = stats.paired_metric_tests(item_table(t), ["condition"], "item_index", PAIRED, n_resamples=FLIPS)
     return out.select(
         "condition", "metric", "n_items", "mean", "sd", "effect_size_dz", "t_stat"
     )
 
 
-PAIRED = ["sentence_pe_mean", "sentence_pe", "post_divergence_pe_mean", "critical_word_pe_mean"]
-
-
 @query("st14_paired_metric_tests_p")
 def _(t):
     return stats.paired_metric_tests(
@@ -396,27 +397,23 @@ def _(t):
     )
 
 
-_METRICS = [m for m in fixed.EFFECT_METRICS if m.endswith("_sum") or "_sum_" in m][:5]
 _METRIC_SQL = {**effect_columns("sum"), **effect_columns("mean")}
+_LONG = "".join(f", {_METRIC_SQL[m]} AS \"{m}\"" for m in fixed.EFFECT_METRICS)
+_MOMENTS = """count(d) AS n_items, R6(avg(d)) AS mean, R6(CASE WHEN count(d) = 1 THEN 0 ELSE stddev_samp(d) END) AS sd,
+  R6(CASE WHEN count(d) > 1 AND stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(d))) END) AS t_stat"""
 
 
 @query(
     "st03_summarize_effects",
-    "\nUNION ALL ".join(
-        f"""SELECT '{g}' AS summary_group, {lex} AS lexicality_condition, '{m}' AS metric, count(d) AS n_items, R6(avg(d)) AS mean,
-  R6(CASE WHEN count(d) = 1 THEN 0 ELSE stddev_samp(d) END) AS sd, R6(CASE WHEN count(d) > 1 AND stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(d))) END) AS t_stat
-FROM (SELECT lexicality_condition, {_METRIC_SQL[m]} AS d FROM {WIDE}) q {group}"""
-        for g, lex, group in (
-            ("overall", "CAST(NULL AS VARCHAR)", ""),
-            ("by_lexicality", "lexicality_condition", "GROUP BY lexicality_condition"),
-        )
-        for m in _METRICS
-    ),
+    f"""WITH u AS (SELECT lexicality_condition{_LONG} FROM {WIDE}),
+l AS (SELECT lexicality_condition, unnest([{", ".join(f"'{m}'" for m in fixed.EFFECT_METRICS)}]) AS metric, unnest([{", ".join(f'"{m}"' for m in fixed.EFFECT_METRICS)}]) AS d FROM u)
+SELECT 'overall' AS summary_group, CAST(NULL AS VARCHAR) AS lexicality_condition, metric, {_MOMENTS} FROM l GROUP BY metric
+UNION ALL SELECT 'by_lexicality', lexicality_condition, metric, {_MOMENTS} FROM l GROUP BY lexicality_condition, metric""",
 )
 def _(t):
     items = effects.paired_effect_long(long_scores(t), ["item_id", "lexicality_condition"])
     out = stats.summarize_effects(
-        items, {"overall": [], "by_lexicality": ["lexicality_condition"]}, "item_id", _METRICS,
+        items, {"overall": [], "by_lexicality": ["lexicality_condition"]}, "item_id", fixed.EFFECT_METRICS,
         n_resamples=FLIPS,
     )
     return out.select(

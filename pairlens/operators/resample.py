@@ -67,16 +67,17 @@ def _exploded(
 
 
 def _drawn_sums(
-    df: DataFrame, by: Sequence[str], unit: str, value: str, n: int, seed: int, signs: bool
+    df: DataFrame, by: Sequence[str], unit: str, value: str, n: int, seed: int, signs: bool, common: Sequence[str] = ()
 ) -> DataFrame:
     """(by, __draw, __sum, __weight): sums of weight times value and of weights per resample.
 
     A task keeps one row of sums per group and multiplies blocks of units with their
     weights, Poisson counts or signs read from the digests, so what leaves a task is
-    ``n`` numbers per group, however many units it has met.
+    ``n`` numbers per group, however many units it has met. Groups that differ in the
+    ``common`` columns only (several measures of one unit) get the same weights, drawn once.
     """
     names = [f"__b{i}" for i in range(len(by))]
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*by, unit)]
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*(b for b in by if b not in common), unit)]
     units = df.where(F.col(value).isNotNull()).select(
         *[F.col(c).alias(m) for c, m in zip(by, names)],
         F.concat_ws("|", F.lit(str(seed)), *parts).alias("__key"),
@@ -102,13 +103,19 @@ def _drawn_sums(
             at = np.array([groups.setdefault(g, len(groups)) for g in named], int)
             sums += [np.zeros((2, n)) for _ in range(len(groups) - len(sums))]
             keys, x = batch.column(k).to_pylist(), batch.column(k + 1).to_numpy()
-            for start in range(0, len(keys), 128):
-                w = weights(keys[start : start + 128])
-                own, values = at[start : start + 128], x[start : start + 128]
-                for g in np.unique(own):
-                    here = own == g
-                    sums[g][0] += values[here] @ w[here]
-                    sums[g][1] += w[here].sum(axis=0)
+            places: dict[str, int] = {}
+            place = np.array([places.setdefault(key, len(places)) for key in keys], int)
+            units = list(places)
+            for start in range(0, len(units), 128):
+                w = weights(units[start : start + 128])
+                rows = np.flatnonzero((place >= start) & (place < start + 128))
+                own, row = np.unique(at[rows], return_inverse=True)
+                held = np.zeros((2, len(own), len(w)))
+                np.add.at(held[0], (row, place[rows] - start), x[rows])
+                np.add.at(held[1], (row, place[rows] - start), 1.0)
+                for j in (0, 1):
+                    for g, total in zip(own.tolist(), held[j] @ w):
+                        sums[g][j] += total
         columns = [pa.array([g[i] for g in groups], types[i]) for i in range(k)]
         columns += [pa.array([v[j] for v in sums], pa.list_(pa.float64())) for j in (0, 1)]
         yield pa.RecordBatch.from_arrays(columns, [*names, "s", "w"])
@@ -117,7 +124,7 @@ def _drawn_sums(
     types = [to_arrow_type(f.dataType) for f in fields]
     doubles = T.ArrayType(T.DoubleType())
     schema = T.StructType([*fields, T.StructField("s", doubles), T.StructField("w", doubles)])
-    rows = spread(units, "__key").mapInArrow(run, schema)
+    rows = spread(units, "__key").sortWithinPartitions("__key").mapInArrow(run, schema)
     each = rows.select(*names, F.posexplode(F.arrays_zip("s", "w")).alias("__draw", "z"))
     return (
         each.groupBy(*names, "__draw")
@@ -150,16 +157,18 @@ def bootstrap_ci(
     ci: float = 95.0,
     seed: int = 13,
     method: str = "poisson",
+    common: Sequence[str] = (),
 ) -> DataFrame:
     """Percentile interval of the mean per group: ``n_rows, mean, ci_low, ci_high``.
 
     ``poisson`` weighs each unit with an independent Poisson(1) count per resample, which
     approximates drawing with replacement and needs no positions. ``exact`` draws n
-    positions per resample. ``unit`` must tell the rows of a group apart.
+    positions per resample. ``unit`` must tell the rows of a group apart. Groups that differ in
+    ``common`` columns only share their Poisson counts.
     """
     alpha = (100.0 - ci) / 200.0
     if method == "poisson":
-        sums = _drawn_sums(df, by, unit, value, n_resamples, seed, signs=False)
+        sums = _drawn_sums(df, by, unit, value, n_resamples, seed, False, common)
         means = sums.withColumn("__mean", F.try_divide("__sum", "__weight"))
     elif method == "exact":
         means = _exact_means(df, by, unit, value, n_resamples, seed)
@@ -222,14 +231,15 @@ def sign_flip_p(
     seed: int = 42,
     correction: bool = True,
     side: str = "two",
+    common: Sequence[str] = (),
 ) -> DataFrame:
     """Sign-flip test of mean 0 per group: ``n_items, mean, p_value``.
 
     ``correction`` counts the observed data as one more permutation. ``side='greater'``
     is one-sided. Ties within 1e-12 count as reached, so that summation order does not
-    decide them.
+    decide them. Groups that differ in ``common`` columns only share their signs.
     """
-    sums = _drawn_sums(df, by, unit, value, n_permutations, seed, signs=True)
+    sums = _drawn_sums(df, by, unit, value, n_permutations, seed, True, common)
     observed = _observed(df, by, value, "n_items")
     met = _joined(sums, observed, by).withColumn("__mean", F.col("__sum") / F.col("n_items"))
     if side == "greater":

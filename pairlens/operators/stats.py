@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, pvalues
 from ..functions.core import col
+from ..sources.shared import materialize
 from . import effects, resample
 from .ranking import null_safe_join
 from .reshape import to_wide
@@ -103,16 +104,17 @@ def _test_block(
     n_bootstrap: int | None = None,
 ) -> DataFrame:
     """Moments, t, sign-flip p and bootstrap interval of ``diff`` per group; the interval has
-    ``n_bootstrap`` draws, or as many as the test."""
+    ``n_bootstrap`` draws, or as many as the test. The metrics of a unit share their draws."""
+    common = [c for c in ("metric", "summary_group") if c in by]
     base = one_sample(diffs, by, "diff", single_sd=0.0 if zero_dz else None)
     dz = F.when(F.col("sd") > 0, F.col("mean") / F.col("sd"))
     if zero_dz:
         dz = F.coalesce(dz, F.lit(0.0))
     base = base.withColumn("effect_size_dz", dz)
     perm = resample.sign_flip_p(
-        diffs, by, unit, "diff", n_resamples, seed, correction=correction
+        diffs, by, unit, "diff", n_resamples, seed, correction=correction, common=common
     ).select(*by, F.col("p_value").alias("perm_p_two_sided"))
-    boot = resample.bootstrap_ci(diffs, by, unit, "diff", n_bootstrap or n_resamples, 95.0, seed).select(
+    boot = resample.bootstrap_ci(diffs, by, unit, "diff", n_bootstrap or n_resamples, 95.0, seed, common=common).select(
         *by,
         F.col("ci_low").alias("bootstrap_ci95_low"),
         F.col("ci_high").alias("bootstrap_ci95_high"),
@@ -211,9 +213,13 @@ def summarize_effects(
     """n, mean, sd, interval and p-values per metric for several groupings.
 
     A row is copied once per grouping and metric; everything after that is one
-    aggregation per statistic.
+    aggregation per statistic. The units' metrics are written to the shared folder first:
+    three statistics read them, and the optimiser need not carry the constraints of many
+    differences of the same columns through the copies.
     """
     keys = list(dict.fromkeys(k for columns in sets.values() for k in columns))
+    metrics = [m for m in metrics if m in df.columns]
+    df = materialize(df.select(*dict.fromkeys([unit, *keys, *metrics])), "effects")
     grids = F.array(
         *[
             F.struct(
@@ -227,7 +233,7 @@ def summarize_effects(
         ]
     )
     cells = F.array(
-        *[F.struct(F.lit(m).alias("metric"), F.col(m).alias("diff")) for m in metrics if m in df.columns]
+        *[F.struct(F.lit(m).alias("metric"), F.col(m).alias("diff")) for m in metrics]
     )
     rows = (
         df.select(F.col(unit).alias("__u"), cells.alias("cells"), F.explode(grids).alias("g"))

@@ -15,13 +15,15 @@ SF = "/root/testdata/sf0.001"
 def result(spark, monkeypatch, name):
     draws, drawn = [], resample._drawn_sums
 
-    def noted(df, by, unit, value, n, seed, signs):
+    def noted(df, by, unit, value, n, *rest):
         draws.append(n)
-        return drawn(df, by, unit, value, 8, seed, signs)  # the moments do not need them all
+        return drawn(df, by, unit, value, n, *rest)
 
     monkeypatch.setattr(resample, "_drawn_sums", noted)
     rows = [r.asDict() for r in QUERIES[name](spark, SF).collect()]
     assert draws == [10_000, 10_000]
+    for r in rows:
+        assert 0 <= r["perm_p_two_sided"] <= 1 and r["bootstrap_ci95_low"] <= r["mean"] <= r["bootstrap_ci95_high"]
     return rows
 
 
@@ -67,3 +69,17 @@ def test_paired_metrics(spark, monkeypatch):
 
 def test_review_values_match_sql(spark):
     assert check.compare(spark, check.duck(SF), SF, "tx31_review_values")[0].startswith("ok")
+
+
+def test_metrics_of_a_unit_share_their_draws(spark):
+    """With common columns each group gets what it gets alone under the same key."""
+    rows = spark.range(300).selectExpr("id", "'a' AS g", "explode(array('m', 'n')) AS metric", "sin(id) + IF(metric = 'm', 0, 0.1) AS x")
+    both = resample.bootstrap_ci(rows, ["g", "metric"], "id", "x", 500, common=["metric"]).collect()
+    for r in both:
+        alone = resample.bootstrap_ci(rows.where(f"metric = '{r.metric}'"), ["g"], "id", "x", 500).collect()[0]
+        assert math.isclose(r.ci_low, alone.ci_low, abs_tol=1e-9) and math.isclose(r.ci_high, alone.ci_high, abs_tol=1e-9)
+
+
+def test_small_p_values_are_not_rounded_away(spark):
+    p = [r.p_value for r in QUERIES["st06_one_sample_p"](spark, SF).collect()]
+    assert any(0 < x < 1e-6 for x in p if x is not None) or all(x is None or x >= 5e-7 for x in p)
