@@ -144,40 +144,6 @@ def distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndar
     return one, back.reshape(-1), n
 
 
-class Spans:
-    """64-bit hashes of many slices of one array of small numbers.
-
-    Prefix sums of value times a power of an odd base, modulo 2**64; a slice's
-    difference is moved to the base's power 0 by the inverse power.
-    """
-
-    BASE = 0x9E3779B97F4A7C15
-    _pow: np.ndarray | None = None
-    _inv: np.ndarray | None = None
-
-    @classmethod
-    def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if cls._pow is None or len(cls._pow) < n:
-            size = max(1 << 16, 1 << (n - 1).bit_length())
-            with np.errstate(over="ignore"):
-                up = np.full(size, cls.BASE, np.uint64)
-                down = np.full(size, pow(cls.BASE, -1, 1 << 64), np.uint64)
-                up[0] = down[0] = 1
-                cls._pow, cls._inv = np.cumprod(up), np.cumprod(down)
-        return cls._pow[:n], cls._inv[:n]
-
-    def __init__(self, values: np.ndarray):
-        n = len(values)
-        up, self.inv = self.powers(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:n], out=self.sums[1:])
-
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.sums[end] - self.sums[start]) * self.inv[start] + (end - start).astype(np.uint64))
-
-
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices of all slices [start, start + length), one after another."""
     total = int(lengths.sum())

@@ -5,28 +5,31 @@ two. Sorting every suffix of a large corpus is out of reach, so suffixes are sor
 repeats must show: each window of ``LEAST`` bytes names as its anchor the leftmost of its
 ``GRAM``-byte strings with the least hash. That choice depends on the window's bytes alone,
 so equal windows have equal anchors at equal offsets, and all occurrences of a repeat
-meet in the bucket of an anchor.
-
-1. Each anchor is kept with the hashes of its gram and of its context, the bytes of all
-   windows that name it. Grams that occur once are dropped.
-2. A gram whose contexts are all equal needs no sorting: all its windows are repeats.
-3. Otherwise the contexts' bytes are fetched. Each bucket's suffixes (anchor onwards) are
-   sorted, and a stack scan of their common-prefix lengths gives the interval tree. In each
-   interval the members are sorted by what stands before the anchor, backwards: members
-   whose left extensions agree for long enough are a repeat, members with different next
-   bytes on both sides a maximal one, reported with all occurrences.
-4. Buckets of more than ``BUCKET`` rows go another exact way: the hashes of the windows
-   themselves are counted, after equal contexts have been put together. Their maximal repeats
-   start at windows that follow different bytes and end at windows that different bytes follow;
-   the strings between two such windows are counted, and joined back to all their places.
-
-Contexts end with the windows of their anchor, so a repeat longer than a context is
-reported in overlapping pieces; their union is the same.
+meet at an anchor with the same gram.
+
+1. Each anchor is kept with its context, the bytes of all windows that name it (as a 128-bit
+   keyed hash). Grams that occur once are dropped. Equal contexts of a gram are one leaf with
+   its number of copies; a leaf of several copies is a repeat as it stands.
+2. Leaves of a gram with several contexts are keyed on both sides of the anchor: for each
+   ``b`` in steps of ``STEP``, by the hash of the ``b`` bytes before the anchor and the
+   ``LEAST - STEP + 1 - b`` bytes from it on. Two leaves that share a window share a key, and what
+   decides is left: the bytes before the key's string, backwards, and those after it.
+3. The keyed suffixes are sorted by sampled splitters, so one key may lie in many ranges. In
+   each range a stack scan of common-prefix lengths gives each key's interval tree; in each
+   interval the members are sorted by their left extensions, and members that agree on the left
+   but not further on either side (the left extensions are diverse, and not all members lie in one
+   child) are a maximal repeat, reported with all its occurrences.
+4. Intervals of a key that may reach over a range's edge stay open: their members are counted by
+   (interval, left extension) in an aggregation, whatever their number.
+
+So no bucket is gathered in one task, and there is one way for buckets of every size. Contexts
+end with the windows of their anchor, so a repeat longer than a context is reported in overlapping
+pieces; their union is the same. ``maximal_repeats`` deals whole keys to tasks instead, as its result
+lists each group.
 
 Nulls: a null text is the empty text; a row with a null ``doc_id`` is searched neither for
-repeats nor as their other place, and keeps its text. Rows that share a ``doc_id`` but not
-the text: the spans found for the id are applied to both, within their length; give unique ids. An empty table gives an
-empty result. Other columns pass through
+repeats nor as their other place, and keeps its text. Rows that share a ``doc_id`` are told apart
+by a hash of their texts. An empty table gives an empty result. Other columns pass through
 ``remove_repeats``.
 """
 
@@ -41,15 +44,51 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Spans, chunks, mix, texts
+from .common import Scratch, chunks, mix, texts
 
 LEAST, GRAM = 200, 48
 REACH = LEAST - GRAM  # the anchor's largest offset in a window
-BUCKET = 4096
+STEP = 8
+SHARED = LEAST - STEP + 1  # the bytes of a key's string
 PIECE = 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
 
 
+class Rolling:
+    """64-bit hashes of many slices of one array of small numbers.
+
+    Prefix sums of value times a power of an odd base, modulo 2**64; a slice's
+    difference is moved to the base's power 0 by the inverse power. For grams only, which are
+    far too short for the strings that such hashes confuse; equal hashes only put grams together.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+    _pow: np.ndarray | None = None
+    _inv: np.ndarray | None = None
+
+    @classmethod
+    def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if cls._pow is None or len(cls._pow) < n:
+            size = max(1 << 16, 1 << (n - 1).bit_length())
+            with np.errstate(over="ignore"):
+                up = np.full(size, cls.BASE, np.uint64)
+                down = np.full(size, pow(cls.BASE, -1, 1 << 64), np.uint64)
+                up[0] = down[0] = 1
+                cls._pow, cls._inv = np.cumprod(up), np.cumprod(down)
+        return cls._pow[:n], cls._inv[:n]
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        up, self.inv = self.powers(n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:n], out=self.sums[1:])
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.sums[end] - self.sums[start]) * self.inv[start] + (end - start).astype(np.uint64))
+
+
 def _pieces(some: list[bytes]) -> Iterator[tuple[list[tuple[int, int, int, int]], np.ndarray]]:
     """Joined bytes of about PIECE in size with (text, offset in it, place, length); long texts
     are cut with an overlap, so that each window lies whole in one piece."""
@@ -65,14 +104,18 @@ def _pieces(some: list[bytes]) -> Iterator[tuple[list[tuple[int, int, int, int]]
         yield about, np.frombuffer(b"".join(c[2] for c in cut[a:b]), np.uint8)
 
 
+def _digest(string, key: bytes = b"context") -> bytes:
+    return hashlib.blake2b(string, digest_size=16, key=key).digest()
+
+
 def anchors(some: list[bytes]) -> dict[str, np.ndarray]:
-    """text, gram, context, and ``at``: place << 16 | bytes before it << 8 | windows - 1."""
-    out: dict[str, list[np.ndarray]] = {"text": [], "gram": [], "context": [], "at": []}
+    """text, gram, context (two halves c1, c2), and ``at``: place << 16 | bytes before it << 8 | windows - 1."""
+    out: dict[str, list[np.ndarray]] = {"text": [], "gram": [], "c1": [], "c2": [], "at": []}
     for about, data in _pieces(some):
         n_windows, n_grams = len(data) - LEAST + 1, len(data) - GRAM + 1
         if n_windows < 1:
             continue
-        spans = Spans(data)
+        spans = Rolling(data)
         places = np.arange(n_grams)
         hashes = spans.hash(places, places + GRAM)
         order = hashes & ~_PLACE | places.astype(np.uint64)
@@ -95,11 +138,15 @@ def anchors(some: list[bytes]) -> dict[str, np.ndarray]:
         before = place - lo
         piece = owner[lo]
         text, offset, begin = (np.array([a[k] for a in about], np.int64)[piece] for k in range(3))
+        held, size = memoryview(data), LEAST + (hi - lo)
+        whole = b"".join([_digest(held[a : a + n]) for a, n in zip(lo.tolist(), size.tolist())])
+        context = np.frombuffer(whole, np.uint64).reshape(-1, 2)
         with np.errstate(over="ignore"):
-            context = mix(spans.hash(lo, hi + LEAST) + before.astype(np.uint64))
+            first_half = mix(context[:, 0] + before.astype(np.uint64))
         out["text"].append(text)
         out["gram"].append(hashes[place].view(np.int64))
-        out["context"].append(context.view(np.int64))
+        out["c1"].append(first_half.view(np.int64))
+        out["c2"].append(context[:, 1].copy().view(np.int64))
         out["at"].append(place - begin + offset << 16 | before << 8 | hi - lo)
     return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
 
@@ -129,191 +176,87 @@ def intervals(lcp: list[int], least: int) -> list[tuple[int, int, int]]:
         left = i - 1
         while stack and stack[-1][1] > now:
             left, height = stack.pop()
-            if height >= least:
+            if height >= least and (height or 0 in lcp[1:]):  # a root only if not all share more
                 out.append((left, i - 1, height))
         if now >= 0 and (not stack or stack[-1][1] < now):
             stack.append((left, now))
     return out
 
 
-def _matrix(values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, values), np.int64, len(values))
+    width = max(1, int(sizes.max()))
     return np.frombuffer(b"".join([v.ljust(width, b"\0") for v in values]), np.uint8).reshape(-1, width), sizes
 
 
-def bucket_repeats(left: list[bytes], right: list[bytes], groups: bool) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Repeats of one bucket as (members, bytes before the anchor, bytes from it on).
+def _agree(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return next(k for k in range(n) if a[k] != b[k])
+
+
+def maximal_groups(left: list[bytes], right: list[bytes]) -> list[tuple[list[int], int, int]]:
+    """Maximal repeats among the members of a key, sorted by ``right``, as (members, bytes shared
+    before the key's string, bytes shared after it), ``STEP - 1`` bytes together at least.
 
-    ``left``: what stands before each anchor, backwards; ``right``: from it on. With
-    ``groups`` each entry is one maximal repeat (all its members, one extension); else
-    each member of an interval gets its longest extension shared with any other.
+    ``left``: what stands before the string, backwards; ``right``: what stands after it. Left
+    extensions are shared up to ``STEP - 1`` bytes: further ones belong to another key.
     """
-    order = sorted(range(len(right)), key=lambda i: right[i])
-    rights, right_size = _matrix([right[i] for i in order], LEAST)
-    lefts, left_size = _matrix([left[i] for i in order], REACH)
-    lcp = common_prefix(rights, right_size)
-    by_left = np.array(sorted(range(len(order)), key=lambda k: left[order[k]]))
-    rank = np.empty(len(order), np.int64)
-    rank[by_left] = np.arange(len(order))
-    order = np.array(order)
+    if len(left) == 2:
+        before, after = _agree(left[0], left[1]), _agree(right[0], right[1])
+        return [([0, 1], before, after)] if before < STEP and before + after >= STEP - 1 else []
+    lefts, left_size = _matrix(left)
+    lcp = common_prefix(*_matrix(right))
+    ended = np.append(lcp, 0)
+    rank = np.empty(len(left), np.int64)
+    rank[np.array(sorted(range(len(left)), key=left.__getitem__))] = np.arange(len(left))
     out = []
-    for first, last, length in intervals(lcp.tolist(), max(GRAM, LEAST - int(left_size.max()))):
+    for first, last, after in intervals(lcp.tolist(), 0):
         members = np.arange(first, last + 1)
         members = members[np.argsort(rank[members])]
-        shared = common_prefix(lefts[members], left_size[members])
-        if groups:
-            for a, b, extension in intervals(shared.tolist(), LEAST - length):
-                own = np.sort(members[a : b + 1])
-                # Left-maximal by the interval; right-maximal if not all lie in one child.
-                if any(int(lcp[x + 1 : y + 1].min()) == length for x, y in zip(own, own[1:])):
-                    out.append((order[own], np.full(len(own), extension), length))
-            continue
-        longest = np.maximum(shared, np.append(shared[1:], 0))
-        good = longest + length >= LEAST
-        if good.any():
-            out.append((order[members[good]], longest[good], length))
+        extension = common_prefix(lefts[members], left_size[members])
+        for a, b, before in intervals(extension.tolist(), max(0, STEP - 1 - after)):
+            if before >= STEP:
+                continue
+            own = np.sort(members[a : b + 1])
+            # Left extensions are diverse by the interval; so are right ones if not all lie in one child.
+            if (np.minimum.reduceat(ended, own + 1)[:-1] == after).any():
+                out.append((own.tolist(), before, after))
     return out
 
 
-def _pair_repeats(lefts: tuple[list[bytes], list[bytes]], rights: tuple[list[bytes], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """The common extensions of many buckets of two contexts at once."""
-    found = []
-    for (x, y), width in ((lefts, REACH), (rights, LEAST)):
-        a, n = _matrix(x, width)
-        b, m = _matrix(y, width)
-        differs = a != b
-        length = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
-        found.append(np.minimum(length, np.minimum(n, m)))
-    return found[0], found[1]
-
-
-def _scan_buckets(contexts: DataFrame, groups: bool) -> DataFrame:
-    """doc_id, first, end (and repeat, a number of the group) of what repeats in each bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(found: list[tuple[list, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            ids = [i for f in found for i in f[0]]
-            numbers = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (1, 2, 3)]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(n, pa.int64()) for n in numbers)], ["doc_id", "first", "end", "repeat"])
-
-        def solve(table: list[tuple]) -> pa.RecordBatch:
-            """Whole buckets: rows of (gram, doc_id, at, bytes), equal grams together."""
-            found, pairs = [], []
-            a = 0
-            while a < len(table):
-                b = a + 1
-                while b < len(table) and table[b][0] == table[a][0]:
-                    b += 1
-                distinct: dict[tuple[int, bytes], list[int]] = {}
-                for k in range(a, b):
-                    distinct.setdefault((table[k][2] >> 8 & 255, table[k][3]), []).append(k)
-                members = list(distinct.values())
-                left = [own[:before][::-1] for before, own in distinct]
-                right = [own[before:] for before, own in distinct]
-                for k, same in enumerate(members):
-                    if len(same) > 1:  # equal contexts: all their windows are repeats
-                        found.append(_located(table, same, np.full(len(same), len(left[k])), len(right[k]), groups))
-                if len(members) == 2 and not groups:
-                    pairs.append((members, left, right))
-                elif len(members) > 1:
-                    for who, extension, length in bucket_repeats(left, right, groups):
-                        each = [(k, e) for w, e in zip(who.tolist(), extension.tolist()) for k in members[w]]
-                        found.append(_located(table, [k for k, _ in each], np.array([e for _, e in each]), length, groups))
-                a = b
-            if pairs:
-                before, after = _pair_repeats(
-                    ([p[1][0] for p in pairs], [p[1][1] for p in pairs]), ([p[2][0] for p in pairs], [p[2][1] for p in pairs])
-                )
-                for i in np.flatnonzero(before + after >= LEAST).tolist():
-                    who = pairs[i][0][0] + pairs[i][0][1]
-                    found.append(_located(table, who, np.full(len(who), before[i]), int(after[i]), False))
-            return rows(found)
-
-        held: list[tuple] = []
-        for batch in batches:
-            held += zip(*(c.to_pylist() for c in batch.columns))
-            cut = len(held)
-            while cut and held[cut - 1][0] == held[-1][0]:
-                cut -= 1
-            if cut:
-                yield solve(held[:cut])
-                held = held[cut:]
-        yield solve(held)
-
-    bucketed = contexts.select("gram", "doc_id", "at", "own").repartition("gram").sortWithinPartitions("gram", "doc_id", "at")
-    return bucketed.mapInArrow(run, "doc_id long, first long, end long, repeat long")
-
-
-def _located(table: list[tuple], who: list[int], before: np.ndarray, length: int, groups: bool) -> tuple:
-    place = np.array([table[k][2] >> 16 for k in who], np.int64)
-    number = 0
-    if groups:
-        own, at = table[who[0]][3], table[who[0]][2] >> 8 & 255
-        number = _number(own[at - int(before[0]) : at + length])
-    return [table[k][1] for k in who], place - before, place + length, np.full(len(who), number)
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (a hash that tells rows of one id apart), text."""
+    return texts(docs).select("doc_id", F.xxhash64("text").alias("mark"), "text")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id and the text's bytes, compressed for the way through a shuffle."""
+    """doc_id, mark and the text's bytes, compressed for the way through a shuffle."""
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            own = [squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["doc_id", "packed"])
+            own = [squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary())], ["doc_id", "mark", "packed"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, packed binary")
+    return _rows(docs).mapInArrow(run, "doc_id long, mark long, packed binary")
 
 
 def _anchor_table(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            some = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            some = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+            ids, marks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             found = anchors(some)
-            arrays = [ids[found["text"]], found["gram"], found["context"], found["at"]]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["doc_id", "gram", "context", "at"])
-
-    return texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, gram long, context long, at long")
-
-
-def _context_bytes(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """gram, doc_id, at, own (the context's bytes; of crowded buckets its windows' hashes)."""
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "at", "crowded")).alias("wanted"))
+            text = found.pop("text")
+            arrays = [ids[text], marks[text], *found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["doc_id", "mark", *found])
 
-    def run(batches):
-        for batch in batches:
-            out: list[tuple] = []
-            expand = zstandard.ZstdDecompressor()
-            rows = zip(batch.column(0).to_pylist(), batch.column(1), _lists(batch.column(2), "gram", "at", "crowded"))
-            for doc_id, packed, (grams, ats, crowded) in rows:
-                text = expand.decompress(packed.as_buffer())
-                _, first, end = _span(ats)
-                for gram, at, many, a, b in zip(grams.tolist(), ats.tolist(), crowded.tolist(), first.tolist(), end.tolist()):
-                    if many:
-                        windows = Spans(np.frombuffer(text[a:b], np.uint8))
-                        starts = np.arange(b - a - LEAST + 1)
-                        hashes = windows.hash(starts, starts + LEAST).view(np.int64).tolist()
-                        out.append((gram, doc_id, at, None, hashes))
-                    else:
-                        out.append((gram, doc_id, at, text[a:b], None))
-                if len(out) > 20_000:
-                    yield _context_rows(out)
-                    out = []
-            yield _context_rows(out)
-
-    joined = _packed(docs).join(per_doc, "doc_id").select("doc_id", "packed", "wanted")
-    return joined.mapInArrow(run, "gram long, doc_id long, at long, own binary, windows array<long>")
-
-
-def _context_rows(out: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64()] * 3 + [pa.binary(), pa.list_(pa.int64())]
-    columns = list(zip(*out)) if out else [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["gram", "doc_id", "at", "own", "windows"])
+    return _rows(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, mark long, gram long, c1 long, c2 long, at long")
 
 
-def _number(string: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "big", signed=True)
+_LONG, _BYTES = pa.int64(), pa.binary()
 
 
 def _flushed(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -327,138 +270,160 @@ def _flushed(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
-def _several(byte: str) -> Column:
-    """Whether a string can't be extended: its neighbouring bytes differ, or one has none (-1)."""
-    return (F.min(byte) == -1) | (F.min(byte) != F.max(byte))
+def keys_of(own: bytes, before: int, whole: bool) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(b, key, bytes before the key's string backwards, bytes after it) of a context whose anchor
+    stands after ``before`` bytes. ``whole``: all bytes after it and one more before it."""
+    for b in range(0, REACH + 1, STEP):
+        first, end = before - b, before - b + SHARED
+        if first >= 0 and end <= len(own):
+            rest = own[max(0, first - STEP + (not whole)) : first][::-1]
+            yield b, _digest(own[first:end], b"key %d" % b), rest, own[end : None if whole else end + STEP - 1]
 
 
-def _around(own: bytes, first: int, end: int) -> tuple[int, int]:
-    return own[first - 1] if first else -1, own[end] if end < len(own) else -1
+_KEYED = "k1 long, k2 long, rest binary, left binary, b long, c1 long, c2 long"
 
 
-def _crowded_groups(crowded: DataFrame, alike: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, spans: the maximal repeats of crowded buckets at all their places.
+def _keyed(leaves: DataFrame, docs: DataFrame, whole: bool) -> DataFrame:
+    """The keyed suffixes of leaves (doc_id, mark, at: one place of each): key, rest (what follows the key's
+    string), left, b, leaf; with ``whole`` also the context's bytes and the anchor's place in them."""
+    per_doc = leaves.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "c1", "c2")).alias("wanted"))
+    fields = [("k1", _LONG), ("k2", _LONG), ("rest", _BYTES), ("left", _BYTES), ("b", _LONG), ("c1", _LONG), ("c2", _LONG)]
+    fields += [("own", _BYTES), ("before", _LONG)] if whole else []
 
-    Only aggregations and joins, so that no task holds a bucket: ``crowded`` has the places of
-    each (gram, context, doc_id), ``alike`` one place for each (gram, context) and their number k.
-    """
-    alike = alike.select("gram", "context", "k", F.col("one.doc_id").alias("doc_id"), F.col("one.at").alias("at"))
-    fetched = _context_bytes(alike.select("doc_id", "at", "gram", F.lit(False).alias("crowded")), docs)
-    own = scratch.keep(
-        fetched.select("gram", "doc_id", "at", "own").join(alike, ["gram", "doc_id", "at"]).select("gram", "context", "k", "own"),
-        "crowded-own",
-    )
-    long = pa.int64()
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches):
         def rows():
+            expand = zstandard.ZstdDecompressor()
             for batch in batches:
-                for gram, context, _, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    starts = np.arange(len(text) - LEAST + 1)
-                    hashes = Spans(np.frombuffer(text, np.uint8)).hash(starts, starts + LEAST).view(np.int64)
-                    for k, window in enumerate(hashes.tolist()):
-                        yield (gram, context, k, window, *_around(text, k, k + LEAST))
+                for packed, lists in zip(batch.column(0), _lists(batch.column(1), "at", "c1", "c2")):
+                    text = expand.decompress(packed.as_buffer())
+                    place, first, end = (x.tolist() for x in _span(lists[0]))
+                    for p, a, z, c1, c2 in zip(place, first, end, lists[1].tolist(), lists[2].tolist()):
+                        own = text[a:z]
+                        for b, key, left, rest in keys_of(own, p - a, whole):
+                            halves = int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)
+                            yield (*halves, rest, left, b, c1, c2, own, p - a) if whole else (*halves, rest, left, b, c1, c2)
+
+        yield from _flushed(rows(), pa.schema(fields))
+
+    joined = _packed(docs).join(per_doc, ["doc_id", "mark"]).select("packed", "wanted")
+    return joined.mapInArrow(run, _KEYED + (", own binary, before long" if whole else ""))
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, list[list]]]:
+    """(is the first or last of the range, columns) of each key with several rows, or at an edge."""
+    held: list[pa.RecordBatch] = []
+    first = True
+    for batch in batches:
+        k1, k2 = (batch.column(k).to_numpy() for k in (0, 1))
+        if not len(k1):
+            continue
+        cut = np.flatnonzero(np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
+        if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (k1[0], k2[0]):
+            yield first, _columns(held)
+            first, held = False, []
+        ends = np.append(cut[1:], len(k1))
+        for a, b in zip(cut[:-1].tolist(), ends[:-1].tolist()):
+            if held or first or b - a > 1:
+                yield first, _columns([*held, batch.slice(a, b - a)])
+            first, held = False, []
+        held.append(batch.slice(cut[-1], len(k1) - cut[-1]))
+    if held:
+        yield True, _columns(held)
+
+
+def _columns(parts: list[pa.RecordBatch]) -> list[list]:
+    return [[v for p in parts for v in p.column(k).to_pylist()] for k in range(parts[0].num_columns)]
 
-        yield from _flushed(rows(), pa.schema([(n, long) for n in ("gram", "context", "start", "window", "previous", "next")]))
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(keyed: DataFrame) -> DataFrame:
+    """c1, c2, first, end (from the anchor on) of what repeats; rows with a level are open:
+    members of an interval of that depth, with the key and what they share if they do."""
+    fields = [(n, _LONG) for n in ("c1", "c2", "first", "end", "k1", "k2", "level")] + [("shared", _BYTES)]
+
+    def run(batches):
         def rows():
-            for batch in batches:
-                for gram, context, k, text, marks in zip(*(c.to_pylist() for c in batch.columns)):
-                    if k > 1:  # equal contexts: all their windows are repeats
-                        yield (gram, context, 0, len(text), _number(text), -1, -1, True)
-                    firsts = [m["start"] for m in marks or [] if m["left"]]
-                    ends = [m["start"] + LEAST for m in marks or [] if m["right"]]
-                    for first in firsts:
-                        for end in ends:
-                            if end - first >= LEAST:
-                                yield (gram, context, first, end, _number(text[first:end]), *_around(text, first, end), False)
-
-        names = ("gram", "context", "first", "end", "repeat", "previous", "next")
-        yield from _flushed(rows(), pa.schema([*((n, long) for n in names), ("whole", pa.bool_())]))
-
-    each = own.mapInArrow(windows, "gram long, context long, start long, window long, previous long, next long")
-    each = scratch.keep(each, "crowded-windows")
-    edges = each.groupBy("window").agg(
-        F.count("*").alias("c"), _several("previous").alias("left"), _several("next").alias("right")
-    )
-    edges = scratch.keep(edges.where("c > 1 and (left or right)").drop("c"), "crowded-edges")
-    marks = each.join(edges, "window").groupBy("gram", "context").agg(F.collect_list(F.struct("start", "left", "right")).alias("marks"))
-    found = own.join(marks, ["gram", "context"], "left").select("gram", "context", "k", "own", "marks").mapInArrow(
-        strings, "gram long, context long, first long, end long, repeat long, previous long, next long, whole boolean"
-    )
-    found = scratch.keep(found, "crowded-strings")
-    good = found.where("not whole").groupBy("repeat").agg(
-        F.count("*").alias("c"), _several("previous").alias("left"), _several("next").alias("right")
-    )
-    good = scratch.keep(good.where("c > 1 and left and right").select("repeat"), "crowded-good")
-    columns = ["gram", "context", F.col("first").alias("a"), F.col("end").alias("b"), "repeat"]
-    kept = found.where("not whole").join(good, "repeat").select(*columns).union(found.where("whole").select(*columns))
-    kept = scratch.keep(kept.distinct(), "crowded-kept")
-    places = scratch.keep(crowded.select("gram", "context", "doc_id", F.explode("ats").alias("at")), "crowded-places")
-    begin = F.shiftright("at", 16) - F.shiftright("at", 8).bitwiseAND(255)
-    span = F.struct((begin + F.col("a")).alias("first"), (begin + F.col("b")).alias("end"), "repeat")
-    return places.join(kept, ["gram", "context"]).select("doc_id", F.array(span).alias("spans"))
-
-
-def _spans(places: Column) -> Column:
-    """Places as ranges of whole contexts, with the context's hash as the repeat's number."""
-
-    def one(x: Column) -> Column:
-        first = F.shiftright(x, 16) - F.shiftright(x, 8).bitwiseAND(255)
-        return F.struct(first.alias("first"), (first + x.bitwiseAND(255) + LEAST).alias("end"), F.col("context").alias("repeat"))
-
-    return F.transform(places, one).alias("spans")
+            for edge, (k1, k2, rest, left, b, c1, c2) in _by_key(batches):
+                if not edge:
+                    for members, before, after in maximal_groups(left, rest):
+                        for m in members:
+                            yield c1[m], c2[m], -b[m] - before, SHARED - b[m] + after, None, None, None, None
+                    continue
+                for m in range(len(k1)):
+                    for level in range(max(0, STEP - 1 - len(left[m])), min(STEP - 1, len(rest[m])) + 1):
+                        shared = left[m][: STEP - 1 - level] + rest[m][:level]
+                        yield c1[m], c2[m], level - STEP + 1 - b[m], SHARED - b[m] + level, k1[m], k2[m], level, shared
+
+        yield from _flushed(rows(), pa.schema(fields))
+
+    order = ["k1", "k2", "rest", "left"]
+    ranges = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    return ordered.mapInArrow(run, "c1 long, c2 long, first long, end long, k1 long, k2 long, level long, shared binary")
+
+
+def _groups(keyed: DataFrame) -> DataFrame:
+    """c1, c2, first, end, repeat (a number of the string) of the members of each maximal repeat."""
+    fields = [(n, _LONG) for n in ("c1", "c2", "first", "end", "repeat")]
+
+    def run(batches):
+        def rows():
+            for _, (_, _, rest, left, b, c1, c2, own, at) in _by_key(batches):
+                for members, before, after in maximal_groups(left, rest) if len(left) > 1 else ():
+                    m = members[0]
+                    first, end = -b[m] - before, SHARED - b[m] + after
+                    number = _number(own[m][at[m] + first : at[m] + end])
+                    for m in members:
+                        yield c1[m], c2[m], first, end, number
+
+        yield from _flushed(rows(), pa.schema(fields))
+
+    order = ["k1", "k2", "rest", "left"]
+    ordered = keyed.repartition("k1", "k2").sortWithinPartitions(*order)
+    return ordered.mapInArrow(run, "c1 long, c2 long, first long, end long, repeat long")
+
+
+def _number(string: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "big", signed=True)
 
 
 def repeats(docs: DataFrame, scratch: Scratch, groups: bool = False) -> DataFrame:
-    """doc_id, spans (first, end, repeat): byte ranges that are covered by repeats.
+    """doc_id, mark, spans (first, end; with ``groups`` repeat): byte ranges that are covered by repeats.
 
     With ``groups`` the spans are maximal repeats, one for each occurrence, with a number that
-    all occurrences of a string share, whatever the size of its bucket.
+    all occurrences of a string share.
     """
     found = scratch.keep(_anchor_table(docs), "anchors")
-    grams = found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("same"))
+    same = (F.min("c1") == F.max("c1")) & (F.min("c2") == F.max("c2"))
+    grams = found.groupBy("gram").agg(F.count("*").alias("n"), same.alias("same"))
     # Written first: between two plain tables Spark can split the partition of a frequent gram.
-    grams = scratch.keep(grams.where("n > 1"), "grams")
-    shared = scratch.keep(found.join(grams, "gram").select("doc_id", "gram", "context", "at", "n", "same"), "shared")
+    grams = scratch.keep(grams.where("n > 1").drop("n"), "grams")
+    shared = scratch.keep(found.join(grams, "gram").select("doc_id", "mark", "c1", "c2", "at", "same"), "shared")
     scratch.drop("anchors")
+    leaves = shared.groupBy("c1", "c2", "same").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "mark", "at")).alias("one"))
+    leaves = scratch.keep(leaves.select("c1", "c2", "same", "k", "one.*"), "leaves")
+    keyed = scratch.keep(_keyed(leaves.where(~F.col("same")), docs, whole=groups), "keyed")
 
-    resolved = shared.where("same").select("doc_id", _spans(F.array("at")))
-    sorted_rows = shared.where((~F.col("same")) & (F.col("n") <= BUCKET))
-    # Crowded buckets: equal contexts, first those of one document, are put together. They
-    # are resolved, and one of them stands for them all.
-    crowded = (
-        shared.where((~F.col("same")) & (F.col("n") > BUCKET))
-        .groupBy("gram", "context", "doc_id")
-        .agg(F.collect_list("at").alias("ats"))
-    )
-    alike = crowded.groupBy("gram", "context").agg(
-        F.sum(F.size("ats")).alias("k"), F.min(F.struct("doc_id", F.array_min("ats").alias("at"))).alias("one")
-    )
+    before = F.shiftright("at", 8).bitwiseAND(255)
+    end = F.col("at").bitwiseAND(255) + LEAST - before
+    copies = leaves.where("k > 1").select("c1", "c2", (-before).alias("first"), end.alias("end"))
     if groups:
-        contexts = scratch.keep(_context_bytes(sorted_rows.select("doc_id", "at", "gram", F.lit(False).alias("crowded")), docs), "contexts")
-        buckets = _scan_buckets(contexts, groups)
-        buckets = buckets.select("doc_id", F.array(F.struct("first", "end", "repeat")).alias("spans"))
-        return resolved.union(_crowded_groups(crowded, alike, docs, scratch)).union(buckets)
-    resolved_too = crowded.join(alike.where("k > 1").select("gram", "context"), ["gram", "context"], "left_semi")
-    resolved_too = resolved_too.select("doc_id", _spans(F.col("ats")))
-    stand_ins = alike.select(F.col("one.doc_id").alias("doc_id"), F.col("one.at").alias("at"), "gram", F.lit(True).alias("crowded"))
-    wanted = sorted_rows.select("doc_id", "at", "gram", F.lit(False).alias("crowded")).union(stand_ins)
-    contexts = scratch.keep(_context_bytes(wanted, docs), "contexts")
-
-    place, before = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255)
-    windows = contexts.where("windows is not null").select(
-        "doc_id", (place - before).alias("lo"), F.posexplode("windows").alias("k", "window")
-    )
-    again = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1")
-    start = F.col("lo") + F.col("k")
-    counted = windows.join(again, "window").select(
-        "doc_id", F.array(F.struct(start.alias("first"), (start + LEAST).alias("end"), F.col("window").alias("repeat"))).alias("spans")
-    )
-    buckets = _scan_buckets(contexts.where("own is not null"), groups)
-    buckets = buckets.select("doc_id", F.array(F.struct("first", "end", "repeat")).alias("spans"))
-    return resolved.union(resolved_too).union(counted).union(buckets)
+        hits = _groups(keyed).union(copies.withColumn("repeat", F.col("c1").bitwiseXOR(F.col("c2"))))
+        span = F.struct("first", "end", "repeat")
+    else:
+        scanned = scratch.keep(_scan(keyed), "scanned")
+        closed = scanned.where("level is null").select("c1", "c2", "first", "end")
+        opened, meet = scanned.where("level is not null"), ["k1", "k2", "level", "shared"]
+        again = scratch.keep(opened.groupBy(*meet).agg(F.count("*").alias("c")).where("c > 1").drop("c"), "again")
+        hits = closed.union(opened.join(again, meet).select("c1", "c2", "first", "end")).union(copies)
+        span = F.struct("first", "end")
+    per_leaf = scratch.keep(hits.groupBy("c1", "c2").agg(F.collect_set(span).alias("hits")), "hits")
+    place = F.shiftright("at", 16)
+
+    def moved(h: Column) -> Column:
+        rest = [h["repeat"].alias("repeat")] if groups else []
+        return F.struct((place + h["first"]).alias("first"), (place + h["end"]).alias("end"), *rest)
+
+    return shared.join(per_leaf, ["c1", "c2"]).select("doc_id", "mark", F.transform("hits", moved).alias("spans"))
 
 
 def merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -470,17 +435,14 @@ def merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[new], end[last]
 
 
-def _per_doc(spans: DataFrame, doc: str, name: str) -> DataFrame:
+def _per_doc(spans: DataFrame) -> DataFrame:
     """The ranges of each document; they are no more than its anchors and windows."""
-    ranges = F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["end"].alias("end")))
-    return spans.select(F.col("doc_id").alias(doc), ranges.alias("r")).groupBy(doc).agg(F.flatten(F.collect_list("r")).alias(name))
+    return spans.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay)."""
-    scratch = Scratch(docs.sparkSession, "repeats")
-    spans = repeats(docs, scratch)
-    per_doc = _per_doc(spans, "doc_id", "spans")
+    per_doc = _per_doc(repeats(docs, Scratch(docs.sparkSession, "repeats")))
 
     def run(batches):
         for batch in batches:
@@ -498,7 +460,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             )
 
-    joined = _packed(docs).join(per_doc, "doc_id", "left").select("doc_id", "packed", "spans")
+    joined = _packed(docs).join(per_doc, ["doc_id", "mark"], "left").select("doc_id", "packed", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
@@ -525,9 +487,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Bytes of a character that a cut has split go too. A column ``n_chars`` is brought up to date.
     """
     columns, place = docs.columns, docs.columns.index("text")
-    spans = repeats(docs, Scratch(docs.sparkSession, "repeats"))
-    per_doc = _per_doc(spans, "_doc", "_spans")
-    joined = docs.join(per_doc, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    per_doc = _per_doc(repeats(docs, Scratch(docs.sparkSession, "repeats"))).toDF("_doc", "_mark", "_spans")
+    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    joined = docs.join(per_doc, (F.col("doc_id").cast("long") == F.col("_doc")) & (mark == F.col("_mark")), "left").drop("_doc", "_mark")
 
     def run(batches):
         for batch in batches:

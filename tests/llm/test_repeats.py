@@ -42,9 +42,18 @@ def corpus(seed):
     return out
 
 
-@pytest.mark.parametrize("seed,bucket", [(1, 4096), (2, 4096), (3, 6)])
-def test_removed_bytes_match_brute_force(docs_of, monkeypatch, seed, bucket):
-    monkeypatch.setattr(repeats, "BUCKET", bucket)
+@pytest.mark.parametrize("seed,ranges", [(1, "8"), (2, "1"), (3, "60")])
+def test_removed_bytes_match_brute_force(docs_of, spark, seed, ranges):
+    """Also with so many ranges that most keys lie at an edge."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        check_removed(docs_of, seed)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def check_removed(docs_of, seed):
     texts = corpus(seed)
     got = repeats.without_repeats(docs_of(texts)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute(texts)
@@ -83,20 +92,93 @@ def test_maximal_groups_list_all_occurrences(docs_of):
     assert {0, 1, 2} in strings.values() and {0, 1, 2, 3} in strings.values()
 
 
-def test_maximal_groups_do_not_depend_on_the_bucket(docs_of, monkeypatch):
+def brute_groups(texts):
+    """Strings of 200 bytes or more with two places or more that can be extended on neither side with all their places."""
+    out = {}
+    data = [t.encode() for t in texts]
+    for n in range(200, max(map(len, data)) + 1):
+        places = {}
+        for d, t in enumerate(data):
+            for i in range(len(t) - n + 1):
+                places.setdefault(t[i : i + n], []).append((d, i))
+        for string, at in places.items():
+            around = [[data[d][i - 1 : i] if i else None for d, i in at], [data[d][i + n : i + n + 1] or None for d, i in at]]
+            if len(at) > 1 and all(None in side or len(set(side)) > 1 for side in around):
+                out[string] = {(d, i, i + n) for d, i in at}
+    return out
+
+
+def test_maximal_groups_match_brute_force(docs_of):
+    """Groups of strings that lie within one context are those of the definition; longer ones come in pieces."""
     rng = random.Random(8)
     text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
     passage, extra = text(230), text(60)
     # copies of one context, others that share a part of it, on either side or both
     texts = [f"1{passage}2"] * 4 + [passage[:215] + "!" + extra, "?" + passage[12:] + extra, extra + passage[:215] + "?"]
     texts += [f"{i}{passage[5:]}{extra}" for i in range(3)] + [f"{i}{passage[:222]}{i}" for i in range(3)]
-
-    def found():
-        return {tuple(r) for r in repeats.maximal_repeats(docs_of(texts)).collect()}
-
-    want = found()
-    monkeypatch.setattr(repeats, "BUCKET", 3)
-    assert found() == want and len({r[0] for r in want}) > 5
+    got = {}
+    for r in repeats.maximal_repeats(docs_of(texts)).collect():
+        got.setdefault(texts[r.doc_id].encode()[r.first : r.end], set()).add((r.doc_id, r.first, r.end))
+    want = brute_groups(texts)
+    for string, places in got.items():
+        assert len(string) >= 200 and len(places) > 1
+        if string in want:
+            assert places == want[string]
+    whole = [s for s in want if s in got]
+    assert len(whole) >= 4
+    for string, places in want.items():  # whatever repeats is covered by reported pieces
+        for d, a, b in places:
+            covered = np.zeros(b - a, bool)
+            for own in got.values():
+                for e, x, y in own:
+                    if e == d and x < b and y > a:
+                        covered[max(x - a, 0) : y - a] = True
+            assert covered.all(), string
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_maximal_groups_of_one_key(seed):
+    rng = random.Random(seed)
+    for _ in range(200):
+        rows = sorted({tuple("".join(rng.choice("ab") for _ in range(rng.choice([0, 3, 7, 7, 7]))).encode() for _ in "lr") for _ in range(rng.randint(2, 12))}, key=lambda r: r[1])
+        left, right = [r[0] for r in rows], [r[1] for r in rows]
+        if len(rows) < 2:
+            continue
+        linked = {(i, j) for i in range(len(rows)) for j in range(len(rows)) if i != j and repeats._agree(left[i], left[j]) + repeats._agree(right[i], right[j]) >= 7}
+        got = set()
+        for members, before, after in repeats.maximal_groups(left, right):
+            own = [(left[m], right[m]) for m in members]
+            assert len({(a[:before], b[:after]) for a, b in own}) == 1 and before + after >= 7
+            assert len({a[before : before + 1] for a, _ in own}) > 1 or before in {len(a) for a, _ in own}
+            assert len({b[after : after + 1] for _, b in own}) > 1 or after in {len(b) for _, b in own}
+            same = [m for m in range(len(rows)) if left[m][:before] == left[members[0]][:before] and right[m][:after] == right[members[0]][:after]]
+            assert len(left[members[0]][:before]) == before and same == members  # all occurrences
+            got |= {(i, j) for i in members for j in members if i != j}
+        assert got == linked
+
+
+def test_a_passage_of_many_contexts(docs_of):
+    """One key of thousands of leaves: 195 bytes with other neighbours, and some that share 200."""
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(195))
+    texts = [f"{rng.random()}"[2:14] + passage + f"{rng.random()}"[2:14] for _ in range(3000)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(docs_of(texts)).collect()}
+    assert got == brute(texts) and 0 < sum(g[1] > 0 for g in got.values()) < 3000
+
+
+def test_structured_words_and_repeated_ids(docs_of):
+    a, b = "a", "b"
+    while len(a) < 4096:
+        a, b = a + b, b + a
+    texts = [a, "x" + b[:300], a[7:500] + "?", "unique", a[:250]]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(docs_of(texts)).collect()}
+    assert got == brute(texts)
+    rng = random.Random(9)
+    one, two, three = ("".join(rng.choice("abcdefgh") for _ in range(400)) for _ in range(3))
+    rows = repeats.without_repeats(docs_of([one, two, one[:250] + three], [1, 1, 2])).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in rows) == [(1, 400, 0), (1, 400, 250), (2, 650, 250)]
+    rows = repeats.remove_repeats(docs_of([one, two, one[:250] + three], [1, 1, 2])).collect()
+    assert sorted((r.doc_id, len(r.text)) for r in rows) == [(1, 150), (1, 400), (2, 400)]
 
 
 def test_null_ids_and_no_rows(docs_of):
