@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import arrays, clean, fixed, text
-from ..operators import summaries, tokens
+from ..operators import ngrams, summaries, tokens
 from ..sources.shared import materialize
 from .registry import query
 
@@ -362,6 +362,59 @@ def _(t):
     return tokens.sequence_scores(scored, ["turn_id"]).drop("mean_logprob")
 
 
+_DISCOUNT = "CASE WHEN count_if(n = 1) > 0 AND count_if(n = 2) > 0 THEN count_if(n = 1) / (count_if(n = 1) + 2 * count_if(n = 2)) ELSE 0.5 END"
+_KN = f"""tk AS (SELECT doc_id, unnest(tokens) AS word, generate_subscripts(tokens, 1) - 1 AS pos FROM doc_tokens),
+tri AS (SELECT doc_id, pos, coalesce(lag(word, 2) OVER s, '<s>') AS c2, coalesce(lag(word) OVER s, '<s>') AS c1, word FROM tk WINDOW s AS (PARTITION BY doc_id ORDER BY pos)),
+n3 AS (SELECT c2, c1, word, count(*) AS n FROM tri GROUP BY ALL), n2 AS (SELECT c1, word, count(*) AS n FROM n3 GROUP BY ALL), n1 AS (SELECT word, count(*) AS n FROM n2 GROUP BY ALL),
+d3 AS (SELECT {_DISCOUNT} AS d FROM n3), d2 AS (SELECT {_DISCOUNT} AS d FROM n2), x1 AS (SELECT {_DISCOUNT} AS d, sum(n) AS t, count(*) AS v FROM n1),
+x2 AS (SELECT c1, sum(n) AS t, any_value(d) * count(*) / sum(n) AS b FROM n2, d2 GROUP BY 1), x3 AS (SELECT c2, c1, sum(n) AS t, any_value(d) * count(*) / sum(n) AS b FROM n3, d3 GROUP BY 1, 2),
+p1 AS (SELECT word, (n - d) / t + d * v / t / (v + 1) AS p FROM n1, x1), p2 AS (SELECT n2.c1, n2.word, (n2.n - d) / x2.t + x2.b * p1.p AS p FROM n2 JOIN x2 USING (c1) JOIN p1 USING (word) CROSS JOIN d2),
+p3 AS (SELECT n3.c2, n3.c1, n3.word, n3.n, (n3.n - d) / x3.t + x3.b * p2.p AS p FROM n3 JOIN x3 USING (c2, c1) JOIN p2 USING (c1, word) CROSS JOIN d3)"""
+
+
+@query("s01_kneser_ney_model", f"WITH {_KN} SELECT c2, c1, word, n, R6(ln(p)) AS logprob FROM p3")
+def _(t):
+    grams = ngrams.kneser_ney(t.doc_tokens(), "tokens").grams[2]
+    return grams.select("c2", "c1", "word", "n", F.log("p").alias("logprob"))
+
+
+@query(
+    "s01_kneser_ney_contexts",
+    f"""WITH {_KN} SELECT c1, CAST(t AS BIGINT) AS total, R6(b) AS backoff, R6(q.known) AS known FROM x2 JOIN (SELECT c1, sum(p) AS known FROM p2 GROUP BY 1) q USING (c1)""",
+)
+def _(t):
+    model = ngrams.kneser_ney(t.doc_tokens(), "tokens")
+    known = model.grams[1].groupBy("c1").agg(F.sum("p").alias("known"))
+    return model.contexts[1].join(known, "c1").select("c1", "total", "backoff", "known")
+
+
+@query(
+    "s01_kneser_ney_score",
+    f"WITH {_KN} SELECT doc_id, R6(sum(ln(p))) AS total_logprob, R6(avg(ln(p))) AS mean_logprob, count(*) AS token_count FROM tri JOIN p3 USING (c2, c1, word) GROUP BY 1",
+)
+def _(t):
+    docs = t.doc_tokens()
+    scored = ngrams.kneser_ney_scores(docs, ["doc_id"], "tokens", ngrams.kneser_ney(docs, "tokens"))
+    return tokens.sequence_scores(scored, ["doc_id"])
+
+
+@query(
+    "s01_kneser_ney_unseen",
+    f"""WITH {_KN}, tn AS (SELECT conv_id * 100 + turn AS turn_id, unnest(tk) AS word, generate_subscripts(tk, 1) - 1 AS pos FROM (SELECT *, regexp_extract_all(lower(text), '([a-z]+|[.?!])', 1) AS tk FROM conversations) c),
+tg AS (SELECT turn_id, pos, coalesce(lag(word, 2) OVER s, '<s>') AS c2, coalesce(lag(word) OVER s, '<s>') AS c1, word FROM tn WINDOW s AS (PARTITION BY turn_id ORDER BY pos)),
+q AS (SELECT turn_id, coalesce(p3.p, coalesce(x3.b, 1) * coalesce(p2.p, coalesce(x2.b, 1) * coalesce(p1.p, x1.d * x1.v / x1.t / (x1.v + 1)))) AS p
+  FROM tg LEFT JOIN p3 ON (tg.c2, tg.c1, tg.word) = (p3.c2, p3.c1, p3.word) LEFT JOIN x3 ON (tg.c2, tg.c1) = (x3.c2, x3.c1)
+  LEFT JOIN p2 ON (tg.c1, tg.word) = (p2.c1, p2.word) LEFT JOIN x2 ON tg.c1 = x2.c1 LEFT JOIN p1 ON tg.word = p1.word CROSS JOIN x1)
+SELECT turn_id, R6(sum(ln(p))) AS total_logprob, R6(avg(ln(p))) AS mean_logprob, count(*) AS token_count FROM q GROUP BY 1""",
+)
+def _(t):
+    turns = t.conversations.select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), text.words("text").alias("tokens")
+    )
+    scored = ngrams.kneser_ney_scores(turns, ["turn_id"], "tokens", ngrams.kneser_ney(t.doc_tokens(), "tokens"))
+    return tokens.sequence_scores(scored, ["turn_id"])
+
+
 _QS = """qs AS (SELECT item_index, 'a' AS slot, ta AS s FROM quartets UNION ALL SELECT item_index, 'b', tp FROM quartets), qb AS (SELECT item_index, slot, pos, coalesce(lag(word) OVER (PARTITION BY item_index, slot ORDER BY pos), '<s>') AS prev, word
   FROM (SELECT item_index, slot, unnest(string_split(s, ' ')) AS word, generate_subscripts(string_split(s, ' '), 1) - 1 AS pos FROM qs) x),
 qn AS (SELECT prev, word, count(*) AS n FROM qb GROUP BY 1, 2), qx AS (SELECT prev, sum(n) AS c FROM qn GROUP BY 1), qv AS (SELECT count(DISTINCT word) AS v FROM qn), qm AS (SELECT qn.prev, qn.word, ln((n + 1) / (c + v)) AS lp, (n + 1) / (c + v) AS p FROM qn JOIN qx USING (prev) CROSS JOIN qv)"""

@@ -148,28 +148,37 @@ def frequent_first_lookup(
     table: DataFrame,
     keys: Sequence[str],
     values: Sequence[str],
-    weight: str,
+    weight: str | None,
     spread: Column,
     share: float = 0.001,
 ) -> DataFrame:
     """Left join of a large table with a keyed table whose ``weight`` tells how often each
-    key is met.
+    key is met. Without a weight the keys of the large table are counted, so that keys which
+    are frequent there count as such even if the table does not know them to be.
 
     Keys with at least ``share`` of the weight are at most 1/share many, whatever the
     data: they are broadcast, and rows they answer leave the shuffle join by taking a
-    spread-out key that matches nothing. No key can then load one task.
+    spread-out key that matches nothing; so do frequent keys that the table lacks. No key can
+    then load one task.
     """
-    total = table.agg(F.sum(weight)).scalar()
-    marked = table.withColumn("__hot", F.col(weight) >= F.lit(share) * total)
     packed = F.struct(*values)
-    hot = marked.where("__hot").select(*keys, packed.alias("__h"))
-    cold = marked.where(~F.col("__hot")).select(
-        *[F.col(c).alias(f"__k_{c}") for c in keys], packed.alias("__c")
-    )
+    if weight is None:
+        counted = big.groupBy(*keys).agg(F.count("*").alias("__n"))
+        total = big.agg(F.count("*")).scalar()
+        frequent = counted.where(F.col("__n") >= F.lit(share) * total).select(*keys)
+        hot = F.broadcast(frequent).join(table.select(*keys, packed.alias("__h")), list(keys), "left")
+        hot = hot.withColumn("__met", F.lit(True))
+        cold = table
+    else:
+        total = table.agg(F.sum(weight)).scalar()
+        marked = table.withColumn("__hot", F.col(weight) >= F.lit(share) * total)
+        hot = marked.where("__hot").select(*keys, packed.alias("__h"), F.lit(True).alias("__met"))
+        cold = marked.where(~F.col("__hot"))
+    cold = cold.select(*[F.col(c).alias(f"__k_{c}") for c in keys], packed.alias("__c"))
     met = big.join(F.broadcast(hot), list(keys), "left")
     away = F.concat(F.lit("\u0001"), spread.cast("string"))
     met = met.withColumn(
-        "__first", F.when(F.col("__h").isNull(), F.col(keys[0])).otherwise(away)
+        "__first", F.when(F.col("__met").isNull(), F.col(keys[0])).otherwise(away)
     )
     on = F.col("__first") == F.col(f"__k_{keys[0]}")
     for c in keys[1:]:
@@ -177,7 +186,7 @@ def frequent_first_lookup(
     out = met.join(cold, on, "left")
     found = F.coalesce("__h", "__c")
     return out.withColumns({v: found.getField(v) for v in values}).drop(
-        "__h", "__c", "__first", *[f"__k_{c}" for c in keys]
+        "__h", "__c", "__first", "__met", *[f"__k_{c}" for c in keys]
     )
 
 
