@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import clean, fixed
-from ..operators import effects, ranking, resample, reshape, review, stats, summaries
+from ..operators import effects, fits, ranking, resample, reshape, review, stats, summaries
 from ..operators.resample import _POISSON_CDF
 from .aggregates import _SCORES, _VOICE, ANSWERS, _scores, _voices
 from .effects import PE, WIDE, effect_columns, item_effects, long_scores
@@ -329,6 +329,45 @@ def _(t):
     return stats.ols_hc3(t.lineitem, "l_discount", terms).select("term", "coef", "std_err")
 
 
+def _mixed_sql(ddof):
+    """Each item has one row of either structure, so the fit splits into means and differences of items."""
+    free = f"(g - {ddof})"
+    return f"""WITH w AS (SELECT condition, item_index, max(CASE WHEN target_structure = 'passive' THEN sentence_pe_mean END) AS p, max(CASE WHEN target_structure = 'active' THEN sentence_pe_mean END) AS a FROM ({ITEM_PE}) i GROUP BY 1, 2),
+m AS (SELECT condition, CAST(count(*) AS DOUBLE) AS g, avg(p - a) AS d, avg(a) AS i, var_pop(p - a) / 2 AS s, 2 * var_pop((p + a) / 2) AS b FROM w WHERE p - a IS NOT NULL GROUP BY 1),
+v AS (SELECT *, g / {free} * CASE WHEN b > s THEN s ELSE (s + b) / 2 END AS sigma, g / {free} * CASE WHEN b > s THEN (b - s) / 2 ELSE 0 END AS tau FROM m),
+r AS (SELECT condition, 'Intercept' AS term, i AS coef, sqrt((sigma + tau) / g) AS std_err, v.* EXCLUDE (condition) FROM v UNION ALL SELECT condition, 'passive', d, sqrt(2 * sigma / g), v.* EXCLUDE (condition) FROM v)
+SELECT condition, term, R6(coef) AS coef, R6(std_err) AS std_err, R6(coef / std_err) AS z_stat, R6(tau) AS group_variance, R6(sigma) AS residual_variance, R6(tau / sigma) AS variance_ratio,
+  CAST(2 * g AS BIGINT) AS n_obs, CAST(g AS BIGINT) AS n_groups FROM r"""
+
+
+def _mixed(t, method):
+    terms = {"Intercept": F.lit(1.0), "passive": (F.col("target_structure") == "passive").cast("int")}
+    out = fits.random_intercept(item_table(t), ["condition"], "item_index", "sentence_pe_mean", terms, method)
+    return out.select(
+        "condition", "term", "coef", "std_err", "z_stat", "group_variance", "residual_variance", "variance_ratio", "n_obs", "n_groups"
+    )
+
+
+@query("st15_random_intercept", _mixed_sql(0))
+def _(t):
+    return _mixed(t, "ml")
+
+
+@query("st15_random_intercept_reml", _mixed_sql(1))
+def _(t):
+    return _mixed(t, "reml")
+
+
+@query("st15_random_intercept_terms")
+def _(t):
+    terms = {
+        "Intercept": F.lit(1.0),
+        "passive": (F.col("target_structure") == "passive").cast("int"),
+        "target_length": F.col("target_length"),
+    }
+    return fits.random_intercept(_sides(t), ["condition"], "item_index", "sentence_pe_mean", terms)
+
+
 @query(
     "st16_ols",
     """WITH c AS (SELECT avg(CASE WHEN a = 0 AND b = 0 THEN y END) AS m00, avg(CASE WHEN a = 1 AND b = 0 THEN y END) AS m10, avg(CASE WHEN a = 0 AND b = 1 THEN y END) AS m01,
@@ -358,6 +397,37 @@ def _(t):
     return out.select("term", F.round("coef", 4).alias("coef"))
 
 
+_FITTED = ["fitted", "fitted_se", "log_odds", "probability_shift", "probability_shift_se", "log_odds_shift", "log_odds_shift_se"]
+
+
+def _passive_rows(t):
+    chosen = clean.choose_structure("active_choice_logprob", "passive_choice_logprob")
+    return t.item_scores().withColumn("hit", (chosen == "passive").cast("int"))
+
+
+@query(
+    "st24_fitted_shift",
+    """WITH c AS (SELECT model_condition, lexicality_condition, prime_condition, count(*) AS n, avg(CASE WHEN passive_choice_logprob > active_choice_logprob THEN 1.0 ELSE 0.0 END) AS p FROM item_scores GROUP BY 1, 2, 3),
+b AS (SELECT c.*, ln(p / (1 - p)) AS l, p * (1 - p) / n AS v, 1 / (n * p * (1 - p)) AS lv FROM c)
+SELECT x.model_condition, x.lexicality_condition, x.prime_condition, x.n, R6(x.p) AS observed, R6(x.p) AS fitted, R6(sqrt(x.v)) AS fitted_se, R6(x.l) AS log_odds, R6(x.p - y.p) AS probability_shift,
+  R6(CASE WHEN x.prime_condition = 'no_prime' THEN 0 ELSE sqrt(x.v + y.v) END) AS probability_shift_se, R6(x.l - y.l) AS log_odds_shift, R6(CASE WHEN x.prime_condition = 'no_prime' THEN 0 ELSE sqrt(x.lv + y.lv) END) AS log_odds_shift_se
+FROM b x LEFT JOIN b y ON x.model_condition = y.model_condition AND x.lexicality_condition = y.lexicality_condition AND y.prime_condition = 'no_prime'""",
+)
+def _(t):
+    out = fits.fitted_shifts(
+        _passive_rows(t), [], ["model_condition", "lexicality_condition"], "prime_condition", "hit", "no_prime", crossed=None
+    )
+    return out.select("model_condition", "lexicality_condition", "prime_condition", "n", "observed", *_FITTED)
+
+
+@query("st24_fitted_shift_averaged")
+def _(t):
+    return fits.fitted_shifts(
+        _passive_rows(t), [], ["lexicality_condition"], "prime_condition", "hit", "no_prime",
+        crossed=[("prime_condition", "lexicality_condition")], averaged=["model_condition"],
+    )
+
+
 _CONTRASTS = {
     "incongruent - no_prime": {"no_prime": -1, "incongruent": 1},
     "congruent - no_prime": {"no_prime": -1, "congruent": 1},

@@ -451,14 +451,15 @@ def binomial_glm(
 
 
 def holm(df: DataFrame, by: Sequence[str], p: str, name: str = "p_holm") -> DataFrame:
-    """Holm-adjusted p-values inside each family of tests."""
+    """Holm-adjusted p-values inside each family of tests; a null p is no test."""
     family = W.partitionBy(*by)
-    ordered = family.orderBy(p)
+    ordered = family.orderBy(F.col(p).asc_nulls_last())
     m = F.count(p).over(family)
     step = F.col(p) * (m - F.row_number().over(ordered) + 1)
     up = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
+    adjusted = F.least(F.lit(1.0), F.max("__step").over(up))
     return df.withColumn("__step", step).withColumn(
-        name, F.least(F.lit(1.0), F.max("__step").over(up))
+        name, F.when(F.col(p).isNotNull(), adjusted)
     ).drop("__step")
 
 
