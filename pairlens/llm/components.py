@@ -7,6 +7,8 @@ small stars alternate over what is left until nothing changes.
 
 from __future__ import annotations
 
+from itertools import count
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +63,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     blocks = -(-named.count() // BLOCK_LINKS)
     current = scratch.keep(_contract(named.repartition(max(1, blocks))), f"{name}-0")
     before = None
-    for n in range(1, 100 if blocks > 1 else 1):
+    for n in count(1) if blocks > 1 else ():
         current = scratch.keep(_small_star(_large_star(current)), f"{name}-{n}")
         scratch.drop(f"{name}-{n - 1}")
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
