@@ -115,6 +115,11 @@ def _(t):
     return resample.bootstrap_summary(units, GROUP, "item_id", "diff", n_resamples=DRAWS, seed=7)
 
 
+@query("st08_bootstrap_multinomial")
+def _(t):
+    return resample.bootstrap_ci(item_effects(t), GROUP, "item_id", _IMBALANCE, n_resamples=DRAWS, method="multinomial")
+
+
 @query(
     "st08_bootstrap_exact",
     f"""WITH un AS ({_UNITS}), s AS (SELECT *, count(*) OVER (PARTITION BY model_condition, lexicality_condition) AS n,

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..sources.shared import spread
+from ..sources.shared import materialize, spread
 from .ranking import null_safe_join, position_in_group
 
 try:  # on inputs as short as these several times as fast as hashlib's, with the same digests
@@ -162,14 +162,21 @@ def bootstrap_ci(
     """Percentile interval of the mean per group: ``n_rows, mean, ci_low, ci_high``.
 
     ``poisson`` weighs each unit with an independent Poisson(1) count per resample, which
-    approximates drawing with replacement and needs no positions. ``exact`` draws n
-    positions per resample. ``unit`` must tell the rows of a group apart. Groups that differ in
+    approximates drawing with replacement. ``multinomial`` draws with replacement: a seeded tree of
+    binomial draws hands each block of units its number of the n draws, then each unit its count.
+    ``exact`` draws with replacement too, as n positions per resample that meet the units by a
+    join; it is for few draws that SQL can follow. ``unit`` must tell the rows of a group apart. Groups that differ in
     ``common`` columns only share their Poisson counts.
     """
     alpha = (100.0 - ci) / 200.0
     if method == "poisson":
         sums = _drawn_sums(df, by, unit, value, n_resamples, seed, False, common)
         means = sums.withColumn("__mean", F.try_divide("__sum", "__weight"))
+    elif method == "multinomial":
+        if common:
+            raise ValueError("multinomial draws can't be shared by groups")
+        sums = multinomial_sums(df, by, unit, value, n_resamples, seed)
+        means = sums.withColumn("__mean", F.col("__sum") / F.col("__weight"))
     elif method == "exact":
         means = _exact_means(df, by, unit, value, n_resamples, seed)
     else:
@@ -181,6 +188,111 @@ def bootstrap_ci(
     return _joined(_observed(df, by, value, "n_rows"), limits, by)
 
 
+_BLOCK_UNITS = 256
+
+
+def _generator(*parts: object) -> np.random.Generator:
+    """A generator that depends on the parts only."""
+    digest = md5("|".join(map(str, parts)).encode()).digest()
+    return np.random.Generator(np.random.Philox(key=int.from_bytes(digest, "little")))
+
+
+def split_draws(draws: np.ndarray, path: Sequence[tuple[int, int, bool]], name: str) -> np.ndarray:
+    """How many of the draws each resample hands to a block: ``path`` has for each level of the tree
+    the units of the node and of its left half, and whether the block lies on the right. Blocks below
+    one node make the same draw there, so what one half does not get, the other does."""
+    place = 0
+    for size, left, right in path:
+        taken = _generator(name, "node", place).binomial(draws, left / size)
+        draws = draws - taken if right else taken
+        place = 2 * place + 1 + right
+    return draws
+
+
+def multinomial_sums(df: DataFrame, by: Sequence[str], unit: str, value: str, n: int, seed: int) -> DataFrame:
+    """(by, __draw, __sum, __weight) of ``n`` resamples that draw as many units as the group has, with replacement.
+
+    Units lie in blocks by the leading bits of a digest, about 256 to a block. The halves of these
+    bits make a binary tree, whose node sizes come from the blocks' sizes by one aggregation. A task solves
+    whole blocks and keeps one row of sums per group. Nothing depends on partitions or on the order of
+    rows; equal digests are ordered by unit and value.
+    """
+    keys = [f"__b{i}" for i in range(len(by))]
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]
+    rows = df.where(F.col(value).isNotNull()).select(
+        *[F.col(c).alias(k) for c, k in zip(by, keys)],
+        F.concat_ws("|", F.lit(str(seed)), *named).alias("__name"),
+        F.col(unit).cast("string").alias("__unit"),
+        F.col(value).cast("double").alias("__x"),
+    )
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce("__unit", F.lit(""))))
+    rows = rows.withColumn("__digest", digest)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    # Blocks of a group: 2 ** bits, at most 2 ** 32.
+    bits = F.least(F.lit(32), F.greatest(F.lit(0), F.ceil(F.log2(F.col("__n") / _BLOCK_UNITS)))).cast("int")
+    sizes = sizes.select(*keys, "__n", bits.alias("__bits"))
+    lead = F.conv(F.substring("__digest", 1, 8), 16, 10).cast("bigint")
+    placed = _joined(rows, sizes, keys).withColumn(
+        "__block", F.floor(lead / F.pow(F.lit(2.0), 32 - F.col("__bits")))
+    )
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("__digest", "__unit", "__x"))), lambda r: r["__x"])
+    blocks = placed.groupBy(*keys, "__name", "__n", "__bits", "__block").agg(ordered.alias("__xs"))
+    blocks = materialize(blocks, "blocks")
+
+    # A node of level l holds the blocks that share their first l bits.
+    def prefix(level: Column) -> Column:
+        return F.floor(F.col("__block") / F.pow(F.lit(2.0), F.col("__bits") - level))
+
+    held = blocks.select(*keys, "__block", "__bits", F.size("__xs").alias("__size"), F.explode(F.sequence(F.lit(0), F.col("__bits"))).alias("__level"))
+    nodes = held.groupBy(*keys, "__level", prefix(F.col("__level")).alias("__node")).agg(F.sum("__size").alias("__units"))
+    nodes = materialize(nodes, "nodes")
+    steps = held.where(F.col("__level") < F.col("__bits")).select(
+        *keys, "__block", "__level", prefix(F.col("__level")).alias("__node"), (prefix(F.col("__level") + 1) % 2 == 1).alias("right")
+    )
+    above = nodes.select(*keys, "__level", "__node", F.col("__units").alias("size"))
+    lefts = nodes.where("__level > 0 and __node % 2 = 0").select(
+        *keys, (F.col("__level") - 1).alias("__level"), F.floor(F.col("__node") / 2).alias("__node"), F.col("__units").alias("left")
+    )
+    at = [*keys, "__level", "__node"]
+    steps = null_safe_join(null_safe_join(steps, above, at), lefts, at)
+    path = steps.groupBy(*keys, "__block").agg(
+        F.array_sort(F.collect_list(F.struct("__level", "size", F.coalesce("left", F.lit(0)).alias("left"), "right"))).alias("__path")
+    )
+    solved = null_safe_join(blocks, path, [*keys, "__block"]).select(*keys, "__name", "__n", "__block", "__xs", "__path")
+    k = len(by)
+
+    def run(batches):
+        groups: dict[tuple, int] = {}
+        sums: list[np.ndarray] = []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                name, size, block, xs, levels = row[k:]
+                g = groups.setdefault(row[:k], len(groups))
+                if g == len(sums):
+                    sums.append(np.zeros((2, n)))
+                draws = split_draws(np.full(n, size, np.int64), [(s["size"], s["left"], s["right"]) for s in levels or ()], name)
+                x = np.asarray(xs, float)
+                for start in range(0, n, 1000):  # a block's counts, a thousand resamples at a time
+                    part = draws[start : start + 1000]
+                    counts = _generator(name, "block", block, start).multinomial(part, np.full(len(x), 1.0 / len(x)))
+                    sums[g][0, start : start + 1000] += counts @ x
+                    sums[g][1, start : start + 1000] += counts.sum(axis=1)
+        columns = [pa.array([g[i] for g in groups], types[i]) for i in range(k)]
+        columns += [pa.array([v[j] for v in sums], pa.list_(pa.float64())) for j in (0, 1)]
+        yield pa.RecordBatch.from_arrays(columns, [*keys, "s", "w"])
+
+    fields = [T.StructField(m, solved.schema[m].dataType) for m in keys]
+    types = [to_arrow_type(f.dataType) for f in fields]
+    doubles = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*fields, T.StructField("s", doubles), T.StructField("w", doubles)])
+    each = spread(solved, *keys, "__block").mapInArrow(run, schema).select(*keys, F.posexplode(F.arrays_zip("s", "w")).alias("__draw", "z"))
+    return (
+        each.groupBy(*keys, "__draw")
+        .agg(F.sum("z.s").alias("__sum"), F.sum("z.w").alias("__weight"))
+        .select(*[F.col(m).alias(c) for c, m in zip(by, keys)], "__draw", "__sum", "__weight")
+    )
+
+
 def _exact_means(
     df: DataFrame, by: Sequence[str], unit: str, value: str, n_resamples: int, seed: int
 ) -> DataFrame:
