@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.core import col
-from .ranking import hash_bucket, index_block, null_safe_join, position_in_group
+from .ranking import hash_bucket, null_safe_join, position_by_rank, position_in_group
 from .validate import assert_unique
 
 
@@ -160,9 +160,7 @@ def assign_opposite(
 
     need_aux, need_family = opposite(*target_bucket)
     t = targets.withColumns({"__aux": need_aux, "__fam": need_family})
-    t = position_in_group(
-        t, ["__aux", "__fam"], [target_index], index_block(t, target_index, width), "__turn"
-    )
+    t = position_by_rank(t, ["__aux", "__fam"], [target_index], width, "__turn")
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(prime_key).cast("string")))
     p = primes.withColumns(
         {"__aux": prime_bucket[0], "__fam": prime_bucket[1], "__draw": digest}

@@ -6,6 +6,7 @@ counted in two steps: inside small key-ordered blocks, then across the block cou
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.core import col
+from ..sources.shared import materialize
 
 
 def null_safe_join(
@@ -46,7 +48,7 @@ def position_in_group(
     """Zero-based position of each row in its group.
 
     ``block`` must not fall while ``order`` rises and should hold few rows per value
-    (an index divided by a width, a hash prefix). Each block is sorted on its own;
+    (a hash prefix; for an index see :func:`position_by_rank`). Each block is sorted on its own;
     the counts of the earlier blocks are added by a join with the small block table.
     """
     group = list(group)
@@ -64,19 +66,26 @@ def position_in_group(
     )
 
 
-def index_block(df: DataFrame, index: str, width: int) -> Column:
-    """Blocks of an integer index for :func:`position_in_group`: about one for each ``width`` rows.
+def ranked_blocks(df: DataFrame, group: Sequence[str], order: Sequence[str], width: int) -> DataFrame:
+    """``df`` with ``__block``: the number of its range of about ``width`` rows.
 
-    The index's span is cut evenly into as many blocks as the rows need, so widely spaced or
-    hash-like indexes make no more blocks than dense ones.
+    The ranges' edges are sampled from the rows themselves, ordered by group, order and a hash of the
+    row, so blocks hold about as many rows whatever the spacing of an index, and rows of one
+    index are split too. The rows are written with their numbers: a lost task finds the same blocks.
     """
-    def half(x: Column) -> Column:  # so that differences of far bigints stay bigints
-        return F.shiftright(x.cast("bigint"), 1)
+    ranges = max(1, math.ceil(df.count() / width))
+    tie = F.xxhash64(*[F.col(c).cast("string") for c in df.columns])
+    dealt = df.withColumn("__tie", tie).repartitionByRange(ranges, *group, *order, "__tie")
+    return materialize(dealt.withColumn("__block", F.spark_partition_id()), "ranges")
 
-    low, high = (half(df.agg(f(index)).scalar()) for f in (F.min, F.max))
-    blocks = F.greatest(F.lit(1), F.ceil(df.agg(F.count("*")).scalar() / width))
-    step = F.greatest(F.lit(1), F.ceil((high - low) / blocks))
-    return F.floor((half(F.col(index)) - low) / step)
+
+def position_by_rank(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], width: int = 100_000, name: str = "position"
+) -> DataFrame:
+    """Zero-based position of each row in its group, in blocks of about ``width`` rows. Rows that agree in
+    ``order`` get different positions, in an order that depends on the rows only."""
+    rows = ranked_blocks(df, group, order, width)
+    return position_in_group(rows, group, [*order, "__tie"], F.col("__block"), name).drop("__tie")
 
 
 def counterbalance(
@@ -87,8 +96,7 @@ def counterbalance(
     name: str = "role_order",
 ) -> DataFrame:
     """agent_first / patient_first in turn inside each cell, in index order."""
-    block = index_block(df, index, width)
-    placed = position_in_group(df, cell, [index], block, "__turn")
+    placed = position_by_rank(df, cell, [index], width, "__turn")
     turn = F.when(F.col("__turn") % 2 == 0, "agent_first").otherwise("patient_first")
     return placed.withColumn(name, turn).drop("__turn")
 

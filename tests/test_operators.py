@@ -69,13 +69,21 @@ def test_position_in_group_equals_row_number(spark):
         assert out.withColumn("w", want).where("w <> position").count() == 0
 
 
-def test_blocks_of_sparse_and_huge_indexes_stay_few(spark):
-    df = spark.range(2000).select(F.xxhash64("id").alias("i"))
-    blocks = df.withColumn("b", ranking.index_block(df, "i", 100))
-    n = blocks.groupBy("b").count()
-    assert 15 <= n.count() <= 22 and n.agg(F.max("count")).first()[0] < 200
-    out = ranking.position_in_group(df.withColumn("g", F.lit(1)), ["g"], ["i"], ranking.index_block(df, "i", 100))
-    assert [r.position for r in out.orderBy("i").collect()] == list(range(2000))
+def test_blocks_hold_about_width_rows_whatever_the_index(spark):
+    dense = spark.range(100_000).select("id", F.col("id").alias("i"))
+    far = spark.createDataFrame([(100_000, 2**60), (100_001, -(2**60))], dense.schema)
+    same = spark.range(100_002, 130_002).select("id", F.lit(777).alias("i"))
+    hashes = spark.range(2000).select("id", F.xxhash64("id").alias("i"))
+    for df, width in ((dense.union(far), 1000), (dense.union(same), 1000), (hashes, 100)):
+        blocks = ranking.ranked_blocks(df.withColumn("g", F.lit("one")), ["g"], ["i"], width)
+        sizes = [r["count"] for r in blocks.groupBy("__block").count().collect()]
+        assert max(sizes) < 2 * width and sum(sizes) == df.count()
+    out = ranking.position_by_rank(dense.union(far).withColumn("g", F.col("i") % 2), ["g"], ["i"], 1000)
+    want = F.row_number().over(W.partitionBy("g").orderBy("i")) - 1
+    assert out.withColumn("w", want).where("w <> position").count() == 0 and "__tie" not in out.columns
+    ties = ranking.position_by_rank(same.withColumn("g", F.lit(None).cast("int")), ["g"], ["i"], 1000)
+    assert sorted(r.position for r in ties.collect()) == list(range(30_000))
+    assert ranking.position_by_rank(hashes.limit(0), [], ["i"]).collect() == []
 
 
 def test_counterbalance_differs_by_at_most_one(spark):
