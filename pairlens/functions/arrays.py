@@ -99,16 +99,23 @@ def clean_piece(piece: Column | str) -> Column:
     return F.regexp_replace(edged, r"^[.?!]*([.?!])$", "$1")
 
 
+_AHEAD, _PIECES = 16, 128
+
+
 def align_tokens(pieces: Column | str, word_list: Column | str) -> Column:
     """Word index of each token piece, -1 when none fits.
 
     Walks the pieces with the state (next word, unfinished text, its word). A
     sentence mark jumps to the next equal mark; a piece that extends the unfinished
     word stays on it; any other piece goes to the first later word that equals it,
-    starts with it, or is its start.
+    starts with it, or is its start. The next ``_AHEAD`` words are looked at first, and the
+    others only if none of them fits; indexes are gathered in blocks of ``_PIECES``.
     """
-    pieces, word_list = col(pieces), col(word_list)
+    # Bound once: inside the walk an expression would be evaluated again for every piece.
+    return let(col(word_list), lambda words: let(col(pieces), lambda some: _aligned(some, words)))
+
 
+def _aligned(pieces: Column, word_list: Column) -> Column:
     def step(state, raw):
         def move(piece):
             current, partial, at = state["current"], state["partial"], state["at"]
@@ -125,8 +132,11 @@ def align_tokens(pieces: Column | str, word_list: Column | str) -> Column:
                 )
                 return F.when(ok & (index >= start), index)
 
+            ahead = F.slice(word_list, start + 1, F.lit(_AHEAD))
             found = F.coalesce(
-                F.array_min(F.transform(word_list, fits)), F.lit(-1)
+                F.array_min(F.transform(ahead, lambda word, i: fits(word, i + start))),
+                F.array_min(F.transform(word_list, fits)),
+                F.lit(-1),
             )
             target = (
                 F.when(piece == "", -1).when(extends, at).otherwise(found)
@@ -178,36 +188,66 @@ def align_tokens(pieces: Column | str, word_list: Column | str) -> Column:
         F.lit("").alias("partial"),
         F.lit(-1).alias("at"),
     )
-    return F.aggregate(pieces, start, step, lambda s: s["out"])
+
+    def walk(state, block):
+        own = F.struct(F.array().cast("array<int>").alias("out"), *(state[c].alias(c) for c in ("current", "partial", "at")))
+        some = F.slice(pieces, block * _PIECES + 1, F.lit(_PIECES))
+
+        def joined(end):
+            return F.struct(F.concat(state["out"], end["out"]).alias("out"), *(end[c].alias(c) for c in ("current", "partial", "at")))
+
+        return F.aggregate(some, own, step, joined)
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / _PIECES).cast("int"))
+    walked = F.aggregate(blocks, start, walk, lambda s: s["out"])
+    return F.when(F.size(pieces) > 0, walked).when(pieces.isNotNull(), start["out"])
+
+
+def running_sums(numbers: Column) -> Column:
+    """Running sums of an array of ints, in steps that each add the sums of twice as many items."""
+
+    def add(sums: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2.0), k).cast("int")
+        return F.transform(sums, lambda v, i: v + F.coalesce(F.get(sums, i - back), F.lit(0)))
+
+    rounds = F.ceil(F.log2(F.greatest(F.size(numbers), F.lit(1)).cast("double"))).cast("int")
+    return F.when(F.size(numbers) < 2, numbers).otherwise(F.aggregate(F.sequence(F.lit(0), rounds - 1), numbers, add))
 
 
 def word_spans(text: Column | str) -> Column:
     """array<struct<start,end>> of the blank-separated words of a compact text."""
-    tokens = F.split(col(text), " ")
-    return F.transform(
-        tokens,
-        lambda t, i: F.struct(
-            (F.length(F.array_join(F.slice(tokens, 1, i), " ")) + (i > 0).cast("int")).alias(
-                "start"
-            ),
-            F.length(F.array_join(F.slice(tokens, 1, i + 1), " ")).alias("end"),
-        ),
-    )
+    sizes = F.transform(F.split(col(text), " "), lambda t: F.length(t) + 1)
+    both = F.arrays_zip(running_sums(sizes).alias("after"), sizes.alias("size"))
+    return F.transform(both, lambda w: F.struct((w["after"] - w["size"]).alias("start"), (w["after"] - 1).alias("end")))
 
 
 def align_by_offset(offsets: Column | str, spans: Column | str) -> Column:
-    """Word index of each token from character offsets; a token outside all words is an error."""
-    spans = col(spans)
-
-    def place(token):
-        index = F.size(F.filter(spans, lambda s: s["end"] <= token["start"]))
-        word = F.get(spans, index)
-        fine = word.isNotNull() & (token["end"] > word["start"])
-        return F.when(F.coalesce(fine, F.lit(False)), index).otherwise(
-            F.raise_error(F.lit("token offset outside every word"))
-        )
-
-    return F.transform(col(offsets), place)
+    """Word index of each token from character offsets; a token outside all words is an error.
+
+    The spans are in order, so each token's word is found by halving steps.
+    """
+    return let(col(spans), lambda s: _placed(col(offsets), s))
+
+
+def _placed(offsets: Column, spans: Column) -> Column:
+    n = F.size(spans)
+    steps = F.sequence(F.ceil(F.log2(n.cast("double") + 1)).cast("int"), F.lit(0))
+
+    def place(token, halves):
+        def halve(low, k):
+            to = low + F.pow(F.lit(2.0), k).cast("int")
+            return F.when((to <= n) & (F.get(spans, to - 1)["end"] <= token["start"]), to).otherwise(low)
+
+        def checked(index):
+            word = F.get(spans, index)
+            fine = word.isNotNull() & (token["end"] > word["start"])
+            return F.when(F.coalesce(fine, F.lit(False)), index).otherwise(
+                F.raise_error(F.lit("token offset outside every word"))
+            )
+
+        return F.aggregate(halves, F.lit(0), halve, checked)
+
+    return let(steps, lambda halves: F.transform(offsets, lambda token: place(token, halves)))
 
 
 def region_label(voice: Column | str, word_index: Column | str) -> Column:

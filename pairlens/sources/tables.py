@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,23 +119,32 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def malformed_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The bad lines of one JSON-lines file with their line numbers.
+    """path, line_number (from 1, blank lines counted), line: the bad lines of JSON-lines files.
 
-    A diagnostic for a file that :func:`read_jsonl` refused. DataFrame scans keep no
-    line order; the numbering counts lines per split and adds up the counts.
+    A diagnostic for files that :func:`read_jsonl` refused. A scan keeps the lines of one
+    file block together and in order; how many lines the blocks before it hold comes from
+    one aggregation with a row for each block.
     """
     full = T.StructType(schema.fields + [T.StructField(_CORRUPT, T.StringType())])
-    numbered = spark.sparkContext.textFile(path).zipWithIndex()
-    lines = spark.createDataFrame(numbered, "line string, index bigint")
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__at"),
+    )
+    blocks = lines.groupBy("path", "__block").agg(F.count("*").alias("n"), F.min("__at").alias("__first"))
+    earlier = W.partitionBy("path").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     row = F.from_json(
         "line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     )
-    return (
+    bad = (
         lines.where(F.trim("line") != "")
         .withColumn("row", row)
         .where(F.col(f"row.{_CORRUPT}").isNotNull() | ~F.trim("line").startswith("{"))
-        .select((F.col("index") + 1).alias("line_number"), "line")
     )
+    number = F.col("__at") - F.col("__first") + F.col("__before") + 1
+    return bad.join(blocks, ["path", "__block"]).select("path", number.alias("line_number"), "line")
 
 
 def read_lexicon(

@@ -181,3 +181,23 @@ def test_different_token_ids_are_an_error(spark):
     with pytest.raises(Exception, match="different tokens"):
         df.select(arrays.token_pe("a", "b", "i", "j")).collect()
     assert df.select(F.size(arrays.token_pe("a", "b", "i", "i"))).first()[0] == 1
+
+
+def test_alignment_of_long_texts(spark):
+    """Long texts take time in proportion, and blocks and look-ahead change nothing."""
+    words = ["".join(chr(97 + (i * 7 + j * i) % 26) for j in range(6)) for i in range(3000)]
+    pieces = [p for w in words for p in (w[:2], w[2:])]
+    short = ["the", "cat", "sat", ".", "the", "dog", "."]
+    texts = [(words, pieces), (short, ["the", "c", "at", "zzz", ".", "dog", "", "."]), (short, []), (["a"] * 40 + ["far"], ["far", "a"])]
+    df = spark.createDataFrame([(i, w, p, " ".join(w)) for i, (w, p) in enumerate(texts)], "i int, w array<string>, p array<string>, t string")
+    got = {r.i: r for r in df.select("i", arrays.align_tokens("p", "w").alias("a"), arrays.word_spans("t").alias("s")).collect()}
+    assert got[0].a == [i for i in range(3000) for _ in (0, 1)]
+    assert got[1].a == [0, 1, 1, -1, 3, 5, -1, 6] and got[2].a == [] and got[3].a == [40, -1]
+    for i, (w, _) in enumerate(texts):
+        starts = [sum(map(len, w[:k])) + k for k in range(min(len(w), 50))]
+        assert [s.start for s in got[i].s][:50] == starts and all(s.end - s.start == len(x) for s, x in zip(got[i].s, w))
+    offsets = df.select(arrays.align_by_offset(arrays.word_spans("t"), arrays.word_spans("t")).alias("a"))
+    assert [len(r.a) for r in offsets.collect()] == [3000, 7, 7, 41] and offsets.first().a == list(range(3000))
+    outside = df.limit(1).select(arrays.align_by_offset(F.expr("array(struct(10000000 AS start, 10000001 AS end))"), arrays.word_spans("t")))
+    with pytest.raises(Exception, match="outside every word"):
+        outside.collect()

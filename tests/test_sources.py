@@ -131,9 +131,9 @@ def test_bundle_queries_return_values_at_full_draws(spark, monkeypatch):
 
     asked, drawn = [], resample._drawn_sums
 
-    def noted(df, by, unit, value, n, seed, signs):
+    def noted(df, by, unit, value, n, seed, signs, *common):
         asked.append((signs, n))
-        return drawn(df, by, unit, value, 64, seed, signs)  # the counts asked for are what is tested
+        return drawn(df, by, unit, value, 64, seed, signs, *common)  # the counts asked for are what is tested
 
     monkeypatch.setattr(resample, "_drawn_sums", noted)
     run = QUERIES["st26_run_analysis_values"](spark, "/root/testdata/sf0.001").collect()
@@ -148,3 +148,22 @@ def test_bundle_queries_return_values_at_full_draws(spark, monkeypatch):
     assert low.keys() == mean.keys() and all(low[k] <= mean[k] for k in low)
     for row in (run[0], choice[0]):
         assert row.asDict().keys() == {"output", "key", "metric", "value"}
+
+
+def test_line_numbers_of_files_in_several_splits(spark, tmp_path):
+    wanted = {}
+    for name, bad in (("a", {0, 700, 1999}), ("b", {3, 1500})):
+        lines = ["" if i % 50 == 7 else "{broken" if i in bad else '{"x": %d}' % i for i in range(2000)]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+        wanted[name] = {i + 1 for i in bad}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = tables.malformed_lines(spark, str(tmp_path / "*.jsonl"), T.StructType([T.StructField("x", T.LongType())]))
+        got = {}
+        for r in rows.collect():
+            got.setdefault(r.path.rsplit("/", 1)[1][0], set()).add(r.line_number)
+        assert spark.read.text(str(tmp_path / "*.jsonl")).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == wanted
