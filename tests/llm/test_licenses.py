@@ -69,3 +69,19 @@ def test_known_lines():
     assert labels("Released under the MIT License.") == ["mit"]
     assert labels("// SPDX-License-Identifier: LGPL-2.1-or-later") == ["lgpl-2.1"]
     assert labels("limited mitten") == []
+
+
+def test_many_hits_and_word_numbers():
+    """Suppression in proportion to the hits; the numbers of a detection's words are those of the text."""
+    text = "the mit license and gnu general public license version 3 or later " * 4000
+    n_words, n_base, first, last, base, labels, score, spans = lic._scan(text)
+    words = text.split()
+    assert n_words == len(words) == 48_000 and n_base == 8000 and (first, last) == (1, 47_992) and len(spans) >= 8000
+    for label, _, word, n in spans[:50] + spans[-50:]:
+        assert words[word : word + n][0] in ("the", "mit", "gnu", "license", "general") and n >= 2
+    assert [s[2] for s in spans] == sorted(s[2] for s in spans)
+
+
+def test_repeated_and_null_ids(docs_of):
+    rows = lic.scan(docs_of(["mit license", None, "mit license"], [None, 1, 1])).collect()
+    assert sorted((r.doc_id or 0, r.n_base) for r in rows) == [(0, 1), (1, 0), (1, 1)]
