@@ -106,33 +106,55 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_KEYS = np.random.default_rng(20250117).integers(0, 1 << 63, 2, dtype=np.uint64)
+HASHED = 1 << 15
+_FACTORS: list[np.ndarray] = []
+
+
+def _factors(n: int) -> list[np.ndarray]:
+    """Two tables of scrambled numbers, one for each place up to ``n``."""
+    if not _FACTORS or len(_FACTORS[0]) < n:
+        size = max(1 << 12, 1 << (n - 1).bit_length())
+        with np.errstate(over="ignore"):
+            _FACTORS[:] = [mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(key)) for key in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+    return _FACTORS
 
 
 def slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of disjoint slices, in ascending order, of an array of numbers below 2**24.
 
-    Each is a sum of scrambled (place in the slice, value) pairs, so no algebra of places or values
-    carries over to it: unlike a polynomial modulo 2**64 it has no texts that collide by their build.
+    Each is a sum of the values times a scrambled factor for their place in the slice: the factors
+    follow no rule that texts could, so unlike a polynomial modulo 2**64 no texts collide by their build.
     """
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(values) + HASHED, HASHED)))
+    out = np.empty((2, len(starts)), np.uint64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):  # parts that stay in a processor's cache
+        low = starts[a]
+        out[:, a:b] = _slice_hashes(values[low : ends[b - 1]], starts[a:b] - low, ends[a:b] - low)
+    return out[0], out[1]
+
+
+def _slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     n = len(values)
+    size = ends - starts
     begin = np.zeros(n, np.int64)
     begin[starts] = starts
     np.maximum.accumulate(begin, out=begin)
-    pair = (np.arange(n) - begin).view(np.uint64)
-    pair <<= np.uint64(24)
-    pair |= values.astype(np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
+    place = np.subtract(np.arange(n), begin, out=begin)
+    longest = int(size.max())
+    np.minimum(place, longest - 1, out=place)  # between slices the place does not matter
+    sums, out = np.zeros(n + 1, np.uint64), []
     with np.errstate(over="ignore"):
-        pair ^= _KEYS[0]
-        pair = mix(pair)
-        out = []
-        for key in (None, _KEYS[1]):
-            if key is not None:
-                pair *= pair ^ key
-            np.cumsum(pair, out=sums[1:])
-            out.append(mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64)))
-    return out[0], out[1]
+        own = values.astype(np.uint64)
+        own += np.uint64(1)
+        for table in _factors(longest):
+            term = table.take(place)
+            term *= own
+            np.cumsum(term, out=sums[1:])
+            total = sums[ends]
+            total -= sums[starts]
+            total += size.astype(np.uint64)
+            out.append(mix(total))
+    return out
 
 
 def distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

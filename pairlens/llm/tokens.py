@@ -39,9 +39,8 @@ def _unknown() -> np.ndarray:
 def unsure(some: list[str]) -> list[int]:
     """The texts that hold unknown code points."""
     cp = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4")
-    if not len(cp) or cp.max() < 128:
-        return []
-    at = np.flatnonzero(_unknown()[cp])
+    at = np.flatnonzero(cp > 0x377)  # the code points up to here are all assigned
+    at = at[_unknown()[cp[at]]]
     if not len(at):
         return []
     ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))
