@@ -322,6 +322,15 @@ def _(t):
     return tokens.token_preference_summary(t.scored_pairs(), ["lexicality_condition"])
 
 
+@query(
+    "ag22_unaligned_tokens",
+    """WITH n AS (SELECT item_index, condition, count(*) FILTER (target_structure = 'active') AS a, count(*) FILTER (target_structure = 'passive') AS b FROM token_rows GROUP BY 1, 2)
+SELECT condition AS lexicality_condition, count(*) AS n_pairs, CAST(count_if(a <> b) AS BIGINT) AS n_unequal, CAST(sum(greatest(a - b, 0)) AS BIGINT) AS left_out_a, CAST(sum(greatest(b - a, 0)) AS BIGINT) AS left_out_b FROM n GROUP BY 1""",
+)
+def _(t):
+    return tokens.unaligned_summary(t.scored_pairs(), ["lexicality_condition"])
+
+
 # ---- n-gram scores ----------------------------------------------------------
 
 _BI = """bi AS (SELECT doc_id, dataset, pos, coalesce(lag(word) OVER (PARTITION BY doc_id ORDER BY pos), '<s>') AS prev, word FROM (SELECT doc_id, dataset, unnest(tokens) AS word, generate_subscripts(tokens, 1) - 1 AS pos FROM doc_tokens) x),

@@ -49,12 +49,18 @@ def divergence_index(a: Column | str, b: Column | str, prefix_rule: int | None =
 
 
 def aligned_difference(a: Column | str, b: Column | str) -> Column:
-    """a - b entry by entry, cut to the shorter list."""
+    """a - b entry by entry, cut to the shorter list; :func:`unaligned` counts what is left out."""
     a, b = col(a), col(b)
     n = F.least(F.size(a), F.size(b))
     return F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x - y)
 
 
+def unaligned(a: Column | str, b: Column | str) -> Column:
+    """How many entries of the longer list have no partner in the other; null if a list is."""
+    a, b = col(a), col(b)
+    return F.when(a.isNotNull() & b.isNotNull(), F.abs(F.size(a) - F.size(b)))
+
+
 def array_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 

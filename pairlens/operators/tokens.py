@@ -93,7 +93,7 @@ def token_position_summary(
 def token_preference_summary(
     df: DataFrame, by: Sequence[str], a: str = "candidate_a", b: str = "candidate_b"
 ) -> DataFrame:
-    """The same for the aligned difference a - b."""
+    """The same for the aligned difference a - b; :func:`unaligned_summary` tells what it leaves out."""
     diff = arrays.aligned_difference(f"{a}_token_logprobs", f"{b}_token_logprobs")
     rows = df.select(*by, F.posexplode(diff).alias("token_position", "d"))
     return rows.groupBy(*by, "token_position").agg(
@@ -103,6 +103,21 @@ def token_preference_summary(
     )
 
 
+def unaligned_summary(
+    df: DataFrame, by: Sequence[str], a: str = "candidate_a", b: str = "candidate_b"
+) -> DataFrame:
+    """Per group: pairs, pairs of unequal length, and the tokens of either side that the aligned
+    difference leaves out."""
+    left, right = (F.size(f"{c}_token_logprobs") for c in (a, b))
+    over = arrays.unaligned(f"{a}_token_logprobs", f"{b}_token_logprobs")
+    return df.groupBy(*by).agg(
+        F.count("*").alias("n_pairs"),
+        F.count_if(over > 0).alias("n_unequal"),
+        F.sum(F.greatest(left - right, F.lit(0))).alias("left_out_a"),
+        F.sum(F.greatest(right - left, F.lit(0))).alias("left_out_b"),
+    )
+
+
 def word_scores(df: DataFrame, keys: Sequence[str], value: str = "token_pe") -> DataFrame:
     """Words from token spans: first and end token, count, sum and mean of the score."""
     return df.groupBy(*keys, "word_index").agg(
