@@ -3,7 +3,7 @@
 A text's UTF-8 bytes, padded with spaces to whole frames, become an 8-bit PCM track: an
 EBML header, then a segment with info, one track, clusters of laced simple blocks, and a
 cue for each cluster. The reader walks variable-length EBML elements (unknown sizes too),
-undoes all four kinds of lacing and follows the cues; it returns one row per packet with
+undoes all four kinds of lacing and reads the cues, which it counts but does not seek by; it returns one row per packet with
 its track, timestamp and byte range, from which the samples are read back.
 
 Nulls: a null text is the empty text, which is one frame of spaces; a null media value

@@ -2,7 +2,9 @@
 
 Labels say toxic or not; severity grades follow from them and the texts: 0 for a
 document that is not toxic, 1 to 3 for a toxic one by the third of all toxic labelled
-documents that its amount of telling words falls into. Features are the logs of counts of
+documents that its amount of telling words falls into. The labels hold no grades, so a grade above 1
+says how much of that language there is, not how bad it is: the upper thresholds learn amounts of the
+features themselves. Features are the logs of counts of
 ``FEATURES`` telling words, those whose document frequencies differ most between the
 classes. One weight vector serves all thresholds: P(grade > k) = logistic(x w - t_k) with
 t_0 < t_1 < t_2. The expected severity is the sum of the three probabilities.

@@ -56,3 +56,55 @@ def test_odd_inputs(spark, docs_of):
     both = spark.createDataFrame([(i, int(i != 2)) for i in range(9)], "doc_id long, quality int")
     assert quality.scored(docs, both).where("score is null or isnan(score)").count() == 0
     assert quality.scored(docs.limit(0), both).collect() == []
+
+
+def slow_statistics(text):
+    """The sixteen statistics by loops over bytes, words and lines."""
+    import math
+
+    data = list(text.encode("utf-8"))
+    white = {32, *range(9, 14)}
+
+    def ratio(part, whole):
+        return math.log((part + 0.5) / (whole - part + 0.5))
+
+    def split(codes, cuts):
+        out, own = [], []
+        for c in codes:
+            if c in cuts:
+                out.append(tuple(own))
+                own = []
+            else:
+                own.append(c)
+        return [*out, tuple(own)]
+
+    def symbol(c):
+        return 33 <= c < 127 and not chr(c).isalnum() and chr(c) not in ".,;:?"
+
+    words = [w for w in split(data, white) if w]
+    lines = [line for line in split(data, {10}) if any(c not in white for c in line)]
+    n, k = len(data), len(words)
+    count = lambda test: sum(1 for c in data if test(c))
+    upper, lower = count(lambda c: 65 <= c <= 90), count(lambda c: 97 <= c <= 122)
+    space = count(lambda c: c in white)
+    return [
+        math.log1p(n), ratio(upper, upper + lower), ratio(count(lambda c: 48 <= c <= 57), n), ratio(count(symbol), n),
+        ratio(count(lambda c: chr(c) in ".,;:?"), n), ratio(space, n), ratio(count(lambda c: c > 127), n),
+        ratio(sum(a == b for a, b in zip(data, data[1:])), n), math.log((n - space + 1) / (k + 1)), ratio(len(set(words)), k),
+        ratio(sum(a == b for a, b in zip(words, words[1:])), k), ratio(len(set(zip(words, words[1:]))), max(k - 1, 0)),
+        ratio(sum(all(symbol(c) for c in w) for w in words), k), math.log((k + 1) / (len(lines) + 1)), ratio(len(set(lines)), len(lines)),
+        ratio(count(lambda c: chr(c) in "!|"), n),
+    ]
+
+
+def test_statistics_match_a_second_implementation(docs_of):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    parts = ["word", "Word", "é", "😀", "!!", "|", "12", ".", ", ", "\n", "\n\n", " ", "\t", "\x0b", "the the", "#$", "a_b", "x" * 30, "line one\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 80))) for _ in range(150)] + ["", " ", "\n", "ab " * 60_000]
+    got = {r.doc_id: r.x for r in quality.features(docs_of(texts + [None])).collect()}
+    for i, text in enumerate([*texts, ""]):
+        np.testing.assert_allclose(got[i], slow_statistics(text), rtol=1e-12, atol=1e-12)
