@@ -33,8 +33,11 @@ HEADLINE = [
     "st06_one_sample_p",
     "st07_paired_tests",
     "st08_bootstrap_poisson",
+    "st08_bootstrap_multinomial",
     "st09_sign_flip",
     "st15_ols_hc3",
+    "st15_random_intercept",
+    "st24_fitted_shift",
     "j09_edit_neighbors",
     "j14_assign_opposite",
     "ar05_explode_tokens",
