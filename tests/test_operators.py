@@ -323,3 +323,23 @@ def test_open_pool_falls_back_to_the_whole_pool(spark):
     blocked = F.array(*[F.lit(w) for w in "the lantern traveler".split()])
     pool = fixed.CORE_FILLERS[:2]
     assert df.select(ranking.open_pool(pool, blocked)).first()[0] == list(pool)
+
+
+def joins_run(df):
+    """The join operators of the plan that ran, after Spark's own changes to it."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [w for w in ("BroadcastHashJoin", "SortMergeJoin") for line in plan.splitlines() if w in line]
+
+
+def test_edit_pairs_broadcast_no_keys(spark):
+    words = spark.range(40).select(F.concat(F.lit("walking"), F.col("id").cast("string")).alias("word"))
+    ran = joins_run(neighbors.edit_pairs(words, words, 2))
+    assert set(ran) == {"SortMergeJoin"}
+
+
+def test_lexicon_audit_broadcasts_no_words(spark):
+    words = spark.range(40).select(F.concat(F.lit("walk"), F.col("id").cast("string")).alias("word"))
+    ran = joins_run(neighbors.lexicon_audit(words, words, words))
+    # Left over: the (initial, length) blocks, which don't grow with the words.
+    assert ran.count("BroadcastHashJoin") <= 1 and "SortMergeJoin" in ran
