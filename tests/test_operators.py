@@ -343,3 +343,15 @@ def test_lexicon_audit_broadcasts_no_words(spark):
     ran = joins_run(neighbors.lexicon_audit(words, words, words))
     # Left over: the (initial, length) blocks, which don't grow with the words.
     assert ran.count("BroadcastHashJoin") <= 1 and "SortMergeJoin" in ran
+
+
+def test_rotating_pick_broadcasts_the_pool_only(spark):
+    df = spark.range(30).select("id", (F.col("id") % 3).alias("c"))
+    pool = spark.range(5).select(F.col("id").alias("position"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("word"))
+    used = F.array(F.concat(F.lit("w"), (F.col("id") % 5).cast("string")))
+    out = ranking.rotating_pick(df, ["id", "c"], used, F.col("id"), F.lit(2), pool)
+    assert joins_run(out).count("BroadcastHashJoin") <= 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan
+    got = {r["id"]: r["picks"] for r in out.collect()}
+    assert got == {i: [f"w{(i + 1) % 5}", f"w{(i + 2) % 5}"] for i in range(30)}
