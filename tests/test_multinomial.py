@@ -1,5 +1,6 @@
 """The bootstrap by multinomial splitting."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -55,3 +56,18 @@ def test_intervals_agree_with_the_other_forms(spark):
     with pytest.raises(ValueError):
         resample.bootstrap_ci(df, [], "id", "x", method="multinomial", common=["g"])
     assert resample.bootstrap_ci(df.limit(0), [], "id", "x", 10, method="multinomial").where("n_rows > 0").collect() == []
+
+
+@pytest.mark.parametrize("n", [1, 11, 100, 101, 1203])
+def test_digests_side_by_side_are_those_of_the_library(n):
+    keys = [f"13|core|{i}" for i in range(7)] + ["", "\u00e9" * 12, *("y" * k for k in (48, 49, 50, 51, 52, 70))]
+    got = resample.digests(keys, n)
+    for key, row in zip(keys, got, strict=True):
+        assert row.tobytes() == b"".join(hashlib.md5(f"{key}|{b}".encode()).digest() for b in range(n))
+
+
+def test_poisson_counts_step_where_the_probabilities_do():
+    edges = [s + d for s in resample._POISSON_STEPS for d in (-1, 0, 1) if s + d < 2**32]
+    draws = np.array([0, 2**32 - 1, *edges], np.uint32)
+    want = np.searchsorted(resample._POISSON_CDF, draws / 2.0**32, side="right")
+    assert resample.poisson_counts(draws).tolist() == want.tolist()
