@@ -19,8 +19,9 @@ meet at an anchor with the same gram.
    interval the members are sorted by their left extensions, and members that agree on the left
    but not further on either side (the left extensions are diverse, and not all members lie in one
    child) are a maximal repeat, reported with all its occurrences.
-4. Intervals of a key that may reach over a range's edge stay open: their members are counted by
-   (interval, left extension) in an aggregation, whatever their number.
+4. Intervals of a key that may reach over a range's edge: members that meet others in their range are
+   repeats; those alone in it stay open and are counted by (interval, left extension) in an
+   aggregation, one row for each range that has others.
 
 So no bucket is gathered in one task, and there is one way for buckets of every size. Contexts
 end with the windows of their anchor, so a repeat longer than a context is reported in overlapping
@@ -336,8 +337,9 @@ def _columns(parts: list[pa.RecordBatch]) -> list[list]:
 
 
 def _scan(keyed: DataFrame) -> DataFrame:
-    """c1, c2, first, end (from the anchor on) of what repeats; rows with a level are open:
-    members of an interval of that depth, with the key and what they share if they do."""
+    """c1, c2, first, end (from the anchor on) of what repeats; rows with a level are open: members of an
+    interval of that depth that are alone in their range, with the key and what they share if they do.
+    Members that meet others in their range repeat as they stand; one open row without a leaf tells of them."""
     fields = [(n, _LONG) for n in ("c1", "c2", "first", "end", "k1", "k2", "level")] + [("shared", _BYTES)]
 
     def run(batches):
@@ -348,10 +350,18 @@ def _scan(keyed: DataFrame) -> DataFrame:
                         for m in members:
                             yield c1[m], c2[m], -b[m] - before, SHARED - b[m] + after, None, None, None, None
                     continue
-                for m in range(len(k1)):
-                    for level in range(max(0, STEP - 1 - len(left[m])), min(STEP - 1, len(rest[m])) + 1):
-                        shared = left[m][: STEP - 1 - level] + rest[m][:level]
-                        yield c1[m], c2[m], level - STEP + 1 - b[m], SHARED - b[m] + level, k1[m], k2[m], level, shared
+                for level in range(STEP):
+                    alike: dict[bytes, list[int]] = {}
+                    for m in range(len(k1)):
+                        if len(left[m]) >= STEP - 1 - level and len(rest[m]) >= level:
+                            alike.setdefault(left[m][: STEP - 1 - level] + rest[m][:level], []).append(m)
+                    for shared, members in alike.items():
+                        alone = len(members) == 1
+                        for m in members:
+                            span = level - STEP + 1 - b[m], SHARED - b[m] + level
+                            yield c1[m], c2[m], *span, *((k1[m], k2[m], level, shared) if alone else (None,) * 4)
+                        if not alone:
+                            yield None, None, None, None, k1[0], k2[0], level, shared
 
         yield from _flushed(rows(), pa.schema(fields))
 
@@ -414,7 +424,8 @@ def repeats(docs: DataFrame, scratch: Scratch, groups: bool = False) -> DataFram
         closed = scanned.where("level is null").select("c1", "c2", "first", "end")
         opened, meet = scanned.where("level is not null"), ["k1", "k2", "level", "shared"]
         again = scratch.keep(opened.groupBy(*meet).agg(F.count("*").alias("c")).where("c > 1").drop("c"), "again")
-        hits = closed.union(opened.join(again, meet).select("c1", "c2", "first", "end")).union(copies)
+        alone = opened.where("c1 is not null").join(again, meet)
+        hits = closed.union(alone.select("c1", "c2", "first", "end")).union(copies)
         span = F.struct("first", "end")
     per_leaf = scratch.keep(hits.groupBy("c1", "c2").agg(F.collect_set(span).alias("hits")), "hits")
     place = F.shiftright("at", 16)

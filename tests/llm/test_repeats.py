@@ -185,3 +185,13 @@ def test_null_ids_and_no_rows(docs_of):
     got = {r.doc_id: r.n_removed for r in repeats.without_repeats(docs_of(["q" * 150 + "r" * 150] * 3, [None, 1, 2])).collect()}
     assert got == {None: 0, 1: 300, 2: 300}
     assert repeats.without_repeats(docs_of(["a"]).limit(0)).collect() == []
+
+
+def test_members_that_meet_in_a_range_are_not_joined(spark):
+    """A key that fills a range's edge leaves one open row for each string, not one for each member."""
+    rest, left = b"abcdefg", b"tuvwxyz"
+    rows = [(7, 7, bytearray(rest), bytearray(left), 0, i, i) for i in range(50)] + [(7, 7, bytearray(b"abcdefX"), bytearray(left), 0, 99, 99)]
+    found = repeats._scan(spark.createDataFrame(rows, repeats._KEYED).coalesce(1)).collect()
+    alone = [r for r in found if r.level is not None and r.c1 is not None]
+    closed = {(r.c1, r.first, r.end) for r in found if r.level is None}
+    assert len(alone) <= 8 * 8 and len(closed) > 8 * 20
