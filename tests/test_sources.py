@@ -167,3 +167,17 @@ def test_line_numbers_of_files_in_several_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == wanted
+
+
+def test_costly_bindings_are_spread_over_the_shuffle_partitions(spark, tmp_path):
+    """Not over the cores only, of which a task's share would grow with the table."""
+    from pairlens.plans.views import Tables
+
+    spark.range(100).write.parquet(str(tmp_path / "events.parquet"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "150")
+    try:
+        rows = Tables(spark, str(tmp_path))._parallel("events")
+        assert rows.rdd.getNumPartitions() == 150 and rows.count() == 100
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
