@@ -21,11 +21,12 @@ KEYS = ["item_index", "prime_condition"]
 )
 def _(t):
     def classify(sentence):
-        return labels.classify_structure(sentence, "target_active", "target_passive")
+        return labels.classify_structure(sentence, prepared="targets")
 
     moved = F.regexp_replace("target_active", r"^(\S+ \S+) ", "$1 quickly ")
     moved_passive = F.regexp_replace("target_passive", " by ", " quickly by ")
-    return t.generations().select(
+    rows = t.generations().withColumn("targets", labels.prepared_targets("target_active", "target_passive"))
+    return rows.select(
         *KEYS,
         classify("generated").alias("plain"),
         classify(F.concat("generated", F.lit(" and more"))).alias("longer"),

@@ -207,82 +207,128 @@ def target_signature(
     """
     a, p = _no_stop(col(active)), _no_stop(col(passive))
 
-    def parse(both):
-        at, pt = both["a"], both["p"]
-        by = F.array_position(pt, "by").cast("int")
+    def keyed(g):
+        return F.when(g.isNotNull(), F.struct(g["agent_head"], g["patient_head"], _keys(g["verbs"]).alias("verb_keys")))
+
+    return let(_target_parts(a, p, determiners), keyed)
+
+
+def _keys(verbs: Column) -> Column:
+    return F.transform(F.array_compact(verbs), text.verb_key)
+
+
+def _target_parts(active: Column, passive: Column, determiners: Sequence[str]) -> Column:
+    """``struct(agent_head, patient_head, verbs)`` of a target's words; every step is bound
+    once, since an expression inside a lambda is worked out wherever it is named."""
+
+    def with_by(w):
+        pt, by = w["p"], w["by"]
         be = F.array_max(
             F.transform(
                 F.slice(pt, 1, F.greatest(by - 1, F.lit(0))),
                 lambda t, i: F.when(t.isin(*fixed.BE_FORMS), i + 1),
             )
         )
-        patient = F.slice(pt, 1, F.greatest(be - 1, F.lit(0)))
-        agent = _from(pt, by)
-        fits = (by > 0) & (be > 1) & (F.size(agent) > 0) & (be + 1 < by)
-        n_agent, n_patient = F.size(agent), F.size(patient)
-        frame = (
-            (F.size(at) > n_agent + n_patient)
-            & (F.slice(at, 1, n_agent) == agent)
-            & (F.slice(at, F.greatest(F.size(at) - n_patient + 1, F.lit(1)), n_patient) == patient)
-        )
-        keys = F.array_compact(
-            F.array(
-                text.verb_key(F.get(pt, be)), F.when(frame, text.verb_key(F.get(at, n_agent)))
+
+        def with_be(be):
+            phrases = F.struct(
+                _from(pt, by).alias("agent"),
+                F.slice(pt, 1, F.greatest(be - 1, F.lit(0))).alias("patient"),
+                F.get(pt, be).alias("participle"),
             )
-        )
-        return F.when(
-            fits,
-            F.struct(
+            return F.when((be > 1) & (be + 1 < by), let(phrases, with_phrases))
+
+        def with_phrases(g):
+            at, agent, patient = w["a"], g["agent"], g["patient"]
+            n_agent, n_patient = F.size(agent), F.size(patient)
+            frame = (
+                (F.size(at) > n_agent + n_patient)
+                & (F.slice(at, 1, n_agent) == agent)
+                & (F.slice(at, F.greatest(F.size(at) - n_patient + 1, F.lit(1)), n_patient) == patient)
+            )
+            return F.struct(
                 _head(agent, determiners).alias("agent_head"),
                 _head(patient, determiners).alias("patient_head"),
-                keys.alias("verb_keys"),
-            ),
-        )
+                F.array(g["participle"], F.when(frame, F.get(at, n_agent))).alias("verbs"),
+            )
+
+        return F.when((by > 0) & (F.size(pt) > by), let(be, with_be))
 
-    return let(F.struct(a.alias("a"), p.alias("p")), parse)
+    def with_words(w):
+        by = F.array_position(w["p"], "by").cast("int")
+        return let(F.struct(w["a"], w["p"], by.alias("by")), with_by)
+
+    return let(F.struct(active.alias("a"), passive.alias("p")), with_words)
+
+
+def prepared_targets(
+    active: Column | str, passive: Column | str, determiners: Sequence[str] = fixed.DETERMINERS
+) -> Column:
+    """What ``classify_structure`` needs of the two targets, for rows that classify several sentences."""
+    both = F.struct(text.normalize_generated(active).alias("a"), text.normalize_generated(passive).alias("p"))
+    return let(
+        both,
+        lambda w: F.struct(
+            w["a"], w["p"], _target_parts(_no_stop(w["a"]), _no_stop(w["p"]), determiners).alias("parts")
+        ),
+    )
 
 
 def classify_structure(
     sentence: Column | str,
-    active: Column | str,
-    passive: Column | str,
+    active: Column | str | None = None,
+    passive: Column | str | None = None,
     determiners: Sequence[str] = fixed.DETERMINERS,
+    prepared: Column | str | None = None,
 ) -> Column:
-    """active/passive _exact, _prefix or _structural against the two targets, else other."""
-    whole = F.struct(
-        text.normalize_generated(sentence).alias("s"),
-        text.normalize_generated(active).alias("a"),
-        text.normalize_generated(passive).alias("p"),
-    )
+    """active/passive _exact, _prefix or _structural against the two targets, else other.
+
+    ``prepared`` (see ``prepared_targets``) stands for the two targets.
+    """
+    own = text.normalize_generated(sentence).alias("s")
+    if prepared is None:
+        a, p = text.normalize_generated(active), text.normalize_generated(passive)
+        whole = F.struct(own, a.alias("a"), p.alias("p"))
+    else:
+        whole = F.struct(own, col(prepared)["a"], col(prepared)["p"], col(prepared)["parts"])
 
     def has_verb(span, keys):
         return F.exists(span, lambda t: F.array_contains(keys, text.verb_key(t)))
 
     def structural(tokens, g):
-        agent = F.array_position(tokens, g["agent_head"]).cast("int")
-        patient = F.array_position(tokens, g["patient_head"]).cast("int")
-        low, high = F.least(agent, patient), F.greatest(agent, patient)
-        span = F.slice(tokens, low + 1, F.greatest(high - low - 1, F.lit(0)))
-
-        def by_order(s):
-            by = F.array_position(s, "by").cast("int")
-            before = F.slice(s, 1, F.greatest(by - 1, F.lit(0)))
-            be = F.exists(before, lambda t: t.isin(*fixed.BE_FORMS))
-            return F.when(
-                (agent < patient) & (by == 0) & has_verb(s, g["verb_keys"]), "active_structural"
-            ).when(
-                (patient < agent) & (by > 0) & be & has_verb(before, g["verb_keys"]),
-                "passive_structural",
-            )
+        places = F.struct(
+            F.array_position(tokens, g["agent_head"]).cast("int").alias("agent"),
+            F.array_position(tokens, g["patient_head"]).cast("int").alias("patient"),
+        )
 
-        return F.when((agent > 0) & (patient > 0), let(span, by_order))
+        def between(at):
+            agent, patient = at["agent"], at["patient"]
+            low, high = F.least(agent, patient), F.greatest(agent, patient)
+            span = F.slice(tokens, low + 1, F.greatest(high - low - 1, F.lit(0)))
+            words = let(span, lambda s: F.struct(s.alias("s"), F.array_position(s, "by").cast("int").alias("by")))
+
+            def by_order(w):
+                s, by = w["s"], w["by"]
+                before = F.slice(s, 1, F.greatest(by - 1, F.lit(0)))
+                be = F.exists(before, lambda t: t.isin(*fixed.BE_FORMS))
+                return F.when(
+                    (agent < patient) & (by == 0),
+                    F.when(let(_keys(g["verbs"]), lambda keys: has_verb(s, keys)), "active_structural"),
+                ).when(
+                    (patient < agent) & (by > 0) & be,
+                    F.when(let(_keys(g["verbs"]), lambda keys: has_verb(before, keys)), "passive_structural"),
+                )
+
+            return F.when((agent > 0) & (patient > 0), let(words, by_order))
+
+        return let(places, between)
 
     def decide(w):
         s, a, p = w["s"], w["a"], w["p"]
         # the signature is worked out only for sentences that no target starts
         loose = let(
-            target_signature(a, p, determiners),
-            lambda g: F.when(g.isNotNull(), structural(_no_stop(s), g)),
+            _target_parts(_no_stop(a), _no_stop(p), determiners) if prepared is None else w["parts"],
+            lambda g: F.when(g.isNotNull(), let(_no_stop(s), lambda tokens: structural(tokens, g))),
         )
         return (
             F.when(s == a, "active_exact")
@@ -316,9 +362,6 @@ def label_structure(
         .withColumns(
             {
                 "__target": classify_structure("__raw", active, passive),
-                "__passive": detect_passive(s),
-                "__copular": detect_copular(s),
-                "__active": detect_active(s),
             }
         )
     )
@@ -357,10 +400,7 @@ def label_structure(
             out("other_relative_identity_clause", "other", "one_who_did_it_pattern"),
         ),
     ]
-    for name, voice in (("__passive", "passive"), ("__copular", "other"), ("__active", "active")):
-        hit = F.col(name)
-        rules.append((hit.isNotNull(), out(hit["label"], voice, hit["reason"])))
-    rules += [
+    leftovers = [
         (
             has_token(tokens, "who"),
             out("other_relative_clause_misc", "other", "relative_marker_without_confident_parse"),
@@ -370,9 +410,25 @@ def label_structure(
             out("other_prepositional_misc", "other", "prepositional_without_confident_parse"),
         ),
     ]
-    decided = out("other_unclassified", "other", "fallback_unclassified")
-    for condition, result in reversed(rules):
-        decided = F.when(condition, result).otherwise(decided)
+
+    def first(rules, decided):
+        for condition, result in reversed(rules):
+            decided = F.when(condition, result).otherwise(decided)
+        return decided
+
+    def found(hit, voice):
+        return let(hit, lambda h: F.when(h.isNotNull(), out(h["label"], voice, h["reason"])))
+
+    # a detector is only asked about sentences that the rules before it leave
+    decided = first(
+        rules,
+        F.coalesce(
+            found(detect_passive(s), "passive"),
+            found(detect_copular(s), "other"),
+            found(detect_active(s), "active"),
+            first(leftovers, out("other_unclassified", "other", "fallback_unclassified")),
+        ),
+    )
     return (
         work.withColumn("__out", decided)
         .withColumns(
@@ -382,7 +438,7 @@ def label_structure(
                 "generation_structure_reason": F.col("__out.reason"),
             }
         )
-        .drop("__raw", s, "__target", "__passive", "__copular", "__active", "__out")
+        .drop("__raw", s, "__target", "__out")
     )
 
 
