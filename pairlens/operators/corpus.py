@@ -63,8 +63,16 @@ def build_items(
         "filler": F.col("__filler"),
         "no_prime": F.lit(""),
     }
-    out = joins.expand_conditions(rows, {c: sentence[c] for c in conditions})
     whole = [F.concat_ws(" ", F.col("__t.det"), agent), F.concat_ws(" ", F.col("__t.patient_det"), patient)]
+    # What does not depend on the condition is worked out before an item becomes one row for each.
+    rows = rows.withColumns(
+        {
+            "__prompt": prompts.target_event_prompt(whole[0], whole[1], F.col("__t.verb"), "role_order"),
+            "__active": text.pretty_sentence("ta"),
+            "__passive": text.pretty_sentence("tp"),
+        }
+    )
+    out = joins.expand_conditions(rows, {c: sentence[c] for c in conditions})
 
     def the(noun: Column) -> Column:
         return F.concat(F.lit("The "), noun, F.lit("."))
@@ -76,13 +84,11 @@ def build_items(
         F.lit(corpus_name).alias("model_condition"),
         "prime_condition",
         "prime_text",
-        prompts.target_event_prompt(whole[0], whole[1], F.col("__t.verb"), "role_order").alias(
-            "target_event_prompt"
-        ),
-        text.pretty_sentence("ta").alias("active_completion"),
-        text.pretty_sentence("tp").alias("passive_completion"),
-        text.pretty_sentence("ta").alias("target_sentence_active"),
-        text.pretty_sentence("tp").alias("target_sentence_passive"),
+        F.col("__prompt").alias("target_event_prompt"),
+        F.col("__active").alias("active_completion"),
+        F.col("__passive").alias("passive_completion"),
+        F.col("__active").alias("target_sentence_active"),
+        F.col("__passive").alias("target_sentence_passive"),
         F.lit(question).alias("question_template"),
         the(agent).alias("correct_answer_for_active"),
         the(patient).alias("incorrect_answer_for_active"),
