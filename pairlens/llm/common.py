@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -186,7 +188,7 @@ def crc(data) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 
-def chunks(values: list, sizes: list[int], most: int):
+def chunks(values: Sequence, sizes: list[int], most: int):
     """Index ranges of ``values`` of about ``most`` in summed size, one item at least."""
     start = total = 0
     for i, n in enumerate(sizes):
@@ -196,3 +198,9 @@ def chunks(values: list, sizes: list[int], most: int):
         total += n
     if start < len(values):
         yield start, len(values)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``most`` bytes in a string or binary column, one row at least."""
+    for a, b in chunks(range(batch.num_rows), pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), most):
+        yield batch.slice(a, b - a)

@@ -45,13 +45,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, mix, texts
+from .common import Scratch, chunks, mix, slices, texts
 
 LEAST, GRAM = 200, 48
 REACH = LEAST - GRAM  # the anchor's largest offset in a window
 STEP = 8
 SHARED = LEAST - STEP + 1  # the bytes of a key's string
-PIECE = 1 << 20
+PIECE = 1 << 18
+HELD = 1 << 22  # bytes of text that a task has at a time, however many a batch brings
 _PLACE = np.uint64((1 << 21) - 1)
 
 
@@ -237,7 +238,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2, HELD)):
             own = [squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary())], ["doc_id", "mark", "packed"])
 
@@ -246,7 +247,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def _anchor_table(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2, HELD)):
             some = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             ids, marks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             found = anchors(some)
@@ -294,7 +295,7 @@ def _keyed(leaves: DataFrame, docs: DataFrame, whole: bool) -> DataFrame:
     def run(batches):
         def rows():
             expand = zstandard.ZstdDecompressor()
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, 0, HELD // 4)):
                 for packed, lists in zip(batch.column(0), _lists(batch.column(1), "at", "c1", "c2")):
                     text = expand.decompress(packed.as_buffer())
                     place, first, end = (x.tolist() for x in _span(lists[0]))
@@ -456,7 +457,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     per_doc = _per_doc(repeats(docs, Scratch(docs.sparkSession, "repeats")))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, HELD // 4)):
             expand = zstandard.ZstdDecompressor()
             out = []
             rows = zip(batch.column(0).to_pylist(), batch.column(1), _lists(batch.column(2), "first", "end"))
@@ -503,7 +504,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     joined = docs.join(per_doc, (F.col("doc_id").cast("long") == F.col("_doc")) & (mark == F.col("_mark")), "left").drop("_doc", "_mark")
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, place, HELD)):
             own = []
             for text, (first, end) in zip(batch.column(place).to_pylist(), _lists(batch.column(len(columns)), "first", "end")):
                 if len(first) and text is not None:

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pairlens.llm import repeats
@@ -195,3 +196,23 @@ def test_members_that_meet_in_a_range_are_not_joined(spark):
     alone = [r for r in found if r.level is not None and r.c1 is not None]
     closed = {(r.c1, r.first, r.end) for r in found if r.level is None}
     assert len(alone) <= 8 * 8 and len(closed) > 8 * 20
+
+
+def test_a_task_holds_a_bounded_part_of_a_batch(monkeypatch):
+    n = 400
+    texts = ["word %d " % i * 5000 for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(texts)], ["doc_id", "mark", "text"])
+
+    class Rows:
+        def where(self, _):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    met = []
+    monkeypatch.setattr(repeats, "_rows", lambda docs: Rows())
+    found = repeats.anchors
+    monkeypatch.setattr(repeats, "anchors", lambda some: met.append(sum(map(len, some))) or found(some[:1]))
+    assert sum(b.num_rows > 0 for b in repeats._anchor_table(None)(iter([batch]))) == len(met)
+    assert sum(met) == sum(map(len, texts)) and max(met) <= repeats.HELD
