@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,3 +183,21 @@ def test_costly_bindings_are_spread_over_the_shuffle_partitions(spark, tmp_path)
         assert rows.rdd.getNumPartitions() == 150 and rows.count() == 100
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        held = disk.getAllFiles()
+        return {held.apply(i).getName() for i in range(held.size())}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(key)
+    table = shared.materialize(spark.range(1000).groupBy("id").count(), "t")
+    for _ in range(50):
+        left = [f for f in files() - before if f.startswith("shuffle_")]
+        if not left:
+            break
+        time.sleep(0.2)
+    assert left == [] and spark.conf.get(key) == was and table.where("count = 1").count() == 1000
