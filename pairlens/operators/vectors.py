@@ -15,6 +15,8 @@ from ..sources.shared import materialize, spread
 from .ranking import topk_per_key
 
 _BLOCK = 4096
+_CELLS = 1 << 18  # bounds of bins, or visits of blocks, that a task works out at a time
+_SENT = 4096  # vectors that a task hands over at a time
 
 
 def mean_vector(df: DataFrame, vector: str) -> DataFrame:
@@ -145,6 +147,30 @@ def _met(visits: DataFrame, held: DataFrame, k: int, exclude_self: bool, crowd:
     return rows.mapInPandas(run, "query string, reference string, cosine double")
 
 
+def _visits(batches: Iterator[pd.DataFrame], bins: Bins, points: np.ndarray, first: bool) -> Iterator[pd.DataFrame]:
+    """(query, v, bin, part): the first block of each query, or all others that may hold a neighbour. What is held at a
+    time does not grow with the batch, the bins or the blocks, but for one query's list of blocks."""
+    step = max(1, _CELLS // max(1, len(bins.cell) if first else int(bins.parts.sum())))
+    for batch in (b.iloc[a : a + step] for b in batches for a in range(0, len(b), step)):
+        names, v = batch["query"].to_numpy(), batch["v"].to_numpy()
+        bound = bins.bounds(_angles(_unit(batch["v"]), points))
+        if first:
+            best = bound.argmax(axis=1)
+            part = np.array([zlib.crc32(q.encode()) for q in names], np.int64) % bins.parts[best]
+            yield pd.DataFrame({"query": names, "v": v, "bin": best, "part": part})
+            continue
+        reach = bound >= batch["least"].fillna(-2.0).to_numpy()[:, None] - 1e-9
+        met = batch["bin"].to_numpy(), batch["part"].to_numpy()
+        who, wanted = np.nonzero(reach)
+        n = bins.parts[wanted]
+        who, each = np.repeat(who, n), np.repeat(wanted, n)
+        part = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+        new = np.flatnonzero((each != met[0][who]) | (part != met[1][who]))
+        for start in range(0, len(new), _SENT):
+            at = new[start : start + _SENT]
+            yield pd.DataFrame({"query": names[who[at]], "v": v[who[at]], "bin": each[at], "part": part[at]})
+
+
 def cosine_neighbors(
     queries: DataFrame,
     references: DataFrame,
@@ -175,39 +201,13 @@ def cosine_neighbors(
         return _nothing(queries.sparkSession)
     asked = materialize(queries.select(F.col(key).cast("string").alias("query"), F.col(vector).alias("v")), "queries")
 
-    def visits(first: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                names, v = batch["query"].to_numpy(), batch["v"].to_numpy()
-                bound = bins.bounds(_angles(_unit(batch["v"]), points))
-                if first:
-                    best = bound.argmax(axis=1)
-                    part = np.array([zlib.crc32(q.encode()) for q in names], np.int64) % bins.parts[best]
-                    yield pd.DataFrame({"query": names, "v": v, "bin": best, "part": part})
-                    continue
-                reach = bound >= batch["least"].fillna(-2.0).to_numpy()[:, None] - 1e-9
-                met = batch["bin"].to_numpy(), batch["part"].to_numpy()
-                for start in range(0, len(batch), 256):
-                    who, wanted = np.nonzero(reach[start : start + 256])
-                    who, n = who + start, bins.parts[wanted]
-                    who, each = np.repeat(who, n), np.repeat(wanted, n)
-                    part = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                    new = (each != met[0][who]) | (part != met[1][who])
-                    if new.any():
-                        who = who[new]
-                        yield pd.DataFrame({"query": names[who], "v": v[who], "bin": each[new], "part": part[new]})
-
-        return run
-
     width = asked.schema["v"].dataType.simpleString()
     schema = f"query string, v {width}, bin int, part int"
-    one = materialize(asked.mapInPandas(visits(True), schema), "round-1")
+    one = materialize(asked.mapInPandas(lambda b: _visits(b, bins, points, True), schema), "round-1")
     near = materialize(_met(one, held, k, exclude_self, crowd), "near-1")
     least = near.groupBy("query").agg(F.count("*").alias("n"), F.min("cosine").alias("least"))
     least = least.where(F.col("n") >= k).select("query", "least")
-    two = one.join(least, "query", "left").select("query", "v", "bin", "part", "least").mapInPandas(visits(False), schema)
+    two = one.join(least, "query", "left").select("query", "v", "bin", "part", "least").mapInPandas(lambda b: _visits(b, bins, points, False), schema)
     rest = _met(materialize(two, "round-2"), held, k, exclude_self, crowd)
     return topk_per_key(near.union(rest), ["query"], [F.desc("cosine"), F.asc("reference")], k)
 

@@ -1,6 +1,7 @@
 """Pruned cosine neighbours against the whole product."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pairlens.operators import vectors
@@ -64,3 +65,22 @@ def test_zero_vectors_only_and_no_rows(spark):
     assert {r.cosine for r in got} == {0.0}
     assert vectors.cosine_neighbors(zero, zero.limit(0), "id", "v", 2).collect() == []
     assert vectors.cosine_neighbors(zero.limit(0), zero, "id", "v", 2).collect() == []
+
+
+def test_visits_come_in_bounded_parts():
+    rng = np.random.default_rng(4)
+    pivots = vectors._unit(pd.Series(list(rng.normal(size=(64, 8)))))
+    n = 64 * 40
+    bins = vectors.Bins(np.repeat(np.arange(64), 40), np.zeros(n), np.full(n, np.pi), np.full(n, 5))  # nothing is ruled out
+    asked = pd.DataFrame({"query": [str(i) for i in range(150)], "v": list(rng.normal(size=(150, 8))), "bin": 3, "part": 1, "least": 0.5})
+    seen, first, bounds = [], [], vectors.Bins.bounds
+    try:
+        vectors.Bins.bounds = lambda self, angles: seen.append(len(angles)) or bounds(self, angles)
+        first = [len(b) for b in vectors._visits(iter([asked]), bins, pivots, True)]
+        found = list(vectors._visits(iter([asked]), bins, pivots, False))
+    finally:
+        vectors.Bins.bounds = bounds
+    assert sum(first) == 150 and max(seen) * n <= vectors._CELLS and max(map(len, found)) <= vectors._SENT
+    every = pd.concat(found)
+    assert len(every) == 150 * (5 * n - 1) == len(every.drop_duplicates(["query", "bin", "part"]))
+    assert not ((every["bin"] == 3) & (every["part"] == 1)).any()
