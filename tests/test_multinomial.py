@@ -71,3 +71,44 @@ def test_poisson_counts_step_where_the_probabilities_do():
     draws = np.array([0, 2**32 - 1, *edges], np.uint32)
     want = np.searchsorted(resample._POISSON_CDF, draws / 2.0**32, side="right")
     assert resample.poisson_counts(draws).tolist() == want.tolist()
+
+
+def test_few_digests_of_many_keys_are_worked_out_side_by_side(monkeypatch):
+    keys = [f"42|{c}|{10**k + i}" for c in ("core", "mixed") for k in (2, 5) for i in range(900)]
+    want = [b"".join(hashlib.md5(f"{key}|{b}".encode()).digest() for b in range(79)) for key in keys]
+
+    def one_by_one(_):
+        raise AssertionError("a digest of the library, of which each costs a call")
+
+    monkeypatch.setattr(resample, "md5", one_by_one)
+    monkeypatch.setattr(resample, "_FEW", 1000)
+    assert [row.tobytes() for row in resample.digests(keys, 79)] == want
+
+
+@pytest.mark.parametrize("n", [1, 11, 1203])
+def test_any_number_of_digests_side_by_side_are_those_of_the_library(monkeypatch, n):
+    monkeypatch.setattr(resample, "_FEW", 1)
+    monkeypatch.setattr(resample, "_LANES", 500)
+    keys = [f"13|core|{i}" for i in range(7)] + ["", "\u00e9" * 12, *("y" * k for k in (1, 2, 3, 48, 49, 50, 51, 52, 53, 54, 70))]
+    for key, row in zip(keys, resample.digests(keys, n), strict=True):
+        assert row.tobytes() == b"".join(hashlib.md5(f"{key}|{b}".encode()).digest() for b in range(n))
+
+
+@pytest.mark.parametrize("signs", [False, True])
+def test_sums_are_those_of_whole_rows_of_weights(spark, signs):
+    """More resamples than are multiplied at a time, keys of several lengths, two groups of the same units."""
+    n, x = resample._TILE + 100, {i: (i % 7) - 2.5 for i in [*range(95, 105), 99_999, 100_000]}
+    rows = spark.createDataFrame([(m, i, v * s) for i, v in x.items() for m, s in (("a", 1.0), ("b", -3.0))], "m string, id long, x double")
+    got = {(r.m, r["__draw"]): (r["__sum"], r["__weight"]) for r in resample._drawn_sums(rows, ["m"], "id", "x", n, 5, signs, ["m"]).collect()}
+    per = 128 if signs else 4
+    sums = np.zeros((2, n))
+    for i, v in x.items():
+        drawn = b"".join(hashlib.md5(f"5|{i}|{b}".encode()).digest() for b in range(-(-n // per)))
+        if signs:
+            w = np.unpackbits(np.frombuffer(drawn, np.uint8))[:n] * 2.0 - 1.0
+        else:
+            w = np.searchsorted(resample._POISSON_CDF, np.frombuffer(drawn, ">u4")[:n] / 2.0**32, side="right")
+        sums += [w * v, w]
+    assert len(got) == 2 * n
+    for (m, draw), (total, weight) in got.items():
+        assert abs(total - sums[0, draw] * (1 if m == "a" else -3)) < 1e-9 and abs(weight - sums[1, draw]) < 1e-9
