@@ -112,3 +112,22 @@ def test_sums_are_those_of_whole_rows_of_weights(spark, signs):
     assert len(got) == 2 * n
     for (m, draw), (total, weight) in got.items():
         assert abs(total - sums[0, draw] * (1 if m == "a" else -3)) < 1e-9 and abs(weight - sums[1, draw]) < 1e-9
+
+
+def test_sums_of_tasks_are_added_before_they_become_rows(spark):
+    rows = spark.sql("SELECT id, IF(id % 3 = 0, NULL, id % 3) AS g, IF(id % 2 = 0, 'even', NULL) AS h, IF(id % 5 = 0, NULL, cos(id)) AS x FROM range(400)")
+    sums = resample._drawn_sums(rows, ["g", "h"], "id", "x", resample._PART + 50, 3, False)
+    steps = [line.split("(")[0].strip(" +-:*") for line in sums._jdf.queryExecution().optimizedPlan().toString().split("\n")]
+    explode = next(i for i, s in enumerate(steps) if s.startswith("Generate posexplode"))
+    below = [s.split(" ")[0] for s in steps[explode:]]
+    assert below.count("MapInArrow") == 2  # tasks' arrays, and their sum
+    got = {(r.g, r.h, r["__draw"]): (r["__sum"], r["__weight"]) for r in sums.collect()}
+    assert len(got) == 6 * (resample._PART + 50)
+    for g, h in ((None, None), (2, "even")):
+        named = f"3|{'' if g is None else g}|{'' if h is None else h}|"
+        ids = [i for i in range(400) if i % 5 and (i % 3 or None) == g and ("even" if i % 2 == 0 else None) == h]
+        drawn = resample.digests([f"{named}{i}" for i in ids], (resample._PART + 53) // 4)
+        w = resample.poisson_counts(drawn.view(">u4")[:, : resample._PART + 50].astype(np.uint32))
+        for draw in (0, resample._PART - 1, resample._PART, resample._PART + 49):
+            assert got[g, h, draw][1] == w[:, draw].sum()
+            assert abs(got[g, h, draw][0] - sum(math.cos(i) * c for i, c in zip(ids, w[:, draw]))) < 1e-9
