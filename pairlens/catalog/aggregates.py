@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, labels, text
 from ..operators import audits, corpus, joins, neighbors, ranking, review, summaries, validate, vectors
+from ..sources.shared import materialize
 from .registry import query
 
 GROUP = ["model_condition", "lexicality_condition"]
@@ -612,6 +613,7 @@ def people_pool(t):
     nouns = t.quartets().select(
         F.explode(F.array(*[text.parse_active(c)[r] for c in ("pa", "ta") for r in ("agent", "patient")])).alias("word")
     ).distinct()
+    nouns = materialize(nouns, "nouns")  # read twice, and few
     block = F.ascii("word") * 256 + F.ascii(F.substring("word", 2, 1))
     return ranking.position_in_group(nouns, [], ["word"], block)
 

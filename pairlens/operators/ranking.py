@@ -189,6 +189,9 @@ def open_pool(pool: Sequence[str], blocked: Column) -> Column:
     return let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(entries))
 
 
+_POOL_IN_A_ROW = 10_000  # so many words of a pool are held as one array
+
+
 def rotating_pick(
     df: DataFrame,
     key: Sequence[str],
@@ -200,14 +203,53 @@ def rotating_pick(
     """``count`` pool words per row: from ``offset`` on, wrapping, used words skipped.
 
     ``pool(position, word)`` numbers its words 0..n-1. A row can skip as many words as it has
-    used, so it asks for that many positions and ``count`` more, never for one twice, by an
-    equi join. ``key`` names a row. Adds ``picks`` (array): fewer than ``count`` when the
-    pool runs out, empty when all of it is used or it is empty.
+    used, so it asks for that many positions and ``count`` more, never for one twice. ``key`` names a
+    row. Adds ``picks`` (array): fewer than ``count`` when the pool runs out, empty when all of it is
+    used or it is empty.
+
+    Rows with a key of their own read a pool of up to 10,000 words as an array in place, so they don't meet a
+    shuffle; only their keys are counted. Rows that share a key, and larger pools, meet by an equi join.
     """
+    pool = materialize(pool.select("position", "word"), "pool")
+    at = F.col("position")
+    n, low, high, different = pool.agg(F.count("*"), F.min(at), F.max(at), F.count_distinct(at)).first()
+    if n > _POOL_IN_A_ROW or (n and (low, high, different) != (0, n - 1, n)):
+        return _picks_by_join(df, key, used, offset, count, pool, n)
+    shared = df.groupBy(*key).agg(F.count("*").alias("__n")).where("__n > 1").select(*key, F.lit(True).alias("__shared"))
+    shared = materialize(shared, "shared-keys")
+    if shared.isEmpty():
+        return _picks_in_place(df, used, offset, count, pool, n)
+    marked = null_safe_join(df, shared, key)
+    alone = marked.where(F.col("__shared").isNull()).drop("__shared")
+    rest = marked.where(F.col("__shared")).drop("__shared")
+    return _picks_in_place(alone, used, offset, count, pool, n).unionByName(
+        _picks_by_join(rest, key, used, offset, count, pool, n)
+    )
+
+
+def _picks_in_place(df: DataFrame, used: Column, offset: Column, count: Column, pool: DataFrame, n: int) -> DataFrame:
+    listed = F.array_sort(F.collect_list(F.struct("position", "word")))
+    words = pool.agg(F.transform(listed, lambda s: s["word"])).scalar()
+    work = df.withColumns({"__used": used, "__offset": offset, "__count": count, "__words": words}).withColumn(
+        "__reach", F.least(F.size("__used") + F.col("__count"), F.lit(n)).cast("int")
+    )
+    asked = F.transform(
+        F.sequence(F.lit(0), F.col("__reach") - 1),
+        lambda i: F.get("__words", F.pmod(F.col("__offset") + i, F.lit(max(n, 1))).cast("int")),
+    )
+    free = F.filter(asked, lambda w: w.isNotNull() & ~F.array_contains("__used", w))
+    picks = F.when(F.col("__reach") > 0, F.slice(free, F.lit(1), F.col("__count")))
+    out = work.withColumn("picks", F.coalesce(picks, F.array().cast("array<string>")))
+    return out.drop("__used", "__offset", "__count", "__words", "__reach")
+
+
+def _picks_by_join(
+    df: DataFrame, key: Sequence[str], used: Column, offset: Column, count: Column, pool: DataFrame, size: int
+) -> DataFrame:
     n = F.col("__n")
     work = (
         df.select(*key, used.alias("__used"), offset.alias("__offset"), count.alias("__count"))
-        .withColumn("__n", pool.agg(F.count("*")).scalar())
+        .withColumn("__n", F.lit(size).cast("bigint"))
         .withColumn("__reach", F.least(F.size("__used") + F.col("__count"), n).cast("int"))
         .where(F.col("__reach") > 0)
     )
